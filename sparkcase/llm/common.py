@@ -13,6 +13,13 @@ from pyspark.sql import functions as F
 BROADCAST_LIMIT = 64 << 20
 
 
+def bound_batches(spark: SparkSession, rows: int = 512) -> None:
+    """Lowers the session's rows per Arrow batch to ``rows``: long texts would make batches of the default too large."""
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if not 0 < int(spark.conf.get(name)) <= rows:
+        spark.conf.set(name, str(rows))
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 

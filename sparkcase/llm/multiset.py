@@ -9,7 +9,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import slices
+from .common import bound_batches, slices
 
 LANES = 1024
 EMPTY = bytes(2 * LANES)
@@ -51,6 +51,7 @@ def fingerprints(docs: DataFrame, id: str = "doc_id", text: str = "text") -> Dat
     Two texts with the same paragraphs in any order, each as often, have equal fingerprints. A null text gives nulls,
     an empty or blank one the zero vector. Every row gives a row; other columns are dropped.
     """
+    bound_batches(docs.sparkSession)
     kind = docs.schema[id].dataType.simpleString()
 
     def run(batches):

@@ -12,7 +12,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import slices, stored
+from .common import bound_batches, slices, stored
 
 ORDER = 3
 FOLDS = 2
@@ -157,6 +157,7 @@ def score(docs: DataFrame, id: str = "doc_id", text: str = "text", order: int =
     Counts come from all texts, repeated rows as often as they occur. A null text gives nulls; an empty text 0 bits
     and a null rate. Other columns are dropped.
     """
+    bound_batches(docs.sparkSession)
     kind = docs.schema[id].dataType.simpleString()
     docs = docs.select(F.col(id), F.col(text).alias("text"), F.pmod(F.xxhash64(text), F.lit(FOLDS)).cast("int").alias("fold"))
     model = docs.sparkSession.sparkContext.broadcast(train(docs.where("text is not null").select("fold", "text"), order, cells))

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import bpe, multiset, urls
+from . import bpe, licenses, multiset, ppm, urls
 from .common import table
 
 
@@ -10,6 +10,14 @@ def op1_bpe(spark, sf_dir):
     return bpe.decode(bpe.encode(table(spark, sf_dir, "documents")))
 
 
+def op2_ppm_code_length(spark, sf_dir):
+    return ppm.score(table(spark, sf_dir, "documents"))
+
+
+def op3_license_scan(spark, sf_dir):
+    return licenses.scan(table(spark, sf_dir, "documents"))
+
+
 def op6_multiset_fingerprints(spark, sf_dir):
     return multiset.fingerprints(table(spark, sf_dir, "documents"))
 
@@ -18,5 +26,5 @@ def op10_url_filter(spark, sf_dir):
     return urls.url_filter(table(spark, sf_dir, "pages").select("page_id", "url"))
 
 
-QUERIES = {f.__name__: f for f in (op1_bpe, op6_multiset_fingerprints, op10_url_filter)}
+QUERIES = {f.__name__: f for f in (op1_bpe, op2_ppm_code_length, op3_license_scan, op6_multiset_fingerprints, op10_url_filter)}
 ORACLE_SQL = {"op10_url_filter": urls.oracle()}
