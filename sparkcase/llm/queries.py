@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from . import bpe, licenses, multiset, ppm, urls
+from pyspark.sql import functions as F
+
+from . import bpe, licenses, multiset, ppm, quality, toxicity, urls
 from .common import table
 
 
@@ -18,13 +20,26 @@ def op3_license_scan(spark, sf_dir):
     return licenses.scan(table(spark, sf_dir, "documents"))
 
 
+def op5_quality_posterior(spark, sf_dir):
+    """The documents that the rules keep, with their posterior."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return quality.assess(docs).where(F.col("posterior") >= quality.KEEP_AT).select("doc_id", "posterior")
+
+
 def op6_multiset_fingerprints(spark, sf_dir):
     return multiset.fingerprints(table(spark, sf_dir, "documents"))
 
 
+def op8_toxicity_nnpu(spark, sf_dir):
+    """The documents flagged as toxic, with their score."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    model = toxicity.fit(docs, table(spark, sf_dir, "labels"))
+    return toxicity.score(docs, model).where(F.col("toxicity") >= toxicity.THRESHOLD).select("doc_id", "toxicity")
+
+
 def op10_url_filter(spark, sf_dir):
     return urls.url_filter(table(spark, sf_dir, "pages").select("page_id", "url"))
 
 
-QUERIES = {f.__name__: f for f in (op1_bpe, op2_ppm_code_length, op3_license_scan, op6_multiset_fingerprints, op10_url_filter)}
+QUERIES = {f.__name__: f for f in (op1_bpe, op2_ppm_code_length, op3_license_scan, op5_quality_posterior, op6_multiset_fingerprints, op8_toxicity_nnpu, op10_url_filter)}
 ORACLE_SQL = {"op10_url_filter": urls.oracle()}
