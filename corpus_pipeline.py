@@ -1,11 +1,56 @@
-"""The corpus pipeline; its stages follow once their operators exist."""
+"""The corpus pipeline: five of the training-data operators, one after another over all documents."""
 
-STAGES: list = []
+from __future__ import annotations
+
+from sparkcase.llm import bpe, mixing, neardup, quality, toxicity
+from sparkcase.llm.common import stored, table
+
+
+def quality_rules(spark, docs, sf_dir):
+    """Keeps the documents whose posterior quality reaches the threshold."""
+    return quality.keep(docs)
+
+
+def toxicity_filter(spark, docs, sf_dir):
+    """Drops the documents that the positive-unlabelled classifier calls toxic."""
+    columns = docs.columns
+    model = toxicity.fit(docs, table(spark, sf_dir, "labels"))
+    scored = toxicity.score(docs.toDF(*columns), model, out="toxicity")
+    return scored.where(scored[scored.columns[-1]] < toxicity.THRESHOLD).select(*columns)
+
+
+def near_duplicates(spark, docs, sf_dir):
+    """One document of each group of near-duplicates stays."""
+    return neardup.deduplicate(docs)
+
+
+def source_mix(spark, docs, sf_dir):
+    """Documents chosen to meet the token budget of each source."""
+    return mixing.mix(docs)
+
+
+def bpe_encode(spark, docs, sf_dir):
+    """Token ids of every document, and the text that they decode to."""
+    return bpe.decode(bpe.encode(docs))
+
+
+STAGES = [
+    ("quality rules", quality_rules),
+    ("toxicity", toxicity_filter),
+    ("near duplicates", near_duplicates),
+    ("source mix", source_mix),
+    ("bpe", bpe_encode),
+]
+
+#: EM, the classifier and the knapsack have no SQL; tests/llm compares every stage with a brute-force version.
 ORACLE_SQL = None
 
 
 def run(spark, sf_dir):
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    for _, stage in STAGES:
+    """All stages over ``documents``; each result is written to the shared folder and read by the next stage."""
+    docs = table(spark, sf_dir, "documents")
+    for k, (_, stage) in enumerate(STAGES):
         docs = stage(spark, docs, sf_dir)
+        if k < len(STAGES) - 1:
+            docs = stored(docs)
     return docs

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from . import bpe, licenses, multiset, ppm, quality, toxicity, urls
+from . import bpe, licenses, mixing, multiset, neardup, ppm, quality, toxicity, urls
 from .common import table
 
 
@@ -30,6 +30,11 @@ def op6_multiset_fingerprints(spark, sf_dir):
     return multiset.fingerprints(table(spark, sf_dir, "documents"))
 
 
+def op7_near_duplicates(spark, sf_dir):
+    """Every document that has a duplicate, with its group."""
+    return neardup.groups(table(spark, sf_dir, "documents").select("doc_id", "text"))
+
+
 def op8_toxicity_nnpu(spark, sf_dir):
     """The documents flagged as toxic, with their score."""
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
@@ -37,9 +42,15 @@ def op8_toxicity_nnpu(spark, sf_dir):
     return toxicity.score(docs, model).where(F.col("toxicity") >= toxicity.THRESHOLD).select("doc_id", "toxicity")
 
 
+def op9_source_mix(spark, sf_dir):
+    """The documents chosen for the target weights."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", "source", "text")
+    return mixing.mix(docs).select("doc_id", "source", mixing.length(F.col("text")).alias("n_tokens"))
+
+
 def op10_url_filter(spark, sf_dir):
     return urls.url_filter(table(spark, sf_dir, "pages").select("page_id", "url"))
 
 
-QUERIES = {f.__name__: f for f in (op1_bpe, op2_ppm_code_length, op3_license_scan, op5_quality_posterior, op6_multiset_fingerprints, op8_toxicity_nnpu, op10_url_filter)}
+QUERIES = {f.__name__: f for f in (op1_bpe, op2_ppm_code_length, op3_license_scan, op5_quality_posterior, op6_multiset_fingerprints, op7_near_duplicates, op8_toxicity_nnpu, op9_source_mix, op10_url_filter)}
 ORACLE_SQL = {"op10_url_filter": urls.oracle()}
