@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from . import bpe, licenses, mixing, multiset, neardup, ppm, quality, toxicity, urls
+from . import bpe, licenses, mixing, multiset, neardup, ppm, quality, toxicity, urls, wrappers
 from .common import table
 
 
@@ -20,6 +20,10 @@ def op3_license_scan(spark, sf_dir):
     return licenses.scan(table(spark, sf_dir, "documents"))
 
 
+def op4_wrapper_extraction(spark, sf_dir):
+    return wrappers.extract_pages(table(spark, sf_dir, "pages"))
+
+
 def op5_quality_posterior(spark, sf_dir):
     """The documents that the rules keep, with their posterior."""
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
@@ -52,5 +56,5 @@ def op10_url_filter(spark, sf_dir):
     return urls.url_filter(table(spark, sf_dir, "pages").select("page_id", "url"))
 
 
-QUERIES = {f.__name__: f for f in (op1_bpe, op2_ppm_code_length, op3_license_scan, op5_quality_posterior, op6_multiset_fingerprints, op7_near_duplicates, op8_toxicity_nnpu, op9_source_mix, op10_url_filter)}
+QUERIES = {f.__name__: f for f in (op1_bpe, op2_ppm_code_length, op3_license_scan, op4_wrapper_extraction, op5_quality_posterior, op6_multiset_fingerprints, op7_near_duplicates, op8_toxicity_nnpu, op9_source_mix, op10_url_filter)}
 ORACLE_SQL = {"op10_url_filter": urls.oracle()}
