@@ -15,7 +15,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import BROADCAST_LIMIT, free_name, slices, stored
+from .common import BROADCAST_LIMIT, bound_batches, free_name, slices, stored
 
 #: The published split pattern of the rank files; ``(?U)`` gives ``\s`` its Unicode meaning.
 PATTERN = r"(?U)'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
@@ -67,37 +67,40 @@ def word_table(docs: DataFrame, ranks: dict[bytes, int], text: str = "text", see
 
 
 class _Index:
-    """Maps word hashes to ids by bucketed probing."""
-
-    def __init__(self, h: np.ndarray, offsets: np.ndarray, ids: np.ndarray):
-        order = np.argsort(h.view(np.uint64), kind="stable")
-        self.h = h.view(np.uint64)[order]
-        self.size = np.diff(offsets)[order]
-        self.start, self.ids = offsets[:-1][order], ids
-        self.bits = np.uint64(64 - max(1, int(len(h)).bit_length()))
-        self.first = np.searchsorted(self.h >> self.bits, np.arange((1 << int(64 - self.bits)) + 1, dtype=np.uint64))
+    """Maps word hashes to ids by bucketed probing; holds about 20 bytes a word and 2 or 4 an id."""
+
+    def __init__(self, chunks):
+        """``chunks``: pairs of Arrow columns (hashes, lists of ids), each chunk above the last in unsigned order."""
+        done = [self._chunk(h, ids) for h, ids in chunks]
+        self.h, self.size, self.ids = (np.concatenate([c[k] for c in done]) for k in range(3))
+        del done
+        self.start = (np.cumsum(self.size, dtype=np.uint32) - self.size).astype(np.uint32)
+        self.bits = np.uint64(64 - max(1, int(len(self.h)).bit_length()))
+        self.first = np.searchsorted(self.h, np.arange(1 << int(64 - self.bits), dtype=np.uint64) << self.bits).astype(np.uint32)
+
+    @staticmethod
+    def _chunk(h, ids):
+        h, ids = (c.combine_chunks() if isinstance(c, pa.ChunkedArray) else c for c in (h, ids))
+        words = h.to_numpy().view(np.uint64)
+        order = np.argsort(words)
+        size = ids.value_lengths().to_numpy(zero_copy_only=False).astype(np.uint32)
+        ids = ids.take(pa.array(order)).flatten().to_numpy(zero_copy_only=False)
+        return words[order], size[order], ids.astype(np.uint16) if not len(ids) or ids.max() < 1 << 16 else ids
 
     def __call__(self, h: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Flat ids of the words ``h`` and the number of ids of each."""
+        """Flat ids of the words ``h``, all of them known, and the number of ids of each."""
         h = h.view(np.uint64)
-        at = self.first[(h >> self.bits).astype(np.int64)]
+        at = self.first[h >> self.bits]
         todo = np.flatnonzero(self.h[at] != h)
         while len(todo):
             at[todo] += 1
             todo = todo[self.h[at[todo]] != h[todo]]
-        size = self.size[at]
+        size = self.size[at].astype(np.int64)
         ends = np.cumsum(size)
         flat = np.arange(ends[-1] if len(ends) else 0) + np.repeat(self.start[at] - ends + size, size)
         return self.ids[flat], size
 
 
-def _index(column_h, column_ids) -> _Index:
-    as_array = lambda c: c.combine_chunks() if isinstance(c, pa.ChunkedArray) else c
-    h, ids = as_array(column_h), as_array(column_ids)
-    offsets = ids.offsets.to_numpy().astype(np.int64)
-    return _Index(h.to_numpy(), offsets - offsets[0], ids.flatten().to_numpy(zero_copy_only=False).astype(np.int32))
-
-
 def _lists(of: pa.Array, flat: np.ndarray, size: np.ndarray) -> pa.Array:
     """Ids of each row of ``of`` (lists of word hashes), null where the row is null."""
     bounds = np.concatenate([[0], np.cumsum(size)])
@@ -123,7 +126,7 @@ def piece_array(ranks: dict[bytes, int]) -> pa.Array:
     return pa.array(pieces, pa.binary())
 
 
-def encode(docs: DataFrame, ranks: dict[bytes, int] | None = None, id: str = "doc_id", text: str = "text", limit: int = BROADCAST_LIMIT * 4, part_rows: int = 20_000) -> DataFrame:
+def encode(docs: DataFrame, ranks: dict[bytes, int] | None = None, id: str = "doc_id", text: str = "text", limit: int = BROADCAST_LIMIT * 2, part_rows: int = 20_000) -> DataFrame:
     """``(id, token_ids, n_tokens)`` of every row of ``docs``.
 
     A null text gives null ids and count, an empty text an empty list and 0. Every row gives a row, repeated ids and
@@ -132,6 +135,7 @@ def encode(docs: DataFrame, ranks: dict[bytes, int] | None = None, id: str = "do
     """
     ranks = ranks or vocabulary()
     spark = docs.sparkSession
+    bound_batches(spark)
     docs = docs.select(F.col(id).alias("id"), F.col(text).alias("text"))
     words, seed = word_table(docs, ranks)
     n, ids = words.agg(F.count("*"), F.coalesce(F.sum(F.size("ids")), F.lit(0))).first()
@@ -142,14 +146,17 @@ def encode(docs: DataFrame, ranks: dict[bytes, int] | None = None, id: str = "do
         out = _lists(lists, flat, size)
         return [key, out, out.value_lengths()]
 
-    if 12 * n + 4 * ids <= limit:
-        held = spark.sparkContext.broadcast((lambda t: _packed(t))(words.toArrow()))
+    if 20 * n + 4 * ids <= limit:
+        def fetched():  # in slices of the hash range, so that the driver never holds the table twice
+            for k in range(16):
+                t = words.where(F.shiftrightunsigned("h", 60) == k).select("h", "ids").toArrow()
+                yield t.column("h"), t.column("ids")
+
+        held = spark.sparkContext.broadcast(_Index(fetched()))
 
         def join(batches):
-            index = None
             for batch in slices(batches):
-                index = index or _index(*_unpacked(held.value))
-                yield pa.RecordBatch.from_arrays(result(batch.column(0), batch.column(1), index), [id, "token_ids", "n_tokens"])
+                yield pa.RecordBatch.from_arrays(result(batch.column(0), batch.column(1), held.value), [id, "token_ids", "n_tokens"])
 
         return docs.select("id", _hashes(F.col("text"), seed).alias("h")).mapInArrow(join, schema)
 
@@ -161,24 +168,12 @@ def encode(docs: DataFrame, ranks: dict[bytes, int] | None = None, id: str = "do
     def join_part(left: pa.Table, right: pa.Table) -> pa.Table:
         if not left.num_rows:
             return pa.table({id: pa.array([], left.schema.field("id").type), "token_ids": pa.array([], pa.list_(pa.int32())), "n_tokens": pa.array([], pa.int32())})
-        index = _index(right.column("h"), right.column("ids")) if right.num_rows else None
+        index = _Index([(right.column("h"), right.column("ids"))]) if right.num_rows else None
         return pa.table(dict(zip([id, "token_ids", "n_tokens"], result(left.column("id"), left.column("hs").combine_chunks(), index))))
 
     return tagged.groupBy("part").cogroup(used.groupBy("of")).applyInArrow(join_part, schema)
 
 
-def _packed(words: pa.Table) -> bytes:
-    sink = pa.BufferOutputStream()
-    with pa.ipc.new_stream(sink, words.schema) as writer:
-        writer.write_table(words)
-    return sink.getvalue().to_pybytes()
-
-
-def _unpacked(data: bytes):
-    words = pa.ipc.open_stream(data).read_all()
-    return words.column("h"), words.column("ids")
-
-
 def decode(encoded: DataFrame, ranks: dict[bytes, int] | None = None, ids: str = "token_ids", out: str = "decoded") -> DataFrame:
     """``encoded`` with the text of its ids in column ``out``, by a join of each id with its piece.
 
