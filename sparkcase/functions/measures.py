@@ -7,6 +7,7 @@ functions stay inside generated code; those that search for an alignment run as
 from __future__ import annotations
 
 import fnmatch
+import json
 import math
 import re
 from collections.abc import Callable, Mapping, Sequence
@@ -104,6 +105,11 @@ def _error(text: str) -> Column:
     return F.raise_error(F.lit(text)).cast("double")
 
 
+def _text(key) -> str:
+    """A table key as Spark casts it to a string; keys are strings, integers or booleans."""
+    return str(key).lower() if isinstance(key, bool) else str(key)
+
+
 def static_table(entries, symmetric: bool = True, default=None) -> Measure:
     """Looks ``(case, query)`` up in ``entries``, a map of pairs or triples; without a default a missing pair is an error."""
     rows = [(k[0], k[1], v) for k, v in entries.items()] if isinstance(entries, Mapping) else list(entries)
@@ -117,8 +123,13 @@ def static_table(entries, symmetric: bool = True, default=None) -> Measure:
         other = default(x, y) if callable(default) else _error("pair is not in the table") if default is None else F.lit(float(default))
         if not known:
             return F.when(x.isNotNull() & y.isNotNull(), other)
-        table = F.create_map(*(c for (a, b), v in known.items() for c in (F.struct(F.lit(a).alias("a"), F.lit(b).alias("b")), F.lit(v))))
-        return F.when(x.isNotNull() & y.isNotNull(), F.coalesce(F.try_element_at(table, F.struct(x.alias("a"), y.alias("b"))), other))
+        rows: dict = {}
+        for (a, b), v in known.items():
+            rows.setdefault(_text(a), {})[_text(b)] = v
+        # One literal, folded when the query is planned: a map of maps, so a look-up passes over two short lists.
+        table = F.from_json(F.lit(json.dumps(rows)), "map<string,map<string,double>>")
+        found = F.try_element_at(F.try_element_at(table, x.cast("string")), y.cast("string"))
+        return F.when(x.isNotNull() & y.isNotNull(), F.coalesce(found, other))
 
     return f
 
@@ -316,19 +327,13 @@ def isolated_mapping(element: Measure) -> Measure:
     return f
 
 
-def _matrix(element: Measure, x: Column, y: Column) -> Column:
-    """Scores of all items: one row for each item of the case."""
-    return F.transform(x, lambda c: F.transform(y, lambda q: scalar(element)(c, q)))
-
-
-def mapping(element: Measure) -> Measure:
-    """Best one-to-one assignment of items, divided by the query's size."""
+def mapping(item_similarity: Callable = lambda a, b: float(a == b)) -> Measure:
+    """Best one-to-one assignment of items ``(case, query)`` by a Python function, divided by the query's size."""
 
-    @F.pandas_udf("double")
-    def run(m: pd.Series, n: pd.Series) -> pd.Series:
-        return pd.Series([None if s is None else kernels.assignment_value([list(r) for r in s]) / k if k and len(s) else 0.0 for s, k in zip(m, n)], dtype=float)
+    def value(a, b):
+        return kernels.assignment_value([[float(item_similarity(p, q)) for q in b] for p in a]) / len(b) if len(a) and len(b) else 0.0
 
-    return lambda x, y: run(_matrix(element, x, y), F.size(y))
+    return _kernel(value)
 
 
 def sequence_correctness(worst_case_sim: float = 0.0) -> Measure:
