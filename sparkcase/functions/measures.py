@@ -28,6 +28,11 @@ def structured(measure: Measure) -> Measure:
     return measure
 
 
+def lazy_udf(function: Callable, kind: str) -> Callable:
+    """An Arrow-batched function made when it is first used, so measures may be built before there is a session."""
+    return lambda *columns: F.pandas_udf(function, kind)(*columns)
+
+
 def value_of(measure: Measure, score: Column) -> Column:
     return score["value"] if getattr(measure, "structured", False) else score
 
@@ -236,11 +241,12 @@ def regex(case_sensitive: bool = True) -> Measure:
 def glob(case_sensitive: bool = True) -> Measure:
     """The query is a pattern of ``*``, ``?``, ``[..]`` and ``[!..]`` that must match the whole case."""
 
-    @F.pandas_udf("string")
-    def to_regex(patterns: pd.Series) -> pd.Series:
+    def translate(patterns: pd.Series) -> pd.Series:
         seen = {p: re.sub(r"\(\?s:(.*)\)\\[zZ]", r"^(?s:\1)$", fnmatch.translate(p)) for p in patterns.dropna().unique()}
         return patterns.map(seen)
 
+    to_regex = lazy_udf(translate, "string")
+
     if case_sensitive:
         return lambda x, y: _double(F.regexp(x, to_regex(y)))
     return lambda x, y: _double(F.regexp(F.lower(x), to_regex(F.lower(y))))
@@ -268,7 +274,6 @@ def ngram(n: int, case_sensitive: bool = False, tokenizer: Callable[[Column], Co
 def _kernel(of, kind: str = "double") -> Measure:
     """An Arrow-batched measure; equal pairs within a batch are computed once."""
 
-    @F.pandas_udf(kind)
     def run(x: pd.Series, y: pd.Series) -> pd.Series:
         memo: dict = {}
         out = []
@@ -285,7 +290,7 @@ def _kernel(of, kind: str = "double") -> Measure:
                 out.append(memo[key])
         return pd.Series(out, dtype=object if kind != "double" else float)
 
-    return lambda x, y: run(x, y)
+    return lazy_udf(run, kind)
 
 
 def levenshtein(score_cutoff: float = 0.0, case_sensitive: bool = True) -> Measure:
@@ -398,12 +403,11 @@ _ALIGNED = "struct<value double, pairs array<struct<query int, case int>>>"
 
 
 def _aligned(run) -> Measure:
-    @F.pandas_udf(_ALIGNED)
     def kernel(x: pd.Series, y: pd.Series) -> pd.DataFrame:
         rows = [(None, None) if a is None or b is None else run(list(a), list(b)) for a, b in zip(x, y)]
         return pd.DataFrame({"value": [r[0] for r in rows], "pairs": [None if r[1] is None else [{"query": q, "case": c} for q, c in r[1]] for r in rows]})
 
-    return structured(lambda x, y: kernel(x, y))
+    return structured(lazy_udf(kernel, _ALIGNED))
 
 
 def dtw(item_distance: Callable = lambda a, b: abs(a - b)) -> Measure:

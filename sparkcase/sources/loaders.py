@@ -12,7 +12,6 @@ from typing import Any
 
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 
 def numbered(df: DataFrame) -> DataFrame:
@@ -32,10 +31,11 @@ def from_records(spark: SparkSession, records) -> DataFrame:
     """Records of a list, or of a mapping by key, as JSON-typed rows."""
     items = records.items() if isinstance(records, Mapping) else enumerate(records)
     lines = [json.dumps({"key": k, **v} if isinstance(v, Mapping) else {"key": k, "value": v}, default=str) for k, v in items]
-    schema = F.schema_of_json_agg(F.col("value"))
+    if not lines:
+        return spark.createDataFrame([], "key string")
+    array = spark.range(1).select(F.schema_of_json(F.lit("[" + ",".join(lines) + "]"))).first()[0]
     texts = spark.createDataFrame([(x,) for x in lines], "value string")
-    ddl = texts.select(schema).first()[0]
-    return texts.select(F.from_json("value", T.DataType.fromDDL(ddl) if hasattr(T.DataType, "fromDDL") else ddl).alias("r")).select("r.*")
+    return texts.select(F.from_json("value", array[len("ARRAY<") : -1]).alias("r")).select("r.*")
 
 
 def csv(spark: SparkSession, path: str, infer: bool = True) -> DataFrame:
