@@ -17,10 +17,12 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import bound_batches, free_name, slices
+from .common import bound_batches, free_name, slices, stored
 
 #: Bounds of the training sample, in documents.
 POSITIVES, UNLABELLED = 4000, 12000
+#: Features kept at most, and confirmed documents that each must occur in.
+TOP, LEAST = 1024, 4
 THRESHOLD = 0.5
 _WORD = re.compile(r"[^\W\d_]+")
 
@@ -43,38 +45,31 @@ def document_features(text: str | None) -> list[int]:
     return sorted(recurring(Counter(f for w in words_of(text or "") for f in features(w))))
 
 
-def select_features(rows: list, positive: np.ndarray, prior: float, top: int = 4096, least: int = 4, z: float = 4.0) -> np.ndarray:
+def select_features(feature: np.ndarray, in_p: np.ndarray, in_u: np.ndarray, n_p: int, n_u: int, prior: float, top: int = TOP, least: int = LEAST, z: float = 4.0) -> np.ndarray:
     """Features far more frequent among the positives than among the unlabelled less the share that ``prior`` explains.
 
-    Each must occur in ``least`` positives and deviate by ``z`` standard errors and more than twofold; the ``top``
-    strongest are kept.
+    ``in_p`` and ``in_u`` count the documents of either kind that have a feature. It must occur in ``least`` positives
+    and deviate by ``z`` standard errors and more than twofold; the ``top`` strongest are kept, sorted.
     """
-    p, u = (np.unique(np.concatenate([np.asarray(r, np.int64) for r, y in zip(rows, positive) if y == v] or [np.zeros(0, np.int64)]), return_counts=True) for v in (1, 0))
-    n_p, n_u = max(1, positive.sum()), max(1, (1 - positive).sum())
-    at = np.minimum(np.searchsorted(u[0], p[0]), max(0, len(u[0]) - 1))
-    in_u = np.where(u[0][at] == p[0], u[1][at], 0) if len(u[0]) else np.zeros(len(p[0]))
-    rate_p = p[1] / n_p
+    n_p, n_u = max(1, n_p), max(1, n_u)
+    rate_p = in_p / n_p
     rate_n = np.maximum((in_u / n_u - prior * rate_p) / (1 - prior), 0.5 / n_u)
     error = np.sqrt(rate_p / n_p + rate_n / n_u)
-    score = (rate_p - rate_n) / error
-    good = np.flatnonzero((p[1] >= least) & (score > z) & (rate_p > 2 * rate_n))
-    good = good[np.lexsort((p[0][good], -np.log(rate_p / rate_n)[good] * np.sqrt(p[1][good])))][:top]
-    return np.sort(p[0][good])
+    good = np.flatnonzero((in_p >= least) & (rate_p - rate_n > z * error) & (rate_p > 2 * rate_n))
+    strength = np.log(rate_p / rate_n)[good] * np.sqrt(in_p[good])
+    return np.sort(feature[good[np.lexsort((feature[good], -strength))][:top]])
 
 
-def train(rows: list, positive: np.ndarray, prior: float, steps: int = 400, rate: float = 0.05, l2: float = 1e-4) -> tuple[np.ndarray, np.ndarray, float]:
+def train(known: np.ndarray, rows: list, positive: np.ndarray, prior: float, steps: int = 400, rate: float = 0.05, l2: float = 1e-4) -> tuple[np.ndarray, np.ndarray, float]:
     """``(features, weights, bias)`` of a logistic scorer, minimising the non-negative risk with Adam.
 
     Risk: ``prior * E_p[l(+)] + max(0, E_u[l(-)] - prior * E_p[l(-)])`` with the sigmoid loss; where the bracket is
-    negative the step goes up along it instead, as published for the non-negative estimator.
+    negative the step goes up along it instead, as published for the non-negative estimator. ``rows`` are the places
+    in ``known`` of the features of each document.
     """
-    known = select_features(rows, positive, prior)
     x = np.zeros((len(rows), len(known)), np.float32)
     for i, r in enumerate(rows):
-        r = np.asarray(r, np.int64)
-        if len(known) and len(r):
-            at = np.minimum(np.searchsorted(known, r), len(known) - 1)
-            x[i, at[known[at] == r]] = 1
+        x[i, np.asarray(r, np.int64)] = 1
     w, b = np.full(len(known), 0.2), -1.0
     m, v = np.zeros(len(known) + 1), np.zeros(len(known) + 1)
     p, u = x[positive == 1], x[positive == 0]
@@ -94,8 +89,8 @@ def train(rows: list, positive: np.ndarray, prior: float, steps: int = 400, rate
     return known, w, float(b)
 
 
-def sample(docs: DataFrame, labels: DataFrame, id: str, text: str, positives: int, unlabelled: int) -> tuple[list, np.ndarray, float]:
-    """Features and classes of the training sample, and the class prior: the toxic share of the labelled documents."""
+def sample(docs: DataFrame, labels: DataFrame, id: str, text: str, positives: int, unlabelled: int) -> tuple[DataFrame, float]:
+    """``(y, f)`` of the training sample, class and features, and the class prior: the labelled documents' toxic share."""
     share = labels.where("toxic is not null and doc_id is not null").agg(F.avg("toxic")).first()[0]
     key = docs.schema[id].dataType
     toxic = labels.where("toxic = 1 and doc_id is not null").select(F.col("doc_id").cast(key).alias("k")).distinct()
@@ -104,8 +99,6 @@ def sample(docs: DataFrame, labels: DataFrame, id: str, text: str, positives: in
     chosen = ids.join(toxic, "k", "left_semi").orderBy(order, "k").limit(positives).select("k", F.lit(1).alias("y"))
     rest = ids.join(toxic, "k", "left_anti").orderBy(order, "k").limit(unlabelled).select("k", F.lit(0).alias("y"))
     picked = chosen.unionByName(rest).toPandas()
-    if not len(picked):
-        return [], np.zeros(0, int), 0.1
     spark = docs.sparkSession
     picked = spark.createDataFrame(picked, T.StructType([T.StructField("k", key), T.StructField("y", T.IntegerType())]))
 
@@ -115,16 +108,42 @@ def sample(docs: DataFrame, labels: DataFrame, id: str, text: str, positives: in
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(rows, pa.list_(pa.int64()))], ["y", "f"])
 
     # The sample's ids are bounded by the two parameters, so they are broadcast.
-    found = docs.select(F.col(id).alias("k"), F.col(text).alias("text")).join(F.broadcast(picked), "k").select("y", "text").mapInArrow(run, "y int, f array<long>").toPandas()
     prior = float(np.clip(share if share is not None else 0.1, 0.005, 0.9))
-    return list(found.f), found.y.to_numpy(), prior
+    texts = docs.select(F.col(id).alias("k"), F.col(text).alias("text")).join(F.broadcast(picked), "k").select("y", "text")
+    return stored(texts.mapInArrow(run, "y int, f array<long>")), prior
 
 
 def fit(docs: DataFrame, labels: DataFrame, id: str = "doc_id", text: str = "text", prior: float | None = None, positives: int = POSITIVES, unlabelled: int = UNLABELLED):
     """The scorer; ``prior`` is the share of toxic documents, by default that of the labelled ones."""
     bound_batches(docs.sparkSession)
-    rows, y, estimated = sample(docs, labels.select("doc_id", "toxic"), id, text, positives, unlabelled)
-    return train(rows, y, estimated if prior is None else prior)
+    rows, estimated = sample(docs, labels.select("doc_id", "toxic"), id, text, positives, unlabelled)
+    prior = estimated if prior is None else prior
+    sizes = dict(rows.groupBy("y").count().toPandas().itertuples(index=False))
+
+    def tally(batches):
+        f, n = np.zeros(0, np.int64), np.zeros((0, 2), np.int64)
+        for batch in batches:
+            flat, size = batch.column(1).flatten().to_numpy(), batch.column(1).value_lengths().to_numpy()
+            y = np.repeat(batch.column(0).to_numpy(), size)
+            f, at = np.unique(np.concatenate([f, flat]), return_inverse=True)
+            weight = np.concatenate([n, np.stack([y, 1 - y], 1)])
+            n = np.stack([np.bincount(at, weight[:, k], len(f)) for k in (0, 1)], 1).astype(np.int64)
+        yield pa.RecordBatch.from_arrays([pa.array(f), pa.array(n[:, 0]), pa.array(n[:, 1])], ["f", "p", "u"])
+
+    counts = rows.mapInArrow(tally, "f long, p long, u long").groupBy("f").agg(F.sum("p").alias("p"), F.sum("u").alias("u")).where(F.col("p") >= LEAST).toPandas()
+    known = select_features(counts.f.to_numpy(np.int64), counts.p.to_numpy(np.float64), counts.u.to_numpy(np.float64), sizes.get(1, 0), sizes.get(0, 0), prior)
+
+    def places(batches):
+        for batch in batches:
+            flat, offsets = batch.column(1).flatten().to_numpy(), batch.column(1).offsets.to_numpy()
+            offsets = offsets - offsets[0]
+            at = np.minimum(np.searchsorted(known, flat), max(0, len(known) - 1))
+            hit = known[at] == flat if len(known) else np.zeros(len(flat), bool)
+            sums = np.concatenate([[0], np.cumsum(hit)])
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.ListArray.from_arrays(pa.array(sums[offsets], pa.int32()), pa.array(at[hit], pa.int32()))], ["y", "f"])
+
+    found = rows.mapInArrow(places, "y int, f array<int>").toPandas()
+    return train(known, list(found.f), found.y.to_numpy(), prior)
 
 
 class Scorer:
