@@ -14,7 +14,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..plans.filters import compile_filter
-from .retrieval import normalize, rank, reciprocal_rank_fusion
+from .retrieval import broadcast_if_small, normalize, rank, reciprocal_rank_fusion
 
 
 class ParquetIndex:
@@ -127,7 +127,7 @@ def bm25(cases: DataFrame, queries: DataFrame, k1: float = 1.5, b: float = 0.75,
     post = postings(cases, tokenize)
     size = cases.select(F.size(tokenize(F.col("text"))).alias("len")).agg(F.count("*").alias("N"), F.avg("len").alias("avg_len"))
     asked = queries.select("query_id", F.explode(F.array_distinct(tokenize(F.col("text")))).alias("term"))
-    post = post.join(F.broadcast(asked.select("term").distinct()), "term", "left_semi")
+    post = post.join(broadcast_if_small(asked.select("term").distinct()), "term", "left_semi")
     df = post.groupBy("term").agg(F.count("*").alias("df"))
     weighed = post.join(df, "term").crossJoin(F.broadcast(size)).withColumn("idf", F.log(1 + (F.col("N") - F.col("df") + 0.5) / (F.col("df") + 0.5)))
     part = F.col("idf") * F.col("tf") * (k1 + 1) / (F.col("tf") + k1 * (1 - b + b * F.col("len") / F.col("avg_len")))
@@ -135,7 +135,7 @@ def bm25(cases: DataFrame, queries: DataFrame, k1: float = 1.5, b: float = 0.75,
     if not every:
         out = found.join(cases.select("case_id", "ord"), "case_id")
     else:
-        out = cases.select("case_id", "ord").crossJoin(F.broadcast(queries.select("query_id"))).join(found, ["query_id", "case_id"], "left").fillna(0.0, ["sim"])
+        out = cases.select("case_id", "ord").crossJoin(broadcast_if_small(queries.select("query_id"))).join(found, ["query_id", "case_id"], "left").fillna(0.0, ["sim"])
     out = out.select("query_id", "case_id", "ord", "sim")
     return normalize(out) if normalized else out
 
@@ -158,7 +158,7 @@ def dense(cases: DataFrame, queries: DataFrame, metric: str = "cosine", limit: i
     else:
         power, root = (2, lambda v: F.sqrt(v)) if metric == "l2" else (1, lambda v: v)
         sim = 1 / (1 + root(F.aggregate(F.zip_with(a, b, lambda p, q: F.pow(F.abs(p.cast("double") - q.cast("double")), F.lit(power))), F.lit(0.0), lambda s, v: s + v)))
-    out = cases.select("case_id", "ord", "vector").crossJoin(F.broadcast(queries.select("query_id", F.col("vector").alias("q_vector")))).select("query_id", "case_id", "ord", sim.alias("sim"))
+    out = cases.select("case_id", "ord", "vector").crossJoin(broadcast_if_small(queries.select("query_id", F.col("vector").alias("q_vector")))).select("query_id", "case_id", "ord", sim.alias("sim"))
     return rank(out).where(F.col("rank") <= limit) if limit is not None else out
 
 

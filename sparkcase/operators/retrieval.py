@@ -34,6 +34,11 @@ def queries_of(df: DataFrame, key: str, columns: Sequence[str] | None = None) ->
     return df.select(F.col(key).alias("query_id"), F.struct(*columns).alias("query"))
 
 
+def broadcast_if_small(df: DataFrame, rows: int = BROADCAST_QUERIES) -> DataFrame:
+    """``df`` with a broadcast hint if it has at most ``rows`` rows, counted no further than that."""
+    return F.broadcast(df) if df.limit(rows + 1).count() <= rows else df
+
+
 def pairs(cases: DataFrame, queries: DataFrame, membership: DataFrame | None = None, on: Callable[[Column, Column], Column] | None = None) -> DataFrame:
     """Every case with every query; with ``membership`` only its ``(query_id, case_id)``; with ``on`` only where it holds.
 
@@ -42,8 +47,7 @@ def pairs(cases: DataFrame, queries: DataFrame, membership: DataFrame | None = N
     if membership is not None:
         out = membership.select("query_id", "case_id").join(cases, "case_id").join(queries, "query_id")
         return out.where(on(F.col("case"), F.col("query"))) if on else out
-    small = queries.limit(BROADCAST_QUERIES + 1).count() <= BROADCAST_QUERIES
-    other = F.broadcast(queries) if small else queries
+    other = broadcast_if_small(queries)
     return cases.join(other, on(cases["case"], queries["query"])) if on else cases.crossJoin(other)
 
 

@@ -5,7 +5,7 @@ from __future__ import annotations
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import graphs, measures as m, pooling, taxonomy
@@ -262,18 +262,18 @@ def sim_levenshtein(spark, sf_dir):
     return name_pairs(spark, sf_dir).select("x", "y", r6(m.levenshtein()(F.col("x"), F.col("y"))).alias("levenshtein"))
 
 
-# Sequences: the events of each user against those of the user with the next id.
+# Sequences: the events of each user against those of the user with the id one higher.
 
 
 def user_series(spark, sf_dir):
     events = table(spark, sf_dir, "events").groupBy("user_id").agg(F.array_sort(F.collect_list(F.struct("ts", "event_id", "event_type", "value"))).alias("e"))
     mine = events.select("user_id", F.col("e.event_type").alias("kinds"), F.col("e.value").alias("values"))
-    after = F.lead(F.struct("user_id", "kinds", "values")).over(Window.orderBy("user_id"))
-    return mine.withColumn("next", after).where("next is not null")
+    after = mine.select((F.col("user_id") - 1).alias("user_id"), F.struct("user_id", "kinds", "values").alias("next"))
+    return mine.join(after, "user_id")
 
 
-@query("""WITH u AS (SELECT user_id, list(event_type ORDER BY ts, event_id) AS k FROM events GROUP BY user_id), p AS (SELECT user_id, k, lead(user_id) OVER (ORDER BY user_id) AS other, lead(k) OVER (ORDER BY user_id) AS l FROM u)
-    SELECT user_id, other, %s AS jaccard, %s AS isolated_mapping FROM p WHERE other IS NOT NULL""" % (sql_r6("1 / (2 - len(list_intersect(list_distinct(k), list_distinct(l))) / len(list_distinct(list_concat(k, l)))::DOUBLE)"), sql_r6("list_sum(list_transform(l, lambda q: CASE WHEN list_contains(k, q) THEN 1e0 ELSE 0e0 END)) / len(l)")))
+@query("""WITH u AS (SELECT user_id, list(event_type ORDER BY ts, event_id) AS k FROM events GROUP BY user_id), p AS (SELECT a.user_id, a.k, b.user_id AS other, b.k AS l FROM u a JOIN u b ON b.user_id = a.user_id + 1)
+    SELECT user_id, other, %s AS jaccard, %s AS isolated_mapping FROM p""" % (sql_r6("1 / (2 - len(list_intersect(list_distinct(k), list_distinct(l))) / len(list_distinct(list_concat(k, l)))::DOUBLE)"), sql_r6("list_sum(list_transform(l, lambda q: CASE WHEN list_contains(k, q) THEN 1e0 ELSE 0e0 END)) / len(l)")))
 def sim_collections(spark, sf_dir):
     pairs = user_series(spark, sf_dir)
     x, y = F.col("kinds"), F.col("next.kinds")
@@ -282,7 +282,7 @@ def sim_collections(spark, sf_dir):
 
 @query()
 def sim_sequences(spark, sf_dir):
-    pairs = user_series(spark, sf_dir).repartition(F.col("user_id"))
+    pairs = user_series(spark, sf_dir)
     x, y, u, v = F.col("kinds"), F.col("next.kinds"), F.col("values"), F.col("next.values")
     return pairs.select(
         "user_id", r6(m.mapping()(x, y)).alias("mapping"), r6(m.sequence_correctness(0.5)(x, y)).alias("correctness"), r6(m.sequence_mapping(m.equality())(x, y)["value"]).alias("sequence_mapping"),
@@ -463,8 +463,8 @@ def sim_graphs(spark, sf_dir):
     nodes = F.transform("t", lambda r, i: F.struct(key(i).alias("key"), r["role"].alias("value")))
     edges = F.transform(F.slice("t", 1, F.greatest(F.size("t") - 1, F.lit(0))), lambda r, i: F.struct(F.concat(F.lit("e"), i.cast("string")).alias("key"), key(i).alias("source"), key(i + 1).alias("target"), F.lit(None).cast("string").alias("value")))
     chains = turns.select("conv_id", F.struct(nodes.alias("nodes"), edges.alias("edges")).alias("g"))
-    after = F.lead(F.struct("conv_id", "g")).over(Window.orderBy("conv_id"))
-    pairs = chains.withColumn("next", after).where("next is not null").repartition("conv_id")
+    after = chains.select((F.col("conv_id") - 1).alias("conv_id"), F.struct("conv_id", "g").alias("next"))
+    pairs = chains.join(after, "conv_id")
     same = graphs.Setting(node_matcher=lambda a, b: a == b)
     of = {"greedy": graphs.graph_measure("greedy", same), "lap": graphs.graph_measure("lap", same), "dtw": graphs.graph_measure("dtw", same)}
     return pairs.select("conv_id", *(r6(f(F.col("g"), F.col("next.g"))["value"]).alias(k) for k, f in of.items()))

@@ -8,12 +8,12 @@ from pyspark.sql.streaming import StreamingQuery
 
 from ..functions.measures import Measure
 from ..operators.index import ParquetIndex
-from ..operators.retrieval import score
+from ..operators.retrieval import broadcast_if_small, score
 
 
 def score_stream(queries: DataFrame, cases: DataFrame, measure: Measure, min_similarity: float = 0.0) -> DataFrame:
     """Pairs of streamed queries with a static case table whose score reaches the bound; stateless, so any output mode works."""
-    return score(queries.crossJoin(F.broadcast(cases)), measure).where(F.col("sim") >= min_similarity)
+    return score(queries.crossJoin(broadcast_if_small(cases)), measure).where(F.col("sim") >= min_similarity)
 
 
 def retain_stream(rows: DataFrame, index: ParquetIndex, checkpoint: str, **trigger) -> StreamingQuery:
