@@ -137,7 +137,7 @@ class Model:
         return sums[ends[1:]] - sums[ends[:-1]]
 
 
-def train(docs: DataFrame, order: int = ORDER, cells: int = 48 << 20) -> Model:
+def train(docs: DataFrame, order: int = ORDER, cells: int = 24 << 20) -> Model:
     """The model of all of ``(fold, text)``. ``cells`` bounds the table that every task holds: while the measured trie
     is larger the order is lowered by one, every count folded into the shorter contexts (order 1 always fits)."""
     table = stored(counts(docs, order))
@@ -151,7 +151,7 @@ def train(docs: DataFrame, order: int = ORDER, cells: int = 48 << 20) -> Model:
     return Model(*(t.column(c).to_numpy() for c in ("fold", "code", "n")), order)
 
 
-def score(docs: DataFrame, id: str = "doc_id", text: str = "text", order: int = ORDER, cells: int = 48 << 20) -> DataFrame:
+def score(docs: DataFrame, id: str = "doc_id", text: str = "text", order: int = ORDER, cells: int = 24 << 20) -> DataFrame:
     """``(id, n_bytes, bits, bits_per_byte)`` of every row of ``docs``.
 
     Counts come from all texts, repeated rows as often as they occur. A null text gives nulls; an empty text 0 bits
