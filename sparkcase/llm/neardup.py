@@ -17,7 +17,8 @@ from pyspark.sql import functions as F
 
 from .common import bound_batches, fits, slices, stored, token_hashes
 
-SIDES, HALF, SHINGLE, SIMILARITY = 5, 2, 3, 0.6
+#: A pair of similarity ``s`` shares a table with probability ``(1 - (1 - s**HALF)**SIDES)**2``: 0.91 at 0.6, 0.98 at 0.7.
+SIDES, HALF, SHINGLE, SIMILARITY = 7, 2, 3, 0.6
 
 
 def _spread(x: np.ndarray) -> np.ndarray:
@@ -184,14 +185,15 @@ def deduplicate(docs: DataFrame, id: str = "doc_id", text: str = "text", **how)
     judged = placed.join(first, "root").select("id", "th", "n", (F.col("rank") == F.col("first")).alias("stays"))
     gone = stored(judged.where("not stays").select(F.col("id").alias("gone_id"), F.col("th").alias("gone_th")))
     again = stored(judged.where("stays and n > 1").select(F.col("id").alias("gone_id"), F.col("th").alias("gone_th")))
-    columns, th = docs.columns, F.xxhash64(F.col(f"`{text}`"))
+    one = F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("row")
+    tagged = docs.select(one, F.col(f"`{id}`").alias("k"), F.xxhash64(F.col(f"`{text}`")).alias("t"), F.col(f"`{text}`").isNotNull().alias("has"))
 
     def matching(rows, pairs, how):
         pairs = F.broadcast(pairs) if fits(pairs, 40) else pairs
-        return rows.join(pairs, F.col(f"`{id}`").eqNullSafe(F.col("gone_id")) & (th == F.col("gone_th")) & F.col(f"`{text}`").isNotNull(), how).select(*(F.col(f"`{c}`") for c in columns))
+        return rows.join(pairs, F.col("k").eqNullSafe(F.col("gone_id")) & (F.col("t") == F.col("gone_th")) & F.col("has"), how)
 
-    kept = matching(docs, gone, "left_anti")
+    kept = matching(tagged, gone, "left_anti")
     if again.limit(1).count():
-        once = matching(kept, again, "left_semi").dropDuplicates([id, text])
+        once = matching(kept, again, "left_semi").dropDuplicates(["k", "t"])
         kept = matching(kept, again, "left_anti").unionByName(once)
-    return kept
+    return kept.select("row.*")
