@@ -15,7 +15,7 @@ from .retrieval import rank
 def default_prompt(scores: DataFrame, instructions: str | Column = "", encode: Callable[[Column], Column] = lambda c: F.to_json(F.struct(c)), metadata: Callable[[Column], Column] | None = None) -> DataFrame:
     """``(query_id, prompt)``: instructions, the query, and the documents in the order of their rank."""
     ranked = scores if "rank" in scores.columns else rank(scores)
-    block = F.concat(F.lit("### "), F.col("case_id").cast("string"), F.format_string(" (Rank: %d, Similarity: %.3f)\n\n", F.col("rank"), F.col("sim")), encode(F.col("case")))
+    block = F.concat(F.lit("### "), F.col("case_id").cast("string"), F.format_string(" (Rank: %d, Similarity: %.3f)\n\n", F.col("rank"), F.floor(F.col("sim") * 1000 + 0.5) / 1000), encode(F.col("case")))
     docs = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("rank", block.alias("text")))), lambda r: r["text"]), "\n\n")
     extra = [F.first(metadata(F.col("query"))).alias("metadata")] if metadata else []
     out = ranked.groupBy("query_id").agg(docs.alias("docs"), F.first("query").alias("query"), *extra)

@@ -356,7 +356,7 @@ def eval_metrics(spark, sf_dir):
 
 @query(f"""WITH s AS ({PRICE}), z AS ({SIZE}), j AS (SELECT s.query_id, s.case_id, CAST(floor(s.sim * 4) AS INT) AS rel, z.sim FROM s JOIN z USING (query_id, case_id)),
     p AS (SELECT a.query_id, (a.sim - b.sim) * (a.rel - b.rel) > 0 AS ok FROM j a JOIN j b ON a.query_id = b.query_id AND a.case_id < b.case_id AND a.rel <> b.rel)
-    SELECT query_id, count(*) FILTER (ok) AS concordant, count(*) FILTER (NOT ok) AS discordant, count(*) AS total FROM p GROUP BY query_id""")
+    SELECT query_id, count(*) FILTER (ok) AS concordant, count(*) FILTER (NOT ok) AS discordant, count(ok) AS total FROM (SELECT DISTINCT query_id FROM j) LEFT JOIN p USING (query_id) GROUP BY query_id""")
 def eval_concordances(spark, sf_dir):
     paired = retrieval.pairs(part_cases(spark, sf_dir), brand_queries(spark, sf_dir))
     price = retrieval.build(rounded(m.transpose(m.linear(100), lambda c: c["price"])))(paired)
@@ -435,7 +435,7 @@ def cycle_retain(spark, sf_dir):
 # Prompts, chunks, graphs, sources.
 
 
-@query(f"SELECT query_id, '## Query\n\n' || query_id || '\n\n## Documents Collection\n\n' || string_agg('### ' || case_id || ' (Rank: ' || rank || ', Similarity: ' || printf('%.3f', sim) || ')\n\n' || case_id, '\n\n' ORDER BY rank) AS prompt FROM ({ranked_sql(PART_SCORES, 'rank <= 5')}) GROUP BY query_id")
+@query(f"SELECT query_id, '## Query\n\n' || query_id || '\n\n## Documents Collection\n\n' || string_agg('### ' || case_id || ' (Rank: ' || rank || ', Similarity: ' || printf('%.3f', floor(sim * 1000 + 0.5) / 1000) || ')\n\n' || case_id, '\n\n' ORDER BY rank) AS prompt FROM ({ranked_sql(PART_SCORES, 'rank <= 5')}) GROUP BY query_id")
 def synthesis_prompt(spark, sf_dir):
     cases, queries = part_cases(spark, sf_dir), brand_queries(spark, sf_dir)
     found = retrieval.apply_queries(cases, queries, retrieval.dropout(retrieval.build(rounded(part_measure())), limit=5)).final
