@@ -1,18 +1,18 @@
 """HTML extraction by wrapper induction: the DOM trees of a host's pages are aligned by simple tree matching.
 
-A host's template is the union of its aligned trees. Each node samples the distinct texts that the pages show there
-and counts each of them; a node whose texts come again is template, one whose texts vary is a slot of content.
-Templates are built for each part of the pages and merged in two steps, so no task sees all pages of a large host.
+A host's template is the union of its aligned trees. Every page is then aligned to it, and all texts shown at each
+template node are counted; a node whose texts come again is template, one whose texts vary is a slot of content.
+Templates are built for each part of the pages and merged in two steps, and texts are counted by one aggregation, so
+no task sees all pages of a large host.
 """
 
 from __future__ import annotations
 
-import heapq
+import hashlib
 import html as entities
 import pickle
 import re
 import zlib
-from collections import Counter
 
 import pandas as pd
 import pyarrow as pa
@@ -21,8 +21,8 @@ from pyspark.sql import functions as F
 
 from .common import BROADCAST_LIMIT, bound_batches, slices, stored
 
-#: Distinct texts kept by a node's sketch, share of them that only one page shows in a slot, deepest nesting, most siblings.
-SKETCH, VARIES, DEPTH, WIDE = 128, 0.85, 60, 48
+#: Share of a slot's distinct texts that are shown only once, deepest nesting, most siblings.
+VARIES, DEPTH, WIDE = 0.85, 60, 48
 #: Hosts whose partial templates a task holds at once.
 HOSTS = 2000
 
@@ -151,85 +151,68 @@ def matching(a: list, b: list, label_a, label_b, children_a, children_b, memo: d
     return best[n][m], pairs[::-1]
 
 
-# A template node is [label, texts shown, counts of the least text hashes, children].
+# A template node is [label, children]; numbered, it is [label, children, number].
 
 
 def _template(node: Node) -> list:
-    return [node.label, len(node.texts), _least(Counter(_hash(t) for _, _, t in node.texts)), [_template(c) for c in node.children]]
-
-
-def _least(counts: dict) -> dict:
-    """The ``SKETCH`` least hashes with their counts: an even sample of the distinct texts, exact under merging."""
-    return dict(counts) if len(counts) <= SKETCH else {h: counts[h] for h in heapq.nsmallest(SKETCH, counts)}
+    return [node.label, [_template(c) for c in node.children]]
 
 
 def _hash(text: str) -> int:
-    data = text.encode("utf-8", "surrogatepass")
-    return (zlib.crc32(data) * 2654435761 + zlib.adler32(data) * 40503) & 0xFFFFFFFF
+    return int.from_bytes(hashlib.blake2b(text.encode("utf-8", "surrogatepass"), digest_size=8).digest(), "little", signed=True)
 
 
 def merge(a: list, b: list) -> list:
     """``a`` grown by template ``b`` of the same label: aligned nodes are merged, others inserted where they belong."""
-    a[1] += b[1]
-    if b[2]:
-        counts = a[2]
-        for h, n in b[2].items():
-            counts[h] = counts.get(h, 0) + n
-        if len(counts) > SKETCH:
-            a[2] = _least(counts)
-    if b[3]:
-        if len(a[3]) == len(b[3]) and all(x[0] == y[0] for x, y in zip(a[3], b[3])):
-            pairs = [(i, i) for i in range(len(a[3]))]
+    if b[1]:
+        if len(a[1]) == len(b[1]) and all(x[0] == y[0] for x, y in zip(a[1], b[1])):
+            pairs = [(i, i) for i in range(len(a[1]))]
         else:
-            label, children = (lambda x: x[0]), (lambda x: x[3])
-            _, pairs = matching(a[3], b[3], label, label, children, children, {})
+            label, children = (lambda x: x[0]), (lambda x: x[1])
+            _, pairs = matching(a[1], b[1], label, label, children, children, {})
         partner = {j: i for i, j in pairs}
         out, done = [], 0
-        for j, child in enumerate(b[3]):
+        for j, child in enumerate(b[1]):
             if j in partner:
-                out += a[3][done : partner[j]]
-                out.append(merge(a[3][partner[j]], child))
+                out += a[1][done : partner[j]]
+                out.append(merge(a[1][partner[j]], child))
                 done = partner[j] + 1
             else:
                 out.append(child)
-        a[3] = out + a[3][done:]
+        a[1] = out + a[1][done:]
     return a
 
 
-def varies(node: list, limit: float = VARIES) -> bool:
-    """Whether a template node is a slot: of its distinct texts at least ``limit`` were shown only once."""
-    return sum(n == 1 for n in node[2].values()) >= limit * max(1, len(node[2]))
+def number(template: list) -> list:
+    """``template`` with its nodes numbered in their order."""
+    todo, n = [template], 0
+    while todo:
+        node = todo.pop()
+        node.append(n)
+        n += 1
+        todo += reversed(node[1])
+    return template
 
 
-def extract(page: Node, template: list, limit: float = VARIES) -> tuple[str, int, int]:
-    """Content of a page, blocks as lines, and how many of its texts are content and template."""
-    found, dropped = [], 0
+def align(page: Node, template: list) -> list[tuple[int, int, int, str]]:
+    """``(place, block, node, text)`` of a page's texts in order; the template node is -1 where nothing matches."""
+    found = []
 
     def walk(node, known):
-        nonlocal dropped
-        if known is None or varies(known, limit):
-            found.extend(node.texts)
-        else:
-            dropped += len(node.texts)
+        at = -1 if known is None else known[2]
+        found.extend((place, block, at, text) for place, block, text in node.texts)
         partner: dict = {}
         if known is not None and node.children:
-            if len(node.children) == len(known[3]) and all(x.label == y[0] for x, y in zip(node.children, known[3])):
-                partner = {i: known[3][i] for i in range(len(node.children))}
+            if len(node.children) == len(known[1]) and all(x.label == y[0] for x, y in zip(node.children, known[1])):
+                partner = {i: known[1][i] for i in range(len(node.children))}
             else:
-                _, pairs = matching(node.children, known[3], lambda x: x.label, lambda x: x[0], lambda x: x.children, lambda x: x[3], {})
-                partner = {i: known[3][j] for i, j in pairs}
+                _, pairs = matching(node.children, known[1], lambda x: x.label, lambda x: x[0], lambda x: x.children, lambda x: x[1], {})
+                partner = {i: known[1][j] for i, j in pairs}
         for i, child in enumerate(node.children):
             walk(child, partner.get(i))
 
     walk(page, template)
-    lines: list[list[str]] = []
-    last = None
-    for _, block, text in sorted(found):
-        if block != last:
-            lines.append([])
-        lines[-1].append(text)
-        last = block
-    return "\n".join(" ".join(x) for x in lines), len(found), dropped
+    return sorted(found)
 
 
 def host(url: Column) -> Column:
@@ -274,6 +257,41 @@ def templates(pages: DataFrame, url: str = "url", html: str = "html") -> DataFra
     return partial.select("host", "pages", "template")
 
 
+def aligned(pages: DataFrame, id: str = "page_id", url: str = "url", html: str = "html") -> DataFrame:
+    """``(id, host, nodes, hashes, blocks, texts)``: the texts of every page in order, aligned to the host's template."""
+    known = stored(templates(pages, url, html))
+    total = known.agg(F.sum(F.length("template"))).first()[0] or 0
+    rows = pages.select(F.col(id).alias("id"), host(F.col(url)).alias("host"), F.col(html).alias("html"))
+    joined = rows.join(F.broadcast(known) if total <= BROADCAST_LIMIT else known, "host", "left").select("id", "host", "html", "template")
+
+    def run(batches):
+        cache: dict[bytes, list] = {}
+        for batch in slices(batches):
+            out = []
+            for source, packed in zip(batch.column(2).to_pylist(), batch.column(3).to_pylist()):
+                if source is None:
+                    out.append((None, None, None, None))
+                    continue
+                if packed not in cache:
+                    if len(cache) >= HOSTS:
+                        cache.clear()
+                    cache[packed] = number(pickle.loads(packed))
+                found = align(parse(source), cache[packed])
+                out.append(([x[2] for x in found], [_hash(x[3]) for x in found], [x[1] for x in found], [x[3] for x in found]))
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), *(pa.array([o[k] for o in out], pa.list_(kind)) for k, kind in enumerate((pa.int32(), pa.int64(), pa.int32(), pa.string())))], ["id", "host", "nodes", "hashes", "blocks", "texts"])
+
+    kind = rows.schema["id"].dataType.simpleString()
+    return joined.mapInArrow(run, f"id {kind}, host string, nodes array<int>, hashes array<long>, blocks array<int>, texts array<string>")
+
+
+def constants(texts: DataFrame, limit: float = VARIES) -> DataFrame:
+    """``(host, constant)``: the template nodes of ``aligned`` pages that are no slots, from the counts of all texts: of
+    a slot's distinct texts at least ``limit`` were shown only once."""
+    shown = texts.select("host", F.explode(F.arrays_zip("nodes", "hashes")).alias("x")).select("host", "x.nodes", "x.hashes").where("nodes >= 0")
+    nodes = shown.groupBy("host", "nodes", "hashes").count().groupBy("host", "nodes").agg(F.count_if(F.col("count") == 1).alias("once"), F.count("*").alias("texts"))
+    return nodes.where(F.col("once") < F.lit(limit) * F.col("texts")).groupBy("host").agg(F.collect_list("nodes").alias("constant"))
+
+
 def extract_pages(pages: DataFrame, id: str = "page_id", url: str = "url", html: str = "html", limit: float = VARIES) -> DataFrame:
     """``(id, host, content, n_content, n_template)`` of every row of ``pages``.
 
@@ -282,25 +300,40 @@ def extract_pages(pages: DataFrame, id: str = "page_id", url: str = "url", html:
     make their texts look constant. Other columns are dropped.
     """
     bound_batches(pages.sparkSession)
-    known = stored(templates(pages, url, html))
-    total = known.agg(F.sum(F.length("template"))).first()[0] or 0
-    rows = pages.select(F.col(id).alias("id"), host(F.col(url)).alias("host"), F.col(html).alias("html"))
-    joined = rows.join(F.broadcast(known) if total <= BROADCAST_LIMIT else known, "host", "left").select("id", "host", "html", "template")
-    kind = rows.schema["id"].dataType.simpleString()
+    kind = pages.schema[id].dataType.simpleString()
+    texts = stored(aligned(pages, id, url, html))
+    known = stored(constants(texts, limit))
+    total = known.agg(F.sum(F.size("constant"))).first()[0] or 0
+    joined = texts.join(F.broadcast(known) if 4 * total <= BROADCAST_LIMIT else known, "host", "left").select("id", "host", "nodes", "blocks", "texts", "constant")
 
     def run(batches):
-        cache: dict[bytes, list] = {}
+        cache: dict[str, set] = {}
         for batch in slices(batches):
             out = []
-            for source, packed in zip(batch.column(2).to_pylist(), batch.column(3).to_pylist()):
-                if source is None:
+            hosts, nodes, blocks, texts = (batch.column(k).to_pylist() for k in range(1, 5))
+            for i, h in enumerate(hosts):
+                if texts[i] is None:
                     out.append((None, None, None))
                     continue
-                if packed not in cache:
+                if h not in cache:
                     if len(cache) >= HOSTS:
                         cache.clear()
-                    cache[packed] = pickle.loads(packed)
-                out.append(extract(parse(source), cache[packed], limit))
+                    cache[h] = set(batch.column(5)[i].as_py() or ())
+                out.append(extract(nodes[i], blocks[i], texts[i], cache[h]))
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), *(pa.array([o[k] for o in out], kind) for k, kind in enumerate((pa.string(), pa.int32(), pa.int32())))], [id, "host", "content", "n_content", "n_template"])
 
     return joined.mapInArrow(run, f"`{id}` {kind}, host string, content string, n_content int, n_template int")
+
+
+def extract(nodes: list, blocks: list, texts: list, constant: set) -> tuple[str, int, int]:
+    """Content of a page, blocks as lines, and how many of its texts are content and template."""
+    lines: list[list[str]] = []
+    last, kept = None, 0
+    for node, block, text in zip(nodes, blocks, texts):
+        if node in constant:
+            continue
+        if block != last:
+            lines.append([])
+        lines[-1].append(text)
+        last, kept = block, kept + 1
+    return "\n".join(" ".join(x) for x in lines), kept, len(texts) - kept

@@ -179,6 +179,14 @@ def test_wrapper_keeps_what_varies(spark):
     assert wrappers.extract_pages(spark.createDataFrame([], "page_id long, url string, html string")).count() == 0
 
 
+def test_wrapper_counts_all_texts(spark):
+    """348 of 400 titles are shown once, 52 twice: a slot, though a sample of 128 may take it for template."""
+    titles = [f"title 15 {i}" for i in range(400)]
+    rows = [(i, "http://a.example/x", f"<h1>{t}</h1><p>same</p>") for i, t in enumerate(titles + titles[:52])]
+    got = wrappers.extract_pages(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()
+    assert {r.page_id: r.content for r in got} == dict(enumerate(titles + titles[:52]))
+
+
 def test_simple_tree_matching_equals_brute_force():
     rng = np.random.default_rng(1)
 
