@@ -1,7 +1,9 @@
 """HTML extraction by wrapper induction: the DOM trees of a host's pages are aligned by simple tree matching.
 
 A host's template is the union of its aligned trees. Every page is then aligned to it, and all texts shown at each
-template node are counted; a node whose texts come again is template, one whose texts vary is a slot of content.
+template node are counted by the pages that show them. A text on most pages that show its node is template; all others
+fill a slot and are content, however often a value comes again. In parts that HTML itself sets apart from the content
+(navigation, page footer, advertisement) any text that several pages show is template.
 Templates are built for each part of the pages and merged in two steps, and texts are counted by one aggregation, so
 no task sees all pages of a large host.
 """
@@ -21,8 +23,10 @@ from pyspark.sql import functions as F
 
 from .common import BROADCAST_LIMIT, bound_batches, slices, stored
 
-#: Share of a slot's distinct texts that are shown only once, deepest nesting, most siblings.
-VARIES, DEPTH, WIDE = 0.85, 60, 48
+#: A template text is on more than this share of the pages that show its node, and on this share of the host's pages.
+MOST, RARE = 0.5, 0.05
+#: Deepest nesting, most siblings.
+DEPTH, WIDE = 60, 48
 #: Hosts whose partial templates a task holds at once.
 HOSTS = 2000
 
@@ -31,6 +35,9 @@ _TAG = re.compile(r"</?\s*([a-zA-Z][\w:-]*)")
 _CLASS = re.compile(r"""\bclass\s*=\s*(?:"\s*([^"\s]+)|'\s*([^'\s]+)|([^\s"'>]+))""", re.I)
 _VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 _BLOCK = frozenset("address article aside blockquote body dd div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hr html li main nav ol p pre section table tbody td tfoot th thead tr ul".split())
+#: Tags and classes of parts beside the content; a footer or header within these tags belongs to the content.
+_ASIDE = frozenset("nav aside menu .nav .navbar .menu .breadcrumb .breadcrumbs .sidebar .ad .ads .advert .advertisement .banner .sponsored .cookie .footer".split())
+_EDGE, _CONTENT = frozenset(("footer", "header")), frozenset(("article", "main", "section", "blockquote"))
 #: An opening tag ends an open element of these names, unless an element of the second set lies between.
 _ENDS = {"p": ({"p"}, {"div", "article", "section", "li", "td", "body", "blockquote"}), "li": ({"li"}, {"ul", "ol"}), "tr": ({"tr"}, {"table"}), "td": ({"td", "th"}, {"tr"}), "th": ({"td", "th"}, {"tr"}), "dt": ({"dt", "dd"}, {"dl"}), "dd": ({"dt", "dd"}, {"dl"}), "option": ({"option"}, {"select"})}
 for _name in ("div", "article", "section", "ul", "ol", "table", "h1", "h2", "h3", "h4", "h5", "h6", "footer", "nav", "header", "blockquote", "pre", "form"):
@@ -151,7 +158,7 @@ def matching(a: list, b: list, label_a, label_b, children_a, children_b, memo: d
     return best[n][m], pairs[::-1]
 
 
-# A template node is [label, children]; numbered, it is [label, children, number].
+# A template node is [label, children]; numbered, it is [label, children, number, whether beside the content].
 
 
 def _template(node: Node) -> list:
@@ -184,23 +191,25 @@ def merge(a: list, b: list) -> list:
 
 
 def number(template: list) -> list:
-    """``template`` with its nodes numbered in their order."""
-    todo, n = [template], 0
+    """``template`` with its nodes numbered in their order, and those beside the content marked."""
+    todo, n = [(template, False, False)], 0
     while todo:
-        node = todo.pop()
-        node.append(n)
+        node, aside, content = todo.pop()
+        tag, _, kind = node[0].lower().partition(".")
+        aside = aside or tag in _ASIDE or "." + kind in _ASIDE or (tag in _EDGE and not content)
+        node += (n, aside)
         n += 1
-        todo += reversed(node[1])
+        todo += [(child, aside, content or tag in _CONTENT) for child in reversed(node[1])]
     return template
 
 
-def align(page: Node, template: list) -> list[tuple[int, int, int, str]]:
-    """``(place, block, node, text)`` of a page's texts in order; the template node is -1 where nothing matches."""
+def align(page: Node, template: list) -> list[tuple[int, int, int, str, bool]]:
+    """``(place, block, node, text, beside the content)`` of a page's texts in order; node -1 where nothing matches."""
     found = []
 
     def walk(node, known):
-        at = -1 if known is None else known[2]
-        found.extend((place, block, at, text) for place, block, text in node.texts)
+        at, aside = (-1, False) if known is None else known[2:]
+        found.extend((place, block, at, text, aside) for place, block, text in node.texts)
         partner: dict = {}
         if known is not None and node.children:
             if len(node.children) == len(known[1]) and all(x.label == y[0] for x, y in zip(node.children, known[1])):
@@ -258,7 +267,8 @@ def templates(pages: DataFrame, url: str = "url", html: str = "html") -> DataFra
 
 
 def aligned(pages: DataFrame, id: str = "page_id", url: str = "url", html: str = "html") -> DataFrame:
-    """``(id, host, nodes, hashes, blocks, texts)``: the texts of every page in order, aligned to the host's template."""
+    """``(id, host, page, nodes, hashes, asides, blocks, texts)``: the texts of every page in order, aligned to the host's
+    template; pages that show the same have the same ``page``."""
     known = stored(templates(pages, url, html))
     total = known.agg(F.sum(F.length("template"))).first()[0] or 0
     rows = pages.select(F.col(id).alias("id"), host(F.col(url)).alias("host"), F.col(html).alias("html"))
@@ -270,47 +280,60 @@ def aligned(pages: DataFrame, id: str = "page_id", url: str = "url", html: str =
             out = []
             for source, packed in zip(batch.column(2).to_pylist(), batch.column(3).to_pylist()):
                 if source is None:
-                    out.append((None, None, None, None))
+                    out.append((None,) * 6)
                     continue
                 if packed not in cache:
                     if len(cache) >= HOSTS:
                         cache.clear()
                     cache[packed] = number(pickle.loads(packed))
                 found = align(parse(source), cache[packed])
-                out.append(([x[2] for x in found], [_hash(x[3]) for x in found], [x[1] for x in found], [x[3] for x in found]))
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), *(pa.array([o[k] for o in out], pa.list_(kind)) for k, kind in enumerate((pa.int32(), pa.int64(), pa.int32(), pa.string())))], ["id", "host", "nodes", "hashes", "blocks", "texts"])
+                nodes, hashes = [x[2] for x in found], [_hash(x[3]) for x in found]
+                out.append((_hash(repr((nodes, hashes))), nodes, hashes, [x[4] for x in found], [x[1] for x in found], [x[3] for x in found]))
+            kinds = (pa.int64(), *map(pa.list_, (pa.int32(), pa.int64(), pa.bool_(), pa.int32(), pa.string())))
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), *(pa.array([o[k] for o in out], kind) for k, kind in enumerate(kinds))], ["id", "host", "page", "nodes", "hashes", "asides", "blocks", "texts"])
 
     kind = rows.schema["id"].dataType.simpleString()
-    return joined.mapInArrow(run, f"id {kind}, host string, nodes array<int>, hashes array<long>, blocks array<int>, texts array<string>")
+    return joined.mapInArrow(run, f"id {kind}, host string, page long, nodes array<int>, hashes array<long>, asides array<boolean>, blocks array<int>, texts array<string>")
 
 
-def constants(texts: DataFrame, limit: float = VARIES) -> DataFrame:
-    """``(host, constant)``: the template nodes of ``aligned`` pages that are no slots, from the counts of all texts: of
-    a slot's distinct texts at least ``limit`` were shown only once."""
-    shown = texts.select("host", F.explode(F.arrays_zip("nodes", "hashes")).alias("x")).select("host", "x.nodes", "x.hashes").where("nodes >= 0")
-    nodes = shown.groupBy("host", "nodes", "hashes").count().groupBy("host", "nodes").agg(F.count_if(F.col("count") == 1).alias("once"), F.count("*").alias("texts"))
-    return nodes.where(F.col("once") < F.lit(limit) * F.col("texts")).groupBy("host").agg(F.collect_list("nodes").alias("constant"))
+def constants(texts: DataFrame, limit: float = MOST) -> DataFrame:
+    """``(host, constant)``: the texts of ``aligned`` pages that are template, as pairs of a node and a text's hash.
 
-
-def extract_pages(pages: DataFrame, id: str = "page_id", url: str = "url", html: str = "html", limit: float = VARIES) -> DataFrame:
+    Counted are the different pages of a host. A text of two pages or more is template where it is on more than
+    ``limit`` of the pages that show its node, and on ``RARE`` of all; beside the content, in any case.
+    """
+    pages = texts.where("page is not null").select("host", "page", "nodes", "hashes", "asides").dropDuplicates(["host", "page"])
+    each = F.array_distinct(F.arrays_zip("nodes", "hashes", "asides"))
+    node = F.transform(F.array_distinct("nodes"), lambda n: F.struct(n.alias("nodes"), F.lit(None).cast("long").alias("hashes"), F.lit(False).alias("asides")))
+    whole = F.array(F.struct(F.lit(-2).alias("nodes"), F.lit(None).cast("long").alias("hashes"), F.lit(False).alias("asides")))
+    counts = pages.select("host", F.explode(F.concat(each, node, whole)).alias("x")).select("host", "x.*").groupBy("host", "nodes", "hashes", "asides").agg(F.count("*").alias("n"))
+    counts = stored(counts.where("n >= 2 and nodes != -1"))
+    shown = counts.where("hashes is null").select("host", "nodes", F.col("n").alias("shown"))
+    of_host = shown.where("nodes = -2").select("host", F.col("shown").alias("pages"))
+    found = counts.where("hashes is not null").join(shown, ["host", "nodes"]).join(of_host, "host")
+    found = found.where(F.col("asides") | ((F.col("n") > F.lit(limit) * F.col("shown")) & (F.col("n") >= RARE * F.col("pages"))))
+    return found.groupBy("host").agg(F.collect_list(F.struct("nodes", "hashes")).alias("constant"))
+
+
+def extract_pages(pages: DataFrame, id: str = "page_id", url: str = "url", html: str = "html", limit: float = MOST) -> DataFrame:
     """``(id, host, content, n_content, n_template)`` of every row of ``pages``.
 
     A null HTML gives null content, an empty one empty content. A host with a single page has no repeated text, so
-    all its text is content; pages without a host form one group. Repeated pages count as often as they occur and
-    make their texts look constant. Other columns are dropped.
+    all its text is content; pages without a host form one group. Pages that show the same count once. Other columns
+    are dropped.
     """
     bound_batches(pages.sparkSession)
     kind = pages.schema[id].dataType.simpleString()
     texts = stored(aligned(pages, id, url, html))
     known = stored(constants(texts, limit))
     total = known.agg(F.sum(F.size("constant"))).first()[0] or 0
-    joined = texts.join(F.broadcast(known) if 4 * total <= BROADCAST_LIMIT else known, "host", "left").select("id", "host", "nodes", "blocks", "texts", "constant")
+    joined = texts.join(F.broadcast(known) if 32 * total <= BROADCAST_LIMIT else known, "host", "left").select("id", "host", "nodes", "hashes", "blocks", "texts", "constant")
 
     def run(batches):
         cache: dict[str, set] = {}
         for batch in slices(batches):
             out = []
-            hosts, nodes, blocks, texts = (batch.column(k).to_pylist() for k in range(1, 5))
+            hosts, nodes, hashes, blocks, texts = (batch.column(k).to_pylist() for k in range(1, 6))
             for i, h in enumerate(hosts):
                 if texts[i] is None:
                     out.append((None, None, None))
@@ -318,19 +341,19 @@ def extract_pages(pages: DataFrame, id: str = "page_id", url: str = "url", html:
                 if h not in cache:
                     if len(cache) >= HOSTS:
                         cache.clear()
-                    cache[h] = set(batch.column(5)[i].as_py() or ())
-                out.append(extract(nodes[i], blocks[i], texts[i], cache[h]))
+                    cache[h] = {(x["nodes"], x["hashes"]) for x in batch.column(6)[i].as_py() or ()}
+                out.append(extract(nodes[i], hashes[i], blocks[i], texts[i], cache[h]))
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), *(pa.array([o[k] for o in out], kind) for k, kind in enumerate((pa.string(), pa.int32(), pa.int32())))], [id, "host", "content", "n_content", "n_template"])
 
     return joined.mapInArrow(run, f"`{id}` {kind}, host string, content string, n_content int, n_template int")
 
 
-def extract(nodes: list, blocks: list, texts: list, constant: set) -> tuple[str, int, int]:
+def extract(nodes: list, hashes: list, blocks: list, texts: list, constant: set) -> tuple[str, int, int]:
     """Content of a page, blocks as lines, and how many of its texts are content and template."""
     lines: list[list[str]] = []
     last, kept = None, 0
-    for node, block, text in zip(nodes, blocks, texts):
-        if node in constant:
+    for node, hash, block, text in zip(nodes, hashes, blocks, texts):
+        if (node, hash) in constant:
             continue
         if block != last:
             lines.append([])

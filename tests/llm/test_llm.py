@@ -179,6 +179,28 @@ def test_wrapper_keeps_what_varies(spark):
     assert wrappers.extract_pages(spark.createDataFrame([], "page_id long, url string, html string")).count() == 0
 
 
+def test_wrapper_verdict_is_alike_at_every_size(spark):
+    """Slots with few values, copied articles and pages that occur twice stay; what most pages show goes."""
+
+    def page(i, article):
+        return f'<nav><a>link {i % 7}</a></nav><h1>title {article}</h1><i class="author">author {i % 5}</i><p>text {article}</p><b>buy</b><article><footer>by {i % 3}</footer></article><footer>us {i % 4}</footer>'
+
+    def content(i, article):
+        return f"title {article}\nauthor {i % 5}\ntext {article}\nby {i % 3}"
+
+    rows = [(f"{n}.example", i, i - i % 2 if copied else i) for n in (40, 600) for copied in (0, 1) for i in range(n)]
+    want = [content(i, a) for _, i, a in rows]
+    pages = [(k, f"http://{h}", page(i, a)) for k, (h, i, a) in enumerate(rows)]
+    twice = [(len(pages) + k, "http://twice.example", page(i % 50, i % 50)) for k, i in enumerate(range(100))]
+    got = {r.page_id: r.content for r in wrappers.extract_pages(spark.createDataFrame(pages + twice, "page_id long, url string, html string")).collect()}
+    assert got == dict(enumerate(want + [content(i % 50, i % 50) for i in range(100)]))
+
+
+def test_wrapper_single_page_twice(spark):
+    rows = [(i, "http://a.example", "<nav>home</nav><h1>title</h1>") for i in range(2)]
+    assert {r.content for r in wrappers.extract_pages(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()} == {"home\ntitle"}
+
+
 def test_wrapper_counts_all_texts(spark):
     """348 of 400 titles are shown once, 52 twice: a slot, though a sample of 128 may take it for template."""
     titles = [f"title 15 {i}" for i in range(400)]
