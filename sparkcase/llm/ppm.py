@@ -75,83 +75,117 @@ def counts(docs: DataFrame, order: int = ORDER) -> DataFrame:
     return docs.mapInArrow(run, "fold int, code long, n long").groupBy("fold", "code").agg(F.sum("n").alias("n"))
 
 
+def _find(known: np.ndarray, wanted: np.ndarray) -> np.ndarray:
+    """Place of each ``wanted`` code in the sorted codes ``known``, -1 where it isn't."""
+    if not len(known):
+        return np.full(len(wanted), -1, np.int64)
+    at = np.minimum(np.searchsorted(known, wanted), len(known) - 1)
+    return np.where(known[at] == wanted, at, -1)
+
+
+def _low(code: np.ndarray, size: int) -> np.ndarray:
+    """The ``size`` least bytes of each code."""
+    return code & np.uint32((1 << 8 * size) - 1)
+
+
+class _Level:
+    """The contexts of one length in one model: the pairs (context, symbol) that were seen, and no others.
+
+    ``whole`` are the logarithm of ``n + d`` and the bits of an escape for each context by itself, ``rest`` those of its
+    one byte shorter context without the symbols seen here. What a longer context has seen the shorter has seen too, so
+    of all longer contexts only the next excludes anything.
+    """
+
+    __slots__ = ("pairs", "n", "contexts", "total", "distinct", "whole", "rest")
+
+    def __init__(self, pairs: np.ndarray, n: np.ndarray):
+        self.pairs, self.n = pairs, n
+        self.contexts, first = np.unique(pairs >> np.uint32(8), return_index=True)
+        self.total = np.add.reduceat(n, first) if len(first) else np.zeros(0, np.int64)
+        self.distinct = np.diff(np.append(first, len(pairs)))
+        self.whole, self.rest = self._bits(self.total, self.distinct), None
+
+    def exclude(self, shorter: _Level, k: int) -> None:
+        """Sets ``rest``, for contexts of ``k`` bytes."""
+        first = np.append(0, np.cumsum(self.distinct))[:-1]
+        here = _find(shorter.contexts, _low(self.contexts, k - 1))
+        gone = np.add.reduceat(shorter.n[_find(shorter.pairs, _low(self.pairs, k))], first) if len(first) else np.zeros(0, np.int64)
+        self.rest = self._bits(shorter.total[here] - gone, shorter.distinct[here] - self.distinct)
+
+    def pack(self) -> _Level:
+        """Keeps what coding needs: logarithms for counts, no sums."""
+        self.n, self.total = np.log2(self.n).astype(np.float32), None
+        return self
+
+    @staticmethod
+    def _bits(total, distinct):
+        size = np.log2(np.maximum(total + distinct, 1))
+        return size.astype(np.float32), np.where(distinct > 0, size - np.log2(np.maximum(distinct, 1)), 0).astype(np.float32)
+
+
 class Model:
-    """Code lengths in bits of every symbol after every known context, per fold; shorter contexts stand in for unknown ones."""
+    """The trie of each fold, held sparsely, and the code length in bits of any symbol after any context."""
 
     def __init__(self, fold: np.ndarray, code: np.ndarray, n: np.ndarray, order: int):
         self.order = order
-        symbols = np.unique(code & 255)
-        self.symbol = np.full(256, len(symbols), np.int64)  # the last column stands for all symbols never seen
-        self.symbol[symbols] = np.arange(len(symbols))
-        self.places, self.contexts, tables = [], [], []
-        for k in range(order + 1):
-            self.contexts.append(np.unique((code >> 8) & ((1 << 8 * k) - 1)) if len(code) else np.zeros(1, np.int64))
-        for f in range(FOLDS):
-            mine = fold != f  # the fold is coded by the others' counts
-            by_order = []
-            for k in range(order + 1):
-                c = np.zeros((len(self.contexts[k]), len(symbols) + 1))
-                np.add.at(c, (np.searchsorted(self.contexts[k], (code[mine] >> 8) & ((1 << 8 * k) - 1)), self.symbol[code[mine] & 255]), n[mine])
-                by_order.append(c)
-            tables.append([self._costs(by_order, k, len(symbols)) for k in range(order + 1)])
-        self.base = np.cumsum([0, *map(len, self.contexts)])
-        self.cost = [np.concatenate(t).astype(np.float32) for t in tables]
-
-    def _costs(self, by_order, top, symbols):
-        contexts, out = self.contexts[top], []
-        for start in range(0, len(contexts), 4096):
-            ctx = contexts[start : start + 4096]
-            cost = np.full((len(ctx), symbols + 1), np.nan)
-            spent, excluded = np.zeros(len(ctx)), np.zeros((len(ctx), symbols + 1), bool)
-            for k in range(top, -1, -1):
-                c = np.where(excluded, 0, by_order[k][np.searchsorted(self.contexts[k], ctx & ((1 << 8 * k) - 1))])
-                total, distinct = c.sum(1), (c > 0).sum(1)
-                seen = c > 0
-                with np.errstate(divide="ignore", invalid="ignore"):
-                    cost = np.where(seen, spent[:, None] - np.log2(c / (total + distinct)[:, None]), cost)
-                    spent = spent - np.where(distinct > 0, np.log2(distinct / (total + distinct)), 0)
-                excluded |= seen
-            rest = 256 - excluded.sum(1)
-            out.append(np.where(np.isnan(cost), (spent + np.log2(np.maximum(rest, 1)))[:, None], cost))
-        return np.concatenate(out) if out else np.zeros((0, symbols + 1))
-
-    def start(self):
-        """Row of each context code of full length, or -1."""
-        self.row = np.full(1 << 8 * self.order, -1, np.int32)
-        self.row[self.contexts[self.order]] = np.arange(len(self.contexts[self.order])) + self.base[self.order]
-        return self
+        # the fold is coded by the others' counts
+        self.levels = [self._levels(code[fold != f].astype(np.uint32), n[fold != f]) for f in range(FOLDS)]
+
+    def _levels(self, code, n):
+        levels: list[_Level] = []
+        for k in range(self.order, -1, -1):
+            code = _low(code, k + 1)
+            o = np.argsort(code, kind="stable")
+            code, n = code[o], n[o]
+            first = np.flatnonzero(np.append(True, code[1:] != code[:-1])) if len(code) else np.zeros(0, np.int64)
+            code, n = code[first], np.add.reduceat(n, first) if len(first) else n
+            levels.insert(0, _Level(code, n))
+        for k in range(1, self.order + 1):
+            levels[k].exclude(levels[k - 1], k)
+        return [level.pack() for level in levels]
+
+    def costs(self, fold: int, code: np.ndarray) -> np.ndarray:
+        """Bits of each code of (context, symbol)."""
+        levels = self.levels[fold]
+        cost, todo, longer = np.zeros(len(code)), np.arange(len(code)), np.full(len(code), -1)
+        for k in range(self.order, -1, -1):
+            level, want = levels[k], _low(code[todo], k + 1)
+            pair, context = _find(level.pairs, want), _find(level.contexts, want >> np.uint32(8))
+            size, escape = np.zeros(len(todo)), np.zeros(len(todo))
+            for places, at, bits in ((longer < 0) & (context >= 0), context, level.whole), (longer >= 0, longer, levels[min(k + 1, self.order)].rest):
+                if places.any():
+                    size[places], escape[places] = bits[0][at[places]], bits[1][at[places]]
+            hit = pair >= 0
+            cost[todo[hit]] += size[hit] - level.n[pair[hit]]
+            cost[todo[~hit]] += escape[~hit]
+            todo, longer = todo[~hit], context[~hit]
+        cost[todo] += np.log2(max(256 - len(levels[0].pairs), 1))
+        return cost
 
     def bits(self, fold: int, data: np.ndarray, starts: np.ndarray) -> np.ndarray:
         """Code length of each text of ``_bytes``."""
         code, at = _grams(data, starts, self.order)
-        row = self.row[code >> np.uint32(8)].astype(np.int64)
-        for k in range(self.order - 1, -1, -1):
-            lost = np.flatnonzero(row < 0)
-            if len(lost):
-                ctx = (code[lost] >> np.uint32(8)).astype(np.int64) & ((1 << 8 * k) - 1)
-                i = np.minimum(np.searchsorted(self.contexts[k], ctx), len(self.contexts[k]) - 1)
-                row[lost] = np.where(self.contexts[k][i] == ctx, i + self.base[k], -1)
-        cost = self.cost[fold][row, self.symbol[code & np.uint32(255)]].astype(np.float64)
-        sums = np.concatenate([[0.0], np.cumsum(cost)])
+        code, where = np.unique(code, return_inverse=True)
+        sums = np.concatenate([[0.0], np.cumsum(self.costs(fold, code)[where])])
         ends = np.searchsorted(at, starts)
         return sums[ends[1:]] - sums[ends[:-1]]
 
 
-def train(docs: DataFrame, order: int = ORDER, cells: int = 24 << 20) -> Model:
-    """The model of all of ``(fold, text)``. ``cells`` bounds the table that every task holds: while the measured trie
-    is larger the order is lowered by one, every count folded into the shorter contexts (order 1 always fits)."""
+def train(docs: DataFrame, order: int = ORDER, cells: int | None = None) -> Model:
+    """The model of all of ``(fold, text)``. The order stays as given at any size. Only if a caller sets ``cells``,
+    the order is lowered by one while contexts times symbols exceed it (order 1 always fits)."""
     table = stored(counts(docs, order))
-    while order > 1:
+    while cells is not None and order > 1:
         contexts, symbols = table.agg(F.count_distinct(F.expr("code >> 8")), F.count_distinct(F.expr("code & 255"))).first()
         if contexts * (symbols + 1) <= cells:
             break
         order -= 1
         table = stored(table.groupBy("fold", F.expr(f"code & {(1 << 8 * (order + 1)) - 1}").alias("code")).agg(F.sum("n").alias("n")))
-    t = table.toArrow()
-    return Model(*(t.column(c).to_numpy() for c in ("fold", "code", "n")), order)
+    t = table.selectExpr("cast(fold as tinyint) as fold", "cast(code - 2147483648 as int) as code", "n").toArrow()
+    return Model(t.column("fold").to_numpy(), t.column("code").to_numpy().astype(np.int64) + (1 << 31), t.column("n").to_numpy(), order)
 
 
-def score(docs: DataFrame, id: str = "doc_id", text: str = "text", order: int = ORDER, cells: int = 24 << 20) -> DataFrame:
+def score(docs: DataFrame, id: str = "doc_id", text: str = "text", order: int = ORDER, cells: int | None = None) -> DataFrame:
     """``(id, n_bytes, bits, bits_per_byte)`` of every row of ``docs``.
 
     Counts come from all texts, repeated rows as often as they occur. A null text gives nulls; an empty text 0 bits
@@ -165,7 +199,7 @@ def score(docs: DataFrame, id: str = "doc_id", text: str = "text", order: int =
     def run(batches):
         known = None
         for batch in slices(batches, 2 << 20):
-            known = known or model.value.start()
+            known = known or model.value
             texts, folds = batch.column(1), batch.column(2).to_numpy(zero_copy_only=False)
             data, starts = _bytes(texts.fill_null(""), known.order)
             size = np.diff(starts) - known.order

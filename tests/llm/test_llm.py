@@ -8,6 +8,7 @@ import re
 
 import duckdb
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -107,6 +108,24 @@ def test_ppm_lowers_the_order_to_fit(docs):
     assert {r.doc_id: r.bits for r in ppm.score(some, order=3, cells=1).collect()} == pytest.approx(low)
 
 
+def test_ppm_keeps_the_order_on_varied_text(spark):
+    """More than 24 Mi contexts times symbols, which once lowered the order."""
+    rng = np.random.default_rng(5)
+    letters = np.concatenate([rng.integers(low, high, (300, n)) for low, high, n in ((0x80, 0x800, 300), (0x800, 0xD800, 500), (0x10000, 0x110000, 2000))], 1)
+    docs = spark.createDataFrame([(i, "".join(map(chr, rng.permutation(x)))) for i, x in enumerate(letters)], "doc_id long, text string")
+    code, n = np.unique(ppm._grams(*ppm._bytes(pa.array([r.text for r in docs.collect()]), 3), 3)[0], return_counts=True)
+    assert len(np.unique(code >> 8)) * (len(np.unique(code & 255)) + 1) > 24 << 20
+    assert ppm.train(docs.select(F.pmod("doc_id", F.lit(2)).cast("int").alias("fold"), "text")).order == 3
+
+
+def test_ppm_costs_equal_brute_force(spark):
+    texts = ["".join(map(chr, np.random.default_rng(i).integers(0x800, 0xD800, 300))) + "some words in common" for i in range(40)]
+    folds = [i % 2 for i in range(40)]
+    model = ppm.train(spark.createDataFrame(list(zip(folds, texts)), "fold int, text string"))
+    got = [model.bits(f, *ppm._bytes(pa.array([t]), 3))[0] for f, t in zip(folds, texts)]
+    assert got == pytest.approx(brute_ppm(texts, 3, folds), rel=1e-5)
+
+
 def test_ppm_edges(none, odd):
     assert ppm.score(none).count() == 0
     rows = ppm.score(clashing(odd, "fold", "code", "bits")).collect()
