@@ -84,10 +84,11 @@ def signatures(docs: DataFrame, id: str, text: str, sides: int = SIDES, half: in
 
 
 def _shingle_sets(docs: DataFrame, need: DataFrame, id: str, text: str, width: int) -> DataFrame:
-    """``(node, s)``: the distinct shingles of the needed ``(id, node)``; a document of the id with another text is dropped."""
-    want = need.select(F.col("id").alias("k"), F.col("node").alias("want"))
-    want = F.broadcast(want) if fits(want, 64) else want
-    found = docs.select(F.col(id).alias("k"), F.col(text).alias("text")).join(want, "k").select("want", token_hashes(F.col("text")).alias("tokens"))
+    """``(node, s)``: the distinct shingles of the needed ``(id, th, node)``, found by id, null or not, and the text's hash."""
+    want = need.select(F.col("id").alias("want_id"), F.col("th").alias("want_th"), F.col("node").alias("want"))
+    want = F.broadcast(want) if fits(want, 72) else want
+    rows = docs.select(F.col(id).alias("k"), F.col(text).alias("text"), F.xxhash64(F.col(text)).alias("th"))
+    found = rows.join(want, F.col("k").eqNullSafe(F.col("want_id")) & (F.col("th") == F.col("want_th"))).select("want", token_hashes(F.col("text")).alias("tokens"))
 
     def run(batches):
         for batch in slices(batches):
@@ -138,15 +139,16 @@ def nodes(docs: DataFrame, id: str = "doc_id", text: str = "text", similarity: f
     bound_batches(docs.sparkSession)
     docs = docs.select(F.col(id).alias("id"), F.col(text).alias("text"))
     sigs = stored(signatures(docs, "id", "text", sides, half, width).where("node is not null"))
-    reps = sigs.groupBy("node").agg(F.min("id").alias("id"), F.first("halves").alias("halves")).where("halves is not null")
+    least = F.min(F.struct(F.col("id").isNull(), "id", "th"))
+    reps = sigs.groupBy("node").agg(least.alias("least"), F.first("halves").alias("halves")).where("halves is not null").select("node", "least.id", "least.th", "halves")
     keys = F.array(*(F.xxhash64(F.lit(i * sides + j), F.col("halves")[i], F.col("halves")[sides + j]) for i in range(sides) for j in range(sides)))
-    rows = reps.select("node", "id", F.explode(keys).alias("key"))
+    rows = reps.select("node", "id", "th", F.explode(keys).alias("key"))
     # First the star of each table entry: its least node with every other.
     bucket = Window.partitionBy("key")
     shared = rows.withColumn("a", F.min("node").over(bucket)).withColumn("n", F.count("*").over(bucket)).where("n > 1")
-    shared = stored(shared.select("key", "a", F.col("node").alias("b"), "id"))
+    shared = stored(shared.select("key", "a", F.col("node").alias("b"), "id", "th"))
     stars = stored(shared.where("a != b").select("a", "b").distinct())
-    need = shared.groupBy(F.col("b").alias("node")).agg(F.first("id").alias("id"))
+    need = shared.groupBy(F.col("b").alias("node")).agg(F.first("id").alias("id"), F.first("th").alias("th"))
     sets = stored(_shingle_sets(docs, stored(need), "id", "text", width))
     good = stored(_verified(stars, sets, similarity))
     # Then, in entries whose nodes are not one component yet, all pairs across components that were not tried.

@@ -379,6 +379,15 @@ def test_near_duplicate_edges(spark, none, odd):
     assert collections.Counter(r.doc_id for r in kept.collect()) == {1: 1, 2: 1, 3: 1, 4: 1, 5: 1, 6: 1, 7: 2, None: 2}
 
 
+def test_near_duplicates_without_id(spark):
+    """Near, not equal, copies with a null id are grouped, and one of each group stays."""
+    one, two = (" ".join(f"{x}{i}" for i in range(300)) for x in "ab")
+    df = spark.createDataFrame([(1, one), (None, one + " end"), (None, two), (None, two + " end"), (None, "alone here")], "doc_id long, text string")
+    assert collections.Counter((r.doc_id, r.group_id, r.group_size) for r in neardup.groups(df).collect()) == {(1, 1, 2): 1, (None, 1, 2): 1, (None, None, 2): 2}
+    kept = [r.text for r in neardup.deduplicate(df).collect()]
+    assert len(kept) == 3 and one in kept and "alone here" in kept
+
+
 # 8 Toxicity
 
 
