@@ -1,21 +1,28 @@
 """Prediction by partial matching: code lengths from a byte-context trie counted over the whole corpus.
 
 Escapes follow method C (Moffat): a context with ``n`` symbols, ``d`` of them distinct, escapes with ``d / (n + d)``;
-symbols seen in a longer context are excluded from the shorter ones. Documents are halved by the hash of their text;
-each half is coded by the model that the other half trained, so no document (nor copy of it) predicts itself.
+symbols seen in a longer context are excluded from the shorter ones. Every document is coded by the counts of all the
+others: its own counts are taken out of the trie before it is coded, copies of it in other rows stay in.
+
+The trie is a table of nodes (a context with the symbols that follow it) and no task ever holds all of it. Documents
+are cut into parts of about ``PART`` bytes, every part names the contexts that occur in it, and a join fetches those
+nodes for it. Only the nodes of the contexts of no and of one byte, at most 65,792 pairs, go to every executor.
 """
 
 from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import bound_batches, slices, stored
 
-ORDER = 3
-FOLDS = 2
+#: Longest context in bytes; texts of a part, and of one step of the coder, in bytes.
+ORDER, PART, STEP = 5, 32 << 20, 1 << 20
+#: Contexts of at most this many bytes go to every executor.
+SHARED = 1
 
 
 def _bytes(texts: pa.Array, order: int) -> tuple[np.ndarray, np.ndarray]:
@@ -31,48 +38,52 @@ def _bytes(texts: pa.Array, order: int) -> tuple[np.ndarray, np.ndarray]:
     return out, np.append(starts, len(out) + order)
 
 
-def _grams(data: np.ndarray, starts: np.ndarray, order: int) -> tuple[np.ndarray, np.ndarray]:
-    """Codes of (context, symbol) at every byte that is not padding, and those bytes' places."""
-    places = np.ones(len(data), bool)
-    for k in range(1, order + 1):
-        places[starts[:-1] - k] = False
-    at = np.flatnonzero(places)
-    code = np.zeros(len(data), np.uint32)
-    for k in range(order + 1):
-        code[k:] |= data[: len(data) - k].astype(np.uint32) << np.uint32(8 * k)
-    return code[at], at
+def _low(code: np.ndarray, size: int) -> np.ndarray:
+    """The ``size`` least bytes of each code."""
+    return code & np.uint64((1 << 8 * size) - 1)
 
 
-def counts(docs: DataFrame, order: int = ORDER) -> DataFrame:
-    """``(fold, code, n)``: how often each byte follows each context of ``order`` bytes, over all of ``(fold, text)``."""
+def _summed(code: np.ndarray, n: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Distinct codes in order with the sums of their counts."""
+    o = np.argsort(code, kind="stable")
+    code, n = code[o], n[o]
+    first = np.flatnonzero(np.append(True, code[1:] != code[:-1])) if len(code) else np.zeros(0, np.int64)
+    return code[first], np.add.reduceat(n, first) if len(first) else n
 
-    def run(batches):
-        held: dict[int, list] = {}
-
-        def flush(fold):
-            code, n = (np.concatenate(x) for x in zip(*held[fold]))
-            o = np.argsort(code, kind="stable")
-            code, n = code[o], n[o]
-            first = np.flatnonzero(np.append(True, code[1:] != code[:-1]))
-            held[fold] = [(code[first], np.add.reduceat(n, first))]
 
-        for batch in slices(batches):
-            folds = batch.column(0).to_numpy(zero_copy_only=False)
-            for fold in range(FOLDS):
-                texts = batch.column(1).filter(pa.array(folds == fold))
-                if not len(texts):
-                    continue
-                code, _ = _grams(*_bytes(texts, order), order)
-                if len(code):
-                    held.setdefault(fold, []).append(np.unique(code, return_counts=True))
-                    if sum(len(x) for x, _ in held[fold]) > 4_000_000:
-                        flush(fold)
-        for fold in held:
-            flush(fold)
-            code, n = held[fold][0]
-            yield pa.RecordBatch.from_arrays([pa.array(np.full(len(code), fold, np.int32)), pa.array(code.astype(np.int64)), pa.array(n.astype(np.int64))], ["fold", "code", "n"])
+def grams(texts: pa.Array, order: int, apart: bool = False, piece: int = 4 << 20) -> tuple[np.ndarray, np.ndarray]:
+    """Distinct codes of (context, symbol) and their counts; the symbol is the lowest byte of a code.
 
-    return docs.mapInArrow(run, "fold int, code long, n long").groupBy("fold", "code").agg(F.sum("n").alias("n"))
+    With ``apart`` the place of the text stands above the ``order + 1`` bytes of the pair. Texts are passed over in
+    pieces, so memory follows the distinct codes.
+    """
+    data, starts = _bytes(texts, order)
+    begins, ends = starts[:-1], starts[1:] - order
+    codes, counts, held = [], [], 0
+    for low in range(0, len(data), piece):
+        high = min(len(data), low + piece)
+        back = max(0, low - order)
+        part = data[back:high].astype(np.uint64)
+        code = np.zeros(len(part), np.uint64)
+        for k in range(order + 1):
+            code[k:] |= part[: len(part) - k] << np.uint64(8 * k)
+        code = code[low - back :]
+        at = np.arange(low, high)
+        of = np.searchsorted(begins, at, "right") - 1
+        real = (of >= 0) & (at < ends[np.maximum(of, 0)])
+        code = code[real]
+        if apart:
+            code |= of[real].astype(np.uint64) << np.uint64(8 * (order + 1))
+        code, n = np.unique(code, return_counts=True)
+        codes.append(code)
+        counts.append(n.astype(np.int64))
+        held += len(code)
+        if held > 4_000_000:
+            code, n = _summed(np.concatenate(codes), np.concatenate(counts))
+            codes, counts, held = [code], [n], 0
+    if not codes:
+        return np.zeros(0, np.uint64), np.zeros(0, np.int64)
+    return (codes[0], counts[0]) if len(codes) == 1 else _summed(np.concatenate(codes), np.concatenate(counts))
 
 
 def _find(known: np.ndarray, wanted: np.ndarray) -> np.ndarray:
@@ -83,136 +94,221 @@ def _find(known: np.ndarray, wanted: np.ndarray) -> np.ndarray:
     return np.where(known[at] == wanted, at, -1)
 
 
-def _low(code: np.ndarray, size: int) -> np.ndarray:
-    """The ``size`` least bytes of each code."""
-    return code & np.uint32((1 << 8 * size) - 1)
-
-
-class _Level:
-    """The contexts of one length in one model: the pairs (context, symbol) that were seen, and no others.
-
-    ``whole`` are the logarithm of ``n + d`` and the bits of an escape for each context by itself, ``rest`` those of its
-    one byte shorter context without the symbols seen here. What a longer context has seen the shorter has seen too, so
-    of all longer contexts only the next excludes anything.
-    """
+class Level:
+    """Nodes of the contexts of ``k`` bytes: sorted pairs (context, symbol) with their counts, and each context's range."""
 
-    __slots__ = ("pairs", "n", "contexts", "total", "distinct", "whole", "rest")
+    __slots__ = ("pairs", "n", "contexts", "first", "total", "distinct", "shorter")
 
     def __init__(self, pairs: np.ndarray, n: np.ndarray):
         self.pairs, self.n = pairs, n
-        self.contexts, first = np.unique(pairs >> np.uint32(8), return_index=True)
+        self.contexts, first = np.unique(pairs >> np.uint64(8), return_index=True)
+        self.first = np.append(first, len(pairs))
         self.total = np.add.reduceat(n, first) if len(first) else np.zeros(0, np.int64)
-        self.distinct = np.diff(np.append(first, len(pairs)))
-        self.whole, self.rest = self._bits(self.total, self.distinct), None
+        self.distinct = np.diff(self.first)
+        self.shorter = None
+
+
+class Trie:
+    """Levels of the contexts of 0 to ``order`` bytes: whole nodes of all contexts of the texts to be coded."""
+
+    def __init__(self, levels: list[Level]):
+        self.levels, self.order = levels, len(levels) - 1
+        for k in range(1, len(levels)):
+            levels[k].shorter = _find(levels[k - 1].pairs, _low(levels[k].pairs, k))
+
+    @classmethod
+    def of(cls, code: np.ndarray, n: np.ndarray, order: int) -> Trie:
+        """The trie of counted codes of ``order + 1`` bytes."""
+        return cls([Level(*_summed(_low(code, k + 1), n)) for k in range(order + 1)])
+
+    def bits(self, texts: pa.Array) -> np.ndarray:
+        """Code length of each text by the trie less the text's own counts; the texts must be among those counted."""
+        own, times = grams(texts, self.order, apart=True)
+        shift = np.uint64(8 * (self.order + 1))
+        # Own pairs of each level as (text, context, symbol), sorted, with their counts and their places in the trie.
+        mine = []
+        for k in range(self.order + 1):
+            code = (own >> shift << np.uint64(8 * (k + 1))) | _low(own, k + 1)
+            key, n = _summed(code, times)
+            mine.append((key, n, code))
+        cost, todo, longer, before, known = np.zeros(len(own)), np.arange(len(own)), None, None, None
+        for k in range(self.order, -1, -1):
+            level, (key, n, code) = self.levels[k], mine[k]
+            at = _find(level.pairs, _low(key, k + 1))
+            if len(at) and at.min() < 0:
+                raise ValueError("a text was not counted")
+            left = level.n[at] - n
+            node = key >> np.uint64(8)
+            first = np.flatnonzero(np.append(True, node[1:] != node[:-1])) if len(node) else np.zeros(0, np.int64)
+            contexts = node[first]
+            place = _find(level.contexts, _low(contexts, k))
+            total = level.total[place] - (np.add.reduceat(n, first) if len(first) else n)
+            distinct = level.distinct[place] - (np.add.reduceat(left == 0, first, dtype=np.int64) if len(first) else n)
+            pair = np.searchsorted(key, code[todo])
+            here = np.searchsorted(contexts, code[todo] >> np.uint64(8))
+            size, kinds = total[here], distinct[here]
+            if longer is not None:
+                gone = before[longer]
+                which, back = np.unique(longer[gone > 0], return_inverse=True)
+                size[gone > 0] -= self._excluded(k, mine, known[which])[back]
+                kinds = kinds - gone
+            whole = np.log2(np.maximum(size + kinds, 1))
+            hit = left[pair] > 0
+            cost[todo[hit]] += whole[hit] - np.log2(left[pair[hit]])
+            cost[todo[~hit]] += np.where(kinds[~hit] > 0, whole[~hit] - np.log2(np.maximum(kinds[~hit], 1)), 0.0)
+            todo, longer, before, known = todo[~hit], here[~hit], distinct, contexts
+        # All symbols of the shortest context are excluded by now; the rest are equally likely.
+        if len(todo):
+            cost[todo] += np.log2(np.maximum(256 - before[longer], 1))
+        return np.bincount((own >> shift).astype(np.int64), cost * times, len(texts))
+
+    def _excluded(self, k: int, mine: list, contexts: np.ndarray) -> np.ndarray:
+        """Of each (text, context of ``k + 1`` bytes): the counts that the symbols seen there have one byte shorter."""
+        level, shorter = self.levels[k + 1], self.levels[k]
+        (key, n, _), (short_key, short_n, _) = mine[k + 1], mine[k]
+        place = _find(level.contexts, _low(contexts, k + 1))
+        size = level.distinct[place]
+        ends = np.cumsum(size)
+        at = np.arange(ends[-1] if len(ends) else 0) + np.repeat(level.first[place] - ends + size, size)
+        text = np.repeat(contexts >> np.uint64(8 * (k + 1)), size)
+        own = _find(key, (text << np.uint64(8 * (k + 2))) | level.pairs[at])
+        seen = level.n[at] - np.where(own >= 0, n[own], 0) > 0
+        at, text = at[seen], text[seen]
+        short = level.shorter[at]
+        own = _find(short_key, (text << np.uint64(8 * (k + 1))) | shorter.pairs[short])
+        rest = shorter.n[short] - np.where(own >= 0, short_n[own], 0)
+        return np.bincount(np.repeat(np.arange(len(place)), size)[seen], rest, len(place)).astype(np.int64)
+
+
+def _checked(order: int) -> int:
+    if not SHARED < order <= 5:
+        raise ValueError(f"order must be between {SHARED + 1} and 5: a code holds order + 1 bytes and the place of a text")
+    return order
+
+
+def _parts(docs: DataFrame, kind: str, part: int) -> DataFrame:
+    """``(id, text, part)`` of ``(id, text)``: neighbouring rows, about ``part`` bytes of text each, stored."""
 
-    def exclude(self, shorter: _Level, k: int) -> None:
-        """Sets ``rest``, for contexts of ``k`` bytes."""
-        first = np.append(0, np.cumsum(self.distinct))[:-1]
-        here = _find(shorter.contexts, _low(self.contexts, k - 1))
-        gone = np.add.reduceat(shorter.n[_find(shorter.pairs, _low(self.pairs, k))], first) if len(first) else np.zeros(0, np.int64)
-        self.rest = self._bits(shorter.total[here] - gone, shorter.distinct[here] - self.distinct)
+    def run(batches):
+        from pyspark import TaskContext
 
-    def pack(self) -> _Level:
-        """Keeps what coding needs: logarithms for counts, no sums."""
-        self.n, self.total = np.log2(self.n).astype(np.float32), None
-        return self
+        number, held = TaskContext.get().partitionId() << 32, 0
+        for batch in slices(batches):
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(np.full(len(batch), number), pa.int64())], ["id", "text", "part"])
+            held += batch.column(1).nbytes
+            if held >= part:
+                number, held = number + 1, 0
 
-    @staticmethod
-    def _bits(total, distinct):
-        size = np.log2(np.maximum(total + distinct, 1))
-        return size.astype(np.float32), np.where(distinct > 0, size - np.log2(np.maximum(distinct, 1)), 0).astype(np.float32)
+    return stored(docs.mapInArrow(run, f"id {kind}, text string, part long"))
 
 
-class Model:
-    """The trie of each fold, held sparsely, and the code length in bits of any symbol after any context."""
+def counts(parts: DataFrame, order: int) -> DataFrame:
+    """``(part, k, code, n)`` of ``(part, text)``: for ``k`` 0 how often each pair of ``order + 1`` bytes occurs in the
+    part, for other ``k`` the contexts of ``k`` bytes that the part needs."""
 
-    def __init__(self, fold: np.ndarray, code: np.ndarray, n: np.ndarray, order: int):
-        self.order = order
-        # the fold is coded by the others' counts
-        self.levels = [self._levels(code[fold != f].astype(np.uint32), n[fold != f]) for f in range(FOLDS)]
+    def run(batches):
+        held: dict[int, list] = {}
 
-    def _levels(self, code, n):
-        levels: list[_Level] = []
-        for k in range(self.order, -1, -1):
-            code = _low(code, k + 1)
-            o = np.argsort(code, kind="stable")
-            code, n = code[o], n[o]
-            first = np.flatnonzero(np.append(True, code[1:] != code[:-1])) if len(code) else np.zeros(0, np.int64)
-            code, n = code[first], np.add.reduceat(n, first) if len(first) else n
-            levels.insert(0, _Level(code, n))
-        for k in range(1, self.order + 1):
-            levels[k].exclude(levels[k - 1], k)
-        return [level.pack() for level in levels]
-
-    def costs(self, fold: int, code: np.ndarray) -> np.ndarray:
-        """Bits of each code of (context, symbol)."""
-        levels = self.levels[fold]
-        cost, todo, longer = np.zeros(len(code)), np.arange(len(code)), np.full(len(code), -1)
-        for k in range(self.order, -1, -1):
-            level, want = levels[k], _low(code[todo], k + 1)
-            pair, context = _find(level.pairs, want), _find(level.contexts, want >> np.uint32(8))
-            size, escape = np.zeros(len(todo)), np.zeros(len(todo))
-            for places, at, bits in ((longer < 0) & (context >= 0), context, level.whole), (longer >= 0, longer, levels[min(k + 1, self.order)].rest):
-                if places.any():
-                    size[places], escape[places] = bits[0][at[places]], bits[1][at[places]]
-            hit = pair >= 0
-            cost[todo[hit]] += size[hit] - level.n[pair[hit]]
-            cost[todo[~hit]] += escape[~hit]
-            todo, longer = todo[~hit], context[~hit]
-        cost[todo] += np.log2(max(256 - len(levels[0].pairs), 1))
-        return cost
-
-    def bits(self, fold: int, data: np.ndarray, starts: np.ndarray) -> np.ndarray:
-        """Code length of each text of ``_bytes``."""
-        code, at = _grams(data, starts, self.order)
-        code, where = np.unique(code, return_inverse=True)
-        sums = np.concatenate([[0.0], np.cumsum(self.costs(fold, code)[where])])
-        ends = np.searchsorted(at, starts)
-        return sums[ends[1:]] - sums[ends[:-1]]
-
-
-def train(docs: DataFrame, order: int = ORDER, cells: int | None = None) -> Model:
-    """The model of all of ``(fold, text)``. The order stays as given at any size. Only if a caller sets ``cells``,
-    the order is lowered by one while contexts times symbols exceed it (order 1 always fits)."""
-    table = stored(counts(docs, order))
-    while cells is not None and order > 1:
-        contexts, symbols = table.agg(F.count_distinct(F.expr("code >> 8")), F.count_distinct(F.expr("code & 255"))).first()
-        if contexts * (symbols + 1) <= cells:
-            break
-        order -= 1
-        table = stored(table.groupBy("fold", F.expr(f"code & {(1 << 8 * (order + 1)) - 1}").alias("code")).agg(F.sum("n").alias("n")))
-    t = table.selectExpr("cast(fold as tinyint) as fold", "cast(code - 2147483648 as int) as code", "n").toArrow()
-    return Model(t.column("fold").to_numpy(), t.column("code").to_numpy().astype(np.int64) + (1 << 31), t.column("n").to_numpy(), order)
-
-
-def score(docs: DataFrame, id: str = "doc_id", text: str = "text", order: int = ORDER, cells: int | None = None) -> DataFrame:
+        def rows(part):
+            code, n = _summed(*(np.concatenate(x) for x in zip(*held.pop(part))))
+            kinds = [(0, code, n)]
+            for k in range(SHARED + 1, order + 1):
+                context = np.unique(_low(code >> np.uint64(8), k))
+                kinds.append((k, context, np.zeros(len(context), np.int64)))
+            for k, code, n in kinds:
+                for at in range(0, len(code), 1 << 18):
+                    c = code[at : at + (1 << 18)].astype(np.int64)
+                    yield pa.RecordBatch.from_arrays([pa.array(np.full(len(c), part)), pa.array(np.full(len(c), k, np.int8)), pa.array(c), pa.array(n[at : at + len(c)])], ["part", "k", "code", "n"])
+
+        for batch in slices(batches):
+            of = batch.column(0).to_numpy()
+            for part in np.unique(of):
+                for other in [p for p in held if p != part]:
+                    yield from rows(other)
+                kept = held.setdefault(int(part), [])
+                kept.append(grams(batch.column(1).filter(pa.array(of == part)), order))
+                if sum(len(x) for x, _ in kept) > 4_000_000:
+                    held[int(part)] = [_summed(*(np.concatenate(x) for x in zip(*kept)))]
+        for part in list(held):
+            yield from rows(part)
+
+    return parts.mapInArrow(run, "part long, k byte, code long, n long")
+
+
+def nodes(counted: DataFrame, order: int) -> DataFrame:
+    """``(k, context, symbols, counts)``: the trie of all parts; a node has 256 symbols at most."""
+    pairs = counted.where("k = 0").groupBy("code").agg(F.sum("n").alias("n"))
+    levels = F.explode(F.array(*(F.struct(F.lit(k).cast("byte").alias("k"), F.col("code").bitwiseAND(F.lit((1 << 8 * (k + 1)) - 1)).alias("code")) for k in range(order + 1))))
+    pairs = pairs.select(levels.alias("x"), "n").groupBy("x.k", "x.code").agg(F.sum("n").alias("n"))
+    found = pairs.groupBy("k", F.shiftright("code", 8).alias("context")).agg(F.collect_list(F.struct(F.col("code").bitwiseAND(F.lit(255)).cast("short").alias("s"), "n")).alias("x"))
+    return found.select("k", "context", F.col("x.s").alias("symbols"), F.col("x.n").alias("counts"))
+
+
+def _pairs_of(t: pa.Table, k: int) -> tuple[np.ndarray, np.ndarray]:
+    """Sorted pairs and counts of the nodes of level ``k`` in a table of nodes; a node given twice counts once."""
+    t = t.filter(pa.compute.equal(t.column("k"), k)).combine_chunks()
+    if not t.num_rows:
+        return np.zeros(0, np.uint64), np.zeros(0, np.int64)
+    symbols, n = (t.column(c).chunk(0) for c in ("symbols", "counts"))
+    size = symbols.value_lengths().to_numpy(zero_copy_only=False)
+    context = np.repeat(t.column("context").to_numpy().astype(np.uint64), size)
+    pairs, first = np.unique(context << np.uint64(8) | symbols.flatten().to_numpy().astype(np.uint64), return_index=True)
+    return pairs, n.flatten().to_numpy()[first]
+
+
+def score(docs: DataFrame, id: str = "doc_id", text: str = "text", order: int = ORDER, part: int = PART) -> DataFrame:
     """``(id, n_bytes, bits, bits_per_byte)`` of every row of ``docs``.
 
-    Counts come from all texts, repeated rows as often as they occur. A null text gives nulls; an empty text 0 bits
-    and a null rate. Other columns are dropped.
+    A row is coded by the counts of all other rows, so equal texts get equal bits and a text that others repeat gets
+    few. A null text gives nulls; an empty text 0 bits and a null rate; a text of any length is coded whole. A table
+    of one row has nothing to learn from: 8 bits a byte. Of an empty table nothing comes. Other columns are dropped.
+    ``order`` is the longest context, the same at every size.
+    """
+    spark, order = docs.sparkSession, _checked(order)
+    bound_batches(spark)
+    kind = docs.schema[id].dataType.simpleString()
+    rows = _parts(docs.select(F.col(f"`{id}`").alias("id"), F.col(f"`{text}`").alias("text")), kind, part)
+    counted = stored(counts(rows.where("text is not null").select("part", "text"), order))
+    trie = stored(nodes(counted, order))
+    low = trie.where(F.col("k") <= SHARED).toArrow()  # 256 + 65,536 pairs at most
+    shared = spark.sparkContext.broadcast([_pairs_of(low, k) for k in range(SHARED + 1)])
+    needed = counted.where("k > 0").select("k", F.col("code").alias("context"), F.col("part").alias("of"))
+    fetched = needed.join(trie, ["k", "context"]).select("of", "k", "context", "symbols", "counts")
+
+    def code(left: pa.Table, right: pa.Table) -> pa.Table:
+        left = left.combine_chunks()
+        texts = left.column("text").chunk(0) if left.num_rows else pa.array([], pa.string())
+        trie = Trie([Level(*x) for x in shared.value] + [Level(*_pairs_of(right, k)) for k in range(SHARED + 1, order + 1)])
+        bits, size = np.zeros(len(texts)), pa.compute.binary_length(texts).fill_null(0).to_numpy().astype(np.int64)
+        filled, ends, begin = texts.fill_null(""), np.cumsum(size), 0
+        while begin < len(texts):
+            end = max(begin + 1, min(begin + 60_000, int(np.searchsorted(ends, (ends[begin - 1] if begin else 0) + STEP, "right"))))
+            bits[begin:end] = trie.bits(filled.slice(begin, end - begin))
+            begin = end
+        gone = texts.is_null().to_numpy(zero_copy_only=False)
+        rate = np.divide(bits, size, out=np.zeros(len(bits)), where=size > 0)
+        return pa.table({id: left.column("id"), "n_bytes": pa.array(size, mask=gone), "bits": pa.array(bits, mask=gone), "bits_per_byte": pa.array(rate, mask=gone | (size == 0))})
+
+    return rows.groupBy("part").cogroup(fetched.groupBy("of")).applyInArrow(code, f"`{id}` {kind}, n_bytes long, bits double, bits_per_byte double")
+
+
+def score_adaptive(docs: DataFrame, id: str = "doc_id", text: str = "text", order: int = 3) -> DataFrame:
+    """``(id, n_bytes, bits, bits_per_byte)`` by the adaptive coder: each document alone, from an empty trie.
+
+    No row meets another, so nothing is shuffled. Nulls and empty texts as in ``score``; a trie takes memory in
+    proportion to its text.
     """
     bound_batches(docs.sparkSession)
     kind = docs.schema[id].dataType.simpleString()
-    docs = docs.select(F.col(id), F.col(text).alias("text"), F.pmod(F.xxhash64(text), F.lit(FOLDS)).cast("int").alias("fold"))
-    model = docs.sparkSession.sparkContext.broadcast(train(docs.where("text is not null").select("fold", "text"), order, cells))
 
     def run(batches):
-        known = None
-        for batch in slices(batches, 2 << 20):
-            known = known or model.value
-            texts, folds = batch.column(1), batch.column(2).to_numpy(zero_copy_only=False)
-            data, starts = _bytes(texts.fill_null(""), known.order)
-            size = np.diff(starts) - known.order
-            bits = np.zeros(len(texts))
-            for fold in range(FOLDS):
-                mine = np.flatnonzero(folds == fold)
-                if len(mine):
-                    bits[mine] = known.bits(fold, *_bytes(texts.fill_null("").take(pa.array(mine)), known.order))
-            gone = texts.is_null().to_numpy(zero_copy_only=False)
-            rate = np.divide(bits, size, out=np.zeros(len(bits)), where=size > 0)
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(size.astype(np.int64), mask=gone), pa.array(bits, mask=gone), pa.array(rate, mask=gone | (size == 0))], [id, "n_bytes", "bits", "bits_per_byte"])
-
-    return docs.select(F.col(id), "text", "fold").mapInArrow(run, f"`{id}` {kind}, n_bytes long, bits double, bits_per_byte double")
+        for batch in slices(batches):
+            raw = [None if t is None else t.encode() for t in batch.column(1).to_pylist()]
+            bits = [None if b is None else Adaptive(order).code(b) for b in raw]
+            rate = [x / len(b) if b else None for x, b in zip(bits, raw)]
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([None if b is None else len(b) for b in raw], pa.int64()), pa.array(bits, pa.float64()), pa.array(rate, pa.float64())], [id, "n_bytes", "bits", "bits_per_byte"])
+
+    return docs.select(F.col(f"`{id}`"), F.col(f"`{text}`")).mapInArrow(run, f"`{id}` {kind}, n_bytes long, bits double, bits_per_byte double")
 
 
 class Adaptive:

@@ -63,20 +63,25 @@ def test_bpe_empty_and_clashes(none, odd):
 # 2 PPM
 
 
-def brute_ppm(texts, order, folds):
-    tries = [collections.defaultdict(collections.Counter) for _ in range(2)]
-    for text, fold in zip(texts, folds):
+def brute_ppm(texts, order):
+    """Every text by the counts of all other texts."""
+    tries = [collections.defaultdict(collections.Counter) for _ in texts]
+    whole = collections.defaultdict(collections.Counter)
+    for trie, text in zip(tries, texts):
         data = bytes(order) + text.encode()
         for i in range(order, len(data)):
             for k in range(order + 1):
-                tries[fold][k, data[i - k : i]][data[i]] += 1
+                trie[k, data[i - k : i]][data[i]] += 1
+        for context, seen in trie.items():
+            whole[context].update(seen)
     out = []
-    for text, fold in zip(texts, folds):
+    for own, text in zip(tries, texts):
         data, bits = bytes(order) + text.encode(), 0.0
         for i in range(order, len(data)):
             excluded = set()
             for k in range(order, -1, -1):
-                seen = {s: c for s, c in tries[1 - fold][k, data[i - k : i]].items() if s not in excluded}
+                context = k, data[i - k : i]
+                seen = {s: c - own[context][s] for s, c in whole[context].items() if c > own[context][s] and s not in excluded}
                 if not seen:
                     continue
                 n, d = sum(seen.values()), len(seen)
@@ -91,47 +96,64 @@ def brute_ppm(texts, order, folds):
     return out
 
 
-@pytest.mark.parametrize("order", [3, 1])
-def test_ppm_equals_brute_force(docs, order):
-    some = docs.orderBy(F.length("text"), "doc_id").limit(40)
-    rows = some.select("doc_id", "text", F.pmod(F.xxhash64("text"), F.lit(2)).alias("f")).collect()
-    want = dict(zip([r.doc_id for r in rows], brute_ppm([r.text for r in rows], order, [r.f for r in rows])))
-    got = {r.doc_id: r for r in ppm.score(some, order=order).collect()}
-    for r in rows:
-        assert got[r.doc_id].bits == pytest.approx(want[r.doc_id], rel=1e-5)
-        assert got[r.doc_id].n_bytes == len(r.text.encode())
+@pytest.mark.parametrize("order, part", [(5, 1 << 25), (5, 20_000), (2, 1)])
+def test_ppm_equals_brute_force(docs, order, part):
+    """Texts of all lengths below 30,000 characters, every fifth row twice, in one part and in many."""
+    some = docs.where("length(text) < 30000 and doc_id % 3 = 0").select("doc_id", "text")
+    some = some.unionByName(some.where("doc_id % 5 = 0"))
+    rows = some.collect()
+    want = collections.defaultdict(list)
+    for r, bits in zip(rows, brute_ppm([r.text for r in rows], order)):
+        want[r.doc_id].append(bits)
+    got = collections.defaultdict(list)
+    for r in ppm.score(some.repartition(3), order=order, part=part).collect():
+        got[r.doc_id].append(r.bits)
+        assert r.bits_per_byte == pytest.approx(r.bits / r.n_bytes)
+    assert got.keys() == want.keys() and max(map(len, got.values())) == 2
+    for k in want:
+        assert got[k] == pytest.approx(want[k], rel=1e-9)
+
+
+def test_ppm_of_varied_text(spark):
+    """Many contexts that occur once, in several writing systems."""
+    texts = ["".join(map(chr, np.random.default_rng(i).integers(0x800, 0xD800, 300))) + "some words in common" for i in range(40)]
+    got = {r.doc_id: r.bits for r in ppm.score(spark.createDataFrame(list(enumerate(texts)), "doc_id int, text string")).collect()}
+    assert [got[i] for i in range(40)] == pytest.approx(brute_ppm(texts, 5), rel=1e-9)
 
 
-def test_ppm_lowers_the_order_to_fit(docs):
-    some = docs.limit(30)
-    low = {r.doc_id: r.bits for r in ppm.score(some, order=1).collect()}
-    assert {r.doc_id: r.bits for r in ppm.score(some, order=3, cells=1).collect()} == pytest.approx(low)
+def test_ppm_pieces_of_long_texts_are_one_text(docs):
+    texts = pa.array([r.text for r in docs.limit(20).collect()])
+    for apart in (False, True):
+        whole, cut = ppm.grams(texts, 4, apart), ppm.grams(texts, 4, apart, piece=1000)
+        assert (whole[0] == cut[0]).all() and (whole[1] == cut[1]).all()
 
 
-def test_ppm_keeps_the_order_on_varied_text(spark):
-    """More than 24 Mi contexts times symbols, which once lowered the order."""
-    rng = np.random.default_rng(5)
-    letters = np.concatenate([rng.integers(low, high, (300, n)) for low, high, n in ((0x80, 0x800, 300), (0x800, 0xD800, 500), (0x10000, 0x110000, 2000))], 1)
-    docs = spark.createDataFrame([(i, "".join(map(chr, rng.permutation(x)))) for i, x in enumerate(letters)], "doc_id long, text string")
-    code, n = np.unique(ppm._grams(*ppm._bytes(pa.array([r.text for r in docs.collect()]), 3), 3)[0], return_counts=True)
-    assert len(np.unique(code >> 8)) * (len(np.unique(code & 255)) + 1) > 24 << 20
-    assert ppm.train(docs.select(F.pmod("doc_id", F.lit(2)).cast("int").alias("fold"), "text")).order == 3
+def test_ppm_sets_copies_apart(spark):
+    """A text that another row repeats costs less than one like it that stands alone; a lone row costs 8 bits a byte."""
+    rng = np.random.default_rng(7)
+    letters = list("abcdefghijklmnopqrstuvwxyz ")
+    rows = [(i, "".join(rng.choice(letters, 400))) for i in range(60)]
+    df = spark.createDataFrame([*rows, (60, rows[0][1])], "doc_id int, text string")
+    got = {r.doc_id: r.bits_per_byte for r in ppm.score(df).collect()}
+    assert got[0] == got[60] and all(got[0] < 0.5 * got[i] for i in range(1, 60))
+    assert [r.bits_per_byte for r in ppm.score(df.limit(1)).collect()] == [8.0]
 
 
-def test_ppm_costs_equal_brute_force(spark):
-    texts = ["".join(map(chr, np.random.default_rng(i).integers(0x800, 0xD800, 300))) + "some words in common" for i in range(40)]
-    folds = [i % 2 for i in range(40)]
-    model = ppm.train(spark.createDataFrame(list(zip(folds, texts)), "fold int, text string"))
-    got = [model.bits(f, *ppm._bytes(pa.array([t]), 3))[0] for f, t in zip(folds, texts)]
-    assert got == pytest.approx(brute_ppm(texts, 3, folds), rel=1e-5)
+def test_ppm_order_is_checked(docs):
+    for order in (0, 1, 6):
+        with pytest.raises(ValueError):
+            ppm.score(docs, order=order)
 
 
 def test_ppm_edges(none, odd):
-    assert ppm.score(none).count() == 0
-    rows = ppm.score(clashing(odd, "fold", "code", "bits")).collect()
-    assert len(rows) == odd.count()
-    assert all(r.bits is None for r in rows if r.doc_id == 1)
-    assert all((r.bits, r.bits_per_byte) == (0.0, None) for r in rows if r.doc_id == 2)
+    for score in (ppm.score, ppm.score_adaptive):
+        assert score(none).count() == 0
+        rows = score(clashing(odd.where("n_chars < 1000 or n_chars is null"), "part", "code", "bits", "k")).collect()
+        assert len(rows) == odd.count() - 1
+        assert all(r.bits is None for r in rows if r.doc_id == 1)
+        assert all((r.bits, r.bits_per_byte) == (0.0, None) for r in rows if r.doc_id == 2)
+    long = [r for r in ppm.score(odd).collect() if r.doc_id == 5]
+    assert long[0].n_bytes > 300_000 and long[0].bits > 0
 
 
 def test_ppm_adaptive():
@@ -143,6 +165,12 @@ def test_ppm_adaptive():
     assert ppm.Adaptive(2).code(b"a") == 8.0
 
 
+def test_ppm_adaptive_rows(docs):
+    some = docs.orderBy(F.length("text")).limit(20)
+    texts = {r.doc_id: r.text.encode() for r in some.collect()}
+    assert {r.doc_id: r.bits for r in ppm.score_adaptive(some).collect()} == {d: ppm.Adaptive(3).code(t) for d, t in texts.items()}
+
+
 # 3 Licenses
 
 
