@@ -20,7 +20,7 @@ from pyspark.sql import functions as F
 from .common import bound_batches, slices, stored
 
 #: Longest context in bytes; texts of a part, and of one step of the coder, in bytes.
-ORDER, PART, STEP = 5, 32 << 20, 1 << 20
+ORDER, PART, STEP = 5, 32 << 20, 1 << 19
 #: Contexts of at most this many bytes go to every executor.
 SHARED = 1
 
@@ -45,7 +45,7 @@ def _low(code: np.ndarray, size: int) -> np.ndarray:
 
 def _summed(code: np.ndarray, n: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Distinct codes in order with the sums of their counts."""
-    o = np.argsort(code, kind="stable")
+    o = np.argsort(code)
     code, n = code[o], n[o]
     first = np.flatnonzero(np.append(True, code[1:] != code[:-1])) if len(code) else np.zeros(0, np.int64)
     return code[first], np.add.reduceat(n, first) if len(first) else n
@@ -97,7 +97,7 @@ def _find(known: np.ndarray, wanted: np.ndarray) -> np.ndarray:
 class Level:
     """Nodes of the contexts of ``k`` bytes: sorted pairs (context, symbol) with their counts, and each context's range."""
 
-    __slots__ = ("pairs", "n", "contexts", "first", "total", "distinct", "shorter")
+    __slots__ = ("pairs", "n", "contexts", "first", "total", "distinct", "node", "shorter")
 
     def __init__(self, pairs: np.ndarray, n: np.ndarray):
         self.pairs, self.n = pairs, n
@@ -105,9 +105,43 @@ class Level:
         self.first = np.append(first, len(pairs))
         self.total = np.add.reduceat(n, first) if len(first) else np.zeros(0, np.int64)
         self.distinct = np.diff(self.first)
+        self.node = np.repeat(np.arange(len(first)), self.distinct)
         self.shorter = None
 
 
+class Own:
+    """The pairs of one level that some texts have themselves, as (text, context, symbol), with what the rest of the
+    corpus leaves of each.
+
+    ``at`` are the pairs' places in the trie's level, ``node`` the number of each pair's (text, context); ``total`` and
+    ``distinct`` are counts and symbols of that context without the text.
+    """
+
+    __slots__ = ("key", "n", "at", "left", "node", "contexts", "place", "total", "distinct")
+
+    def __init__(self, level: Level, key: np.ndarray, n: np.ndarray, at: np.ndarray):
+        self.key, self.n, self.at = key, n, at
+        self.left = level.n[at] - n
+        context = key >> np.uint64(8)
+        new = np.append(True, context[1:] != context[:-1])[: len(context)]
+        first = np.flatnonzero(new)
+        self.node, self.contexts, self.place = np.cumsum(new) - 1, context[first], level.node[at[first]]
+        self.total = level.total[self.place] - (np.add.reduceat(n, first) if len(first) else n)
+        self.distinct = level.distinct[self.place] - np.bincount(self.node[self.left == 0], minlength=len(first))
+
+    def shorter(self, level: Level, below: Level, k: int, shift: np.uint64) -> tuple[Own, np.ndarray]:
+        """The same pairs one byte shorter, contexts of ``k`` bytes, and the place there of each pair here."""
+        code = (self.key >> (shift + np.uint64(8)) << shift) | _low(self.key, k + 1)
+        o = np.argsort(code)
+        code = code[o]
+        new = np.append(True, code[1:] != code[:-1])[: len(code)]
+        first = np.flatnonzero(new)
+        to = np.empty(len(o), np.int64)
+        to[o] = np.cumsum(new) - 1
+        n = np.add.reduceat(self.n[o], first) if len(first) else self.n
+        return Own(below, code[first], n, level.shorter[self.at[o[first]]]), to
+
+
 class Trie:
     """Levels of the contexts of 0 to ``order`` bytes: whole nodes of all contexts of the texts to be coded."""
 
@@ -123,60 +157,50 @@ class Trie:
 
     def bits(self, texts: pa.Array) -> np.ndarray:
         """Code length of each text by the trie less the text's own counts; the texts must be among those counted."""
-        own, times = grams(texts, self.order, apart=True)
-        shift = np.uint64(8 * (self.order + 1))
-        # Own pairs of each level as (text, context, symbol), sorted, with their counts and their places in the trie.
-        mine = []
-        for k in range(self.order + 1):
-            code = (own >> shift << np.uint64(8 * (k + 1))) | _low(own, k + 1)
-            key, n = _summed(code, times)
-            mine.append((key, n, code))
-        cost, todo, longer, before, known = np.zeros(len(own)), np.arange(len(own)), None, None, None
+        key, times = grams(texts, self.order, apart=True)
+        want, back = np.unique(_low(key, self.order + 1), return_inverse=True)
+        at = _find(self.levels[-1].pairs, want)
+        if len(at) and at.min() < 0:
+            raise ValueError("a text was not counted")
+        own, longer = Own(self.levels[-1], key, times, at[back]), None
+        cost, todo, pair = np.zeros(len(key)), np.arange(len(key)), np.arange(len(key))
         for k in range(self.order, -1, -1):
-            level, (key, n, code) = self.levels[k], mine[k]
-            at = _find(level.pairs, _low(key, k + 1))
-            if len(at) and at.min() < 0:
-                raise ValueError("a text was not counted")
-            left = level.n[at] - n
-            node = key >> np.uint64(8)
-            first = np.flatnonzero(np.append(True, node[1:] != node[:-1])) if len(node) else np.zeros(0, np.int64)
-            contexts = node[first]
-            place = _find(level.contexts, _low(contexts, k))
-            total = level.total[place] - (np.add.reduceat(n, first) if len(first) else n)
-            distinct = level.distinct[place] - (np.add.reduceat(left == 0, first, dtype=np.int64) if len(first) else n)
-            pair = np.searchsorted(key, code[todo])
-            here = np.searchsorted(contexts, code[todo] >> np.uint64(8))
-            size, kinds = total[here], distinct[here]
             if longer is not None:
-                gone = before[longer]
-                which, back = np.unique(longer[gone > 0], return_inverse=True)
-                size[gone > 0] -= self._excluded(k, mine, known[which])[back]
+                own, to = longer.shorter(self.levels[k + 1], self.levels[k], k, np.uint64(8 * (k + 1)))
+                above, pair = longer.node[pair], to[pair]
+            node = own.node[pair]
+            size, kinds = own.total[node], own.distinct[node]
+            if longer is not None:
+                gone = longer.distinct[above]
+                live = np.flatnonzero(gone > 0)
+                which, back = np.unique(above[live], return_inverse=True)
+                size[live] -= self._excluded(k, longer, own, which)[back]
                 kinds = kinds - gone
             whole = np.log2(np.maximum(size + kinds, 1))
-            hit = left[pair] > 0
-            cost[todo[hit]] += whole[hit] - np.log2(left[pair[hit]])
-            cost[todo[~hit]] += np.where(kinds[~hit] > 0, whole[~hit] - np.log2(np.maximum(kinds[~hit], 1)), 0.0)
-            todo, longer, before, known = todo[~hit], here[~hit], distinct, contexts
+            left = own.left[pair]
+            hit = left > 0
+            cost[todo[hit]] += whole[hit] - np.log2(left[hit])
+            miss = ~hit
+            cost[todo[miss]] += np.where(kinds[miss] > 0, whole[miss] - np.log2(np.maximum(kinds[miss], 1)), 0.0)
+            todo, pair, longer = todo[miss], pair[miss], own
         # All symbols of the shortest context are excluded by now; the rest are equally likely.
-        if len(todo):
-            cost[todo] += np.log2(np.maximum(256 - before[longer], 1))
-        return np.bincount((own >> shift).astype(np.int64), cost * times, len(texts))
+        cost[todo] += np.log2(np.maximum(256 - longer.distinct[longer.node[pair]], 1))
+        return np.bincount((key >> np.uint64(8 * (self.order + 1))).astype(np.int64), cost * times, len(texts))
 
-    def _excluded(self, k: int, mine: list, contexts: np.ndarray) -> np.ndarray:
+    def _excluded(self, k: int, longer: Own, own: Own, which: np.ndarray) -> np.ndarray:
         """Of each (text, context of ``k + 1`` bytes): the counts that the symbols seen there have one byte shorter."""
-        level, shorter = self.levels[k + 1], self.levels[k]
-        (key, n, _), (short_key, short_n, _) = mine[k + 1], mine[k]
-        place = _find(level.contexts, _low(contexts, k + 1))
+        level, below = self.levels[k + 1], self.levels[k]
+        place = longer.place[which]
         size = level.distinct[place]
         ends = np.cumsum(size)
         at = np.arange(ends[-1] if len(ends) else 0) + np.repeat(level.first[place] - ends + size, size)
-        text = np.repeat(contexts >> np.uint64(8 * (k + 1)), size)
-        own = _find(key, (text << np.uint64(8 * (k + 2))) | level.pairs[at])
-        seen = level.n[at] - np.where(own >= 0, n[own], 0) > 0
+        text = np.repeat(longer.contexts[which] >> np.uint64(8 * (k + 1)), size)
+        mine = _find(longer.key, (text << np.uint64(8 * (k + 2))) | level.pairs[at])
+        seen = level.n[at] - np.where(mine >= 0, longer.n[mine], 0) > 0
         at, text = at[seen], text[seen]
         short = level.shorter[at]
-        own = _find(short_key, (text << np.uint64(8 * (k + 1))) | shorter.pairs[short])
-        rest = shorter.n[short] - np.where(own >= 0, short_n[own], 0)
+        mine = _find(own.key, (text << np.uint64(8 * (k + 1))) | below.pairs[short])
+        rest = below.n[short] - np.where(mine >= 0, own.n[mine], 0)
         return np.bincount(np.repeat(np.arange(len(place)), size)[seen], rest, len(place)).astype(np.int64)
 
 
