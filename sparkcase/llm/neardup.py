@@ -2,7 +2,9 @@
 
 ``SIDES`` small collections on the left and as many on the right hold ``HALF`` minhashes each; every pair of a left and
 a right collection is the key of one table. ``2 * SIDES * HALF`` minhashes thus serve ``SIDES ** 2`` tables of
-``2 * HALF`` hashes each. Equal word sequences are merged first; candidates are verified by the exact Jaccard
+``2 * HALF`` hashes each. Equal word sequences are merged first. The first node of each table entry is a candidate with
+every other; where that doesn't make one component of an entry, its nodes go through a prefix filter, which loses no
+similar pair and makes no pair of texts that only share frequent passages. Candidates are verified by the exact Jaccard
 similarity of their shingles, and groups are the connected components of the verified pairs.
 """
 
@@ -12,13 +14,15 @@ import hashlib
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import bound_batches, fits, slices, stored, token_hashes
 
 #: A pair of similarity ``s`` shares a table with probability ``(1 - (1 - s**HALF)**SIDES)**2``: 0.91 at 0.6, 0.98 at 0.7.
 SIDES, HALF, SHINGLE, SIMILARITY = 7, 2, 3, 0.6
+#: Frequent shingles that the prefix filter puts last (more would only make it sharper); nodes of one shingle in a run.
+HEAVY, RUN = 500_000, 4096
 
 
 def _spread(x: np.ndarray) -> np.ndarray:
@@ -134,30 +138,94 @@ def components(edges: DataFrame) -> DataFrame:
     return stars.unionByName(edges.select(F.col("v").alias("node"), F.col("v").alias("root")).distinct())
 
 
+def _heavy(sets: DataFrame, limit: int = HEAVY) -> np.ndarray:
+    """The shingles that most nodes have, the most frequent last: at most ``limit``, of two nodes or more."""
+
+    def run(batches):
+        x, n = np.zeros(0, np.int64), np.zeros(0, np.int64)
+        for batch in slices(batches):
+            new, m = np.unique(batch.column(0).flatten().to_numpy(zero_copy_only=False), return_counts=True)
+            x, at = np.unique(np.concatenate([x, new]), return_inverse=True)
+            n = np.bincount(at, np.concatenate([n, m]), len(x)).astype(np.int64)
+            if len(x) > 2_000_000:
+                yield pa.RecordBatch.from_arrays([pa.array(x), pa.array(n)], ["x", "n"])
+                x, n = x[:0], n[:0]
+        yield pa.RecordBatch.from_arrays([pa.array(x), pa.array(n)], ["x", "n"])
+
+    counted = sets.select("s").mapInArrow(run, "x long, n long").groupBy("x").agg(F.sum("n").alias("n")).where("n > 1")
+    return counted.orderBy(F.desc("n"), "x").limit(limit).select("x").toArrow().column("x").to_numpy()[::-1]
+
+
+def _prefixes(sets: DataFrame, similarity: float, heavy: np.ndarray) -> DataFrame:
+    """``(x, node, root, size, at)`` of ``(node, root, s)``: the shingles that a set must share one of with any set of
+    the given similarity, and their places. All sets are in one order, in which frequent shingles come last."""
+    order = np.argsort(heavy)
+    known, place = heavy[order], order + 1
+    held = sets.sparkSession.sparkContext.broadcast((known, place))
+
+    def run(batches):
+        known, place = held.value
+        for batch in slices(batches):
+            lists = batch.column(2)
+            flat = lists.flatten().to_numpy(zero_copy_only=False)
+            size = lists.value_lengths().to_numpy(zero_copy_only=False).astype(np.int64)
+            if len(known):
+                at = np.minimum(np.searchsorted(known, flat), len(known) - 1)
+                late = np.where(known[at] == flat, place[at], 0)
+            else:
+                late = np.zeros(len(flat), np.int64)
+            row = np.repeat(np.arange(len(size)), size)
+            o = np.lexsort((flat, late, row))
+            nth = np.arange(len(flat)) - np.repeat(np.cumsum(size) - size, size)
+            keep = nth < np.repeat(size - np.ceil(similarity * size - 1e-9).astype(np.int64) + 1, size)
+            row, x, nth = row[keep], flat[o][keep], nth[keep]
+            yield pa.RecordBatch.from_arrays([pa.array(x), batch.column(0).take(pa.array(row)), batch.column(1).take(pa.array(row)), pa.array(size[row].astype(np.int32)), pa.array(nth.astype(np.int32))], ["x", "node", "root", "size", "at"])
+
+    return sets.select("node", "root", "s").mapInArrow(run, "x long, node binary, root binary, size int, at int")
+
+
+def _across(placed: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
+    """Pairs ``(a, b)`` of nodes ``(node, root)`` of different roots that may be similar: by prefix filter, none is lost.
+
+    Sets of that similarity share a shingle of their prefixes, with enough shingles behind it on both sides. Of the
+    nodes with a shingle those outside its largest component meet all the others; a frequent shingle's nodes are cut
+    into runs of ``RUN``, so no task holds all of them.
+    """
+    own = stored(placed.join(sets, "node").select("node", "root", "s"))
+    entries = stored(_prefixes(own, similarity, _heavy(own)))
+    of = entries.groupBy("x", "root").agg(F.count("*").alias("n")).groupBy("x").agg(F.max_by("root", F.struct("n", "root")).alias("most"), F.sum("n").alias("n"), F.count("*").alias("roots"))
+    mixed = entries.join(of.where("roots > 1").select("x", "most", F.ceil(F.col("n") / RUN).cast("int").alias("runs")), "x")
+    left = mixed.select("x", F.pmod(F.xxhash64("node"), F.col("runs")).cast("int").alias("run"), F.col("node").alias("a"), F.col("root").alias("ra"), F.col("size").alias("na"), F.col("at").alias("i"), (F.col("root") == F.col("most")).alias("inner"))
+    right = mixed.where("root != most").select("x", F.explode(F.sequence(F.lit(0), F.col("runs") - 1)).alias("run"), F.col("node").alias("b"), F.col("root").alias("rb"), F.col("size").alias("nb"), F.col("at").alias("j"))
+    both = left.join(right, ["x", "run"]).where("ra != rb and (inner or a < b)")
+    need = F.lit(similarity / (1 + similarity)) * (F.col("na") + F.col("nb")) - 1e-9
+    both = both.where((F.least("na", "nb") >= similarity * F.greatest("na", "nb") - 1e-9) & (F.least(F.col("na") - F.col("i"), F.col("nb") - F.col("j")) >= need))
+    return both.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+
+
 def nodes(docs: DataFrame, id: str = "doc_id", text: str = "text", similarity: float = SIMILARITY, sides: int = SIDES, half: int = HALF, width: int = SHINGLE) -> DataFrame:
     """``(id, th, root)`` of every row with a text: the text's hash and the root of its group."""
     bound_batches(docs.sparkSession)
-    docs = docs.select(F.col(id).alias("id"), F.col(text).alias("text"))
+    docs = docs.select(F.col(f"`{id}`").alias("id"), F.col(f"`{text}`").alias("text"))
     sigs = stored(signatures(docs, "id", "text", sides, half, width).where("node is not null"))
-    least = F.min(F.struct(F.col("id").isNull(), "id", "th"))
-    reps = sigs.groupBy("node").agg(least.alias("least"), F.first("halves").alias("halves")).where("halves is not null").select("node", "least.id", "least.th", "halves")
+    reps = sigs.groupBy("node").agg(F.first("halves").alias("halves")).where("halves is not null")
     keys = F.array(*(F.xxhash64(F.lit(i * sides + j), F.col("halves")[i], F.col("halves")[sides + j]) for i in range(sides) for j in range(sides)))
-    rows = reps.select("node", "id", "th", F.explode(keys).alias("key"))
+    rows = reps.select("node", F.explode(keys).alias("key"))
     # First the star of each table entry: its least node with every other.
-    bucket = Window.partitionBy("key")
-    shared = rows.withColumn("a", F.min("node").over(bucket)).withColumn("n", F.count("*").over(bucket)).where("n > 1")
-    shared = stored(shared.select("key", "a", F.col("node").alias("b"), "id", "th"))
+    first = rows.groupBy("key").agg(F.min("node").alias("a"), F.count("*").alias("n")).where("n > 1").select("key", "a")
+    shared = stored(rows.join(first, "key").select("key", "a", F.col("node").alias("b")))
     stars = stored(shared.where("a != b").select("a", "b").distinct())
-    need = shared.groupBy(F.col("b").alias("node")).agg(F.first("id").alias("id"), F.first("th").alias("th"))
+    least = F.min(F.struct(F.col("id").isNull(), "id", "th")).alias("least")
+    need = sigs.join(shared.select(F.col("b").alias("node")).distinct(), "node", "left_semi").groupBy("node").agg(least).select("node", "least.id", "least.th")
     sets = stored(_shingle_sets(docs, stored(need), "id", "text", width))
     good = stored(_verified(stars, sets, similarity))
-    # Then, in entries whose nodes are not one component yet, all pairs across components that were not tried.
+    # Then the nodes of entries that are not one component yet: no pairs of an entry, but those that a prefix filter
+    # over all these nodes lets pass.
     found = components(good)
     placed = shared.select("key", F.col("b").alias("node")).join(found, "node", "left").select("key", "node", F.coalesce("root", "node").alias("root"))
     mixed = placed.groupBy("key").agg(F.min("root").alias("x"), F.max("root").alias("y")).where("x != y").select("key")
-    apart = stored(placed.join(mixed, "key"))
-    other = apart.select("key", F.col("node").alias("b"), F.col("root").alias("root_b"))
-    more = apart.withColumnRenamed("node", "a").join(other, "key").where("a < b and root != root_b").select("a", "b").distinct().join(stars, ["a", "b"], "left_anti")
+    apart = stored(placed.join(mixed, "key").select("node", "root").distinct())
+    more = _across(apart, sets, similarity).join(stars, ["a", "b"], "left_anti")
     better = stored(_verified(stored(more), sets, similarity))
     found = stored(components(good.unionByName(better)))
     return sigs.select("id", "node", "th").join(found, "node", "left").select("id", "th", F.coalesce("root", "node").alias("root"))

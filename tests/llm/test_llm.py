@@ -386,6 +386,33 @@ def test_near_duplicates_equal_brute_force(spark, docs):
     assert sorted(kept) == sorted({d for d, _ in rows} - {d for g in got.values() for d in g if d != min(g)})
 
 
+def test_prefix_filter_loses_no_pair(spark):
+    rng = np.random.default_rng(11)
+    base = [rng.integers(0, 400, 30) for _ in range(6)]
+    sets = [np.unique(np.concatenate([rng.permutation(base[i % 6])[:25], rng.integers(0, 1 << 40, rng.integers(1, 14))])) for i in range(90)]
+    rows = [(bytes([i]), bytes([i // 2]), [int(v) for v in s]) for i, s in enumerate(sets)]
+    df = spark.createDataFrame(rows, "node binary, root binary, s array<long>")
+    got = {(bytes(r.a), bytes(r.b)) for r in neardup._across(df.select("node", "root"), df.select("node", "s"), 0.5).collect()}
+    alike = {(a, b) for (a, ra, x), (b, rb, y) in itertools.combinations(rows, 2) if ra != rb and len(set(x) & set(y)) >= 0.5 * len(set(x) | set(y))}
+    assert len(alike) > 20 and alike <= got and all(a < b for a, b in got)
+
+
+def test_texts_that_share_a_passage_make_no_pairs(spark, monkeypatch):
+    """15,000 different texts with half of their words in common: many in each table entry, none alike."""
+    passage = " ".join(f"same{i}" for i in range(16))
+    docs = spark.range(15_000).select(F.col("id").alias("doc_id"), F.concat(F.lit(passage), F.array_join(F.transform(F.sequence(F.lit(1), F.lit(16)), lambda k: F.concat(F.lit(" w"), (F.col("id") * 16 + k).cast("string"))), "")).alias("text"))
+    seen, across = [], neardup._across
+
+    def counted(*args):
+        out = common.stored(across(*args))
+        seen.append((args[0].count(), out.count()))
+        return out
+
+    monkeypatch.setattr(neardup, "_across", counted)
+    assert neardup.groups(docs).count() == 0
+    assert seen[0][0] > 5_000 and seen[0][1] == 0, seen
+
+
 def test_components(spark):
     rng = np.random.default_rng(3)
     edges = [tuple(map(int, rng.integers(0, 60, 2))) for _ in range(45)] + [(100 + i, 101 + i) for i in range(20)]
