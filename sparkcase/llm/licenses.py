@@ -1,8 +1,10 @@
 """License scan: MinHash bands over overlapping windows retrieve templates, exact shingle containment verifies them.
 
-Every template of ``n`` shingles is sought in windows of ``n`` shingles that start every ``n // 8`` shingles, so an
-occurrence shares at least 7/8 of its place with some window. With ``BANDS`` bands of ``ROWS`` minhashes a window of
-Jaccard similarity ``s`` collides with probability ``1 - (1 - s**ROWS)**BANDS``: 0.995 at 0.7, 0.97 at 0.6; an exact copy always does.
+Every template of ``n`` shingles is sought in windows of ``n`` shingles of a document that start every ``n // 8``
+shingles, and in its last one, so an occurrence lies at most ``n // 16`` shingles beside some window. With ``BANDS``
+bands of ``ROWS`` minhashes a window of Jaccard similarity ``s`` collides with probability ``1 - (1 - s**ROWS)**BANDS``:
+0.995 at 0.7, 0.97 at 0.6. An exact copy of a template of fewer than 16 shingles always does, one of a longer template,
+whose nearest window has a similarity of 15/17 at least, with a probability above 0.99999.
 """
 
 from __future__ import annotations
@@ -32,6 +34,8 @@ TEMPLATES = {
     "GPL-notice": "This program is free software: you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version.",
     "MPL-2.0": "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0. If a copy of the MPL was not distributed with this file, You can obtain one at",
     "CC-BY-4.0": "This work is licensed under a Creative Commons Attribution 4.0 International License.",
+    "BSD-3-Clause": "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met: 1. Redistributions of source code must retain the above copyright notice, this list of conditions and the following disclaimer. 2. Redistributions in binary form must reproduce the above copyright notice, this list of conditions and the following disclaimer in the documentation and/or other materials provided with the distribution. 3. Neither the name of the copyright holder nor the names of its contributors may be used to endorse or promote products derived from this software without specific prior written permission.",
+    "Zlib": "This software is provided 'as-is', without any express or implied warranty. In no event will the authors be held liable for any damages arising from the use of this software. Permission is granted to anyone to use this software for any purpose, including commercial applications, and to alter it and redistribute it freely, subject to the following restrictions: 1. The origin of this software must not be misrepresented; you must not claim that you wrote the original software. If you use this software in a product, an acknowledgment in the product documentation would be appreciated but is not required. 2. Altered source versions must be plainly marked as such, and must not be misrepresented as being the original software. 3. This notice may not be removed or altered from any source distribution.",
     "Unlicense": "This is free and unencumbered software released into the public domain.",
 }
 
@@ -48,12 +52,16 @@ def word_hash(word: str) -> int:
     return xxhash.xxh64_intdigest((42).to_bytes(4, "little"), h)
 
 
-def shingles(tokens: np.ndarray) -> np.ndarray:
-    """Hashes of the pairs of neighbouring words; of a lone word, the word."""
+def shingles(tokens: np.ndarray, bounds: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
+    """Hashes of the pairs of neighbouring words of each text, of a lone word the word; and where each text's begin."""
     t = tokens.view(np.uint64)
-    if len(t) < 2:
-        return t.copy()
-    return _spread(t[:-1] * np.uint64(3) + t[1:])
+    bounds = np.array([0, len(t)]) if bounds is None else bounds
+    size = np.diff(bounds)
+    keep = np.maximum(size - 1, np.minimum(size, 1))
+    out = np.concatenate([[0], np.cumsum(keep)])
+    at = np.arange(out[-1]) + np.repeat(bounds[:-1] - out[:-1], keep)
+    alone = np.repeat(size == 1, keep)
+    return np.where(alone, t[at], _spread(t[at] * np.uint64(3) + t[np.minimum(at + 1, max(0, len(t) - 1))])), out
 
 
 def _spread(x: np.ndarray) -> np.ndarray:
@@ -72,7 +80,7 @@ class Scanner:
         self.names, self.sets = list(templates), []
         self.by_length: dict[int, list[tuple[int, np.ndarray]]] = {}
         for i, text in enumerate(templates.values()):
-            s = shingles(np.array([word_hash(w) for w in words(text)], np.uint64))
+            s, _ = shingles(np.array([word_hash(w) for w in words(text)], np.uint64))
             self.sets.append(np.unique(s))
             if len(s):
                 mins = np.array([self._hash(s, k).min() for k in range(bands * rows)])
@@ -82,6 +90,8 @@ class Scanner:
             for i, keys in members:
                 for b in range(bands):
                     self.keys[n][b].setdefault(int(keys[b]), []).append(i)
+        self.least = {n: min(int(np.ceil(containment * len(self.sets[i]) - 1e-9)) for i, _ in members) for n, members in self.by_length.items()}
+        self.length = {i: n for n, members in self.by_length.items() for i, _ in members}
         self.near = {n: [np.zeros(1 << 16, bool) for _ in range(bands)] for n in self.keys}
         for n, tables in self.keys.items():
             for b, known in enumerate(tables):
@@ -98,23 +108,38 @@ class Scanner:
             out = out * _MIX + mins[r :: self.rows]
         return out
 
-    def candidates(self, s: np.ndarray) -> set[tuple[int, int]]:
-        """``(template, window start)`` pairs that share a band; ``s`` are the shingles of one text or of many."""
+    def candidates(self, s: np.ndarray, bounds: np.ndarray) -> list[tuple[int, int, int]]:
+        """``(text, template, window start)`` of windows that share a band; text ``i`` has ``s[bounds[i]:bounds[i + 1]]``."""
         found = set()
-        if not len(s):
-            return found
+        size = np.diff(bounds)
         for n in self.by_length:
-            w = min(n, len(s))
-            at = np.unique(np.append(np.arange(0, len(s) - w + 1, max(1, n // 8)), len(s) - w))
-            wide = 1 << (w.bit_length() - 1)
-            for b in range(self.bands):
-                keys = np.zeros(len(at), np.uint64)
-                for r in range(self.rows):
-                    level = self._level(s, b * self.rows + r, wide)
-                    keys = keys * _MIX + (np.minimum(level[at], level[at + w - wide]) if w > wide else level[at])
-                for j in np.flatnonzero(self.near[n][b][keys >> np.uint64(48)]):
-                    found.update((t, int(at[j])) for t in self.keys[n][b].get(int(keys[j]), ()))
+            long = np.flatnonzero(size >= n)
+            if len(long):
+                found |= self._windows(s, bounds, long, n, n)
+            # A shorter text is one window, if it has enough shingles for a verified match.
+            short = np.flatnonzero((size < n) & (size >= self.least[n]))
+            for w in np.unique(size[short]):
+                found |= self._windows(s, bounds, short[size[short] == w], n, int(w))
         self._levels = {}
+        return sorted(found)
+
+    def _windows(self, s, bounds, texts, n, w) -> set[tuple[int, int, int]]:
+        """Candidates among the windows of ``w`` shingles of some texts that have as many."""
+        step = max(1, n // 8)
+        last = bounds[texts + 1] - w
+        many = (last - bounds[texts]) // step + 1
+        at = np.repeat(bounds[texts], many) + step * (np.arange(many.sum()) - np.repeat(np.cumsum(many) - many, many))
+        off = (last - bounds[texts]) % step > 0
+        at, of = np.append(at, last[off]), np.append(np.repeat(texts, many), texts[off])
+        wide = 1 << (w.bit_length() - 1)
+        found = set()
+        for b in range(self.bands):
+            keys = np.zeros(len(at), np.uint64)
+            for r in range(self.rows):
+                level = self._level(s, b * self.rows + r, wide)
+                keys = keys * _MIX + (np.minimum(level[at], level[at + w - wide]) if w > wide else level[at])
+            for j in np.flatnonzero(self.near[n][b][keys >> np.uint64(48)]):
+                found.update((int(of[j]), t, int(at[j] - bounds[of[j]])) for t in self.keys[n][b].get(int(keys[j]), ()))
         return found
 
     def _level(self, s, k, width):
@@ -130,7 +155,7 @@ class Scanner:
     def contained(self, s: np.ndarray, template: int, start: int) -> float:
         """Share of the template's shingles in the window at ``start``, widened by an eighth on both sides."""
         want = self.sets[template]
-        n = max(x for x, members in self.by_length.items() if any(i == template for i, _ in members))
+        n = self.length[template]
         slack = max(1, n // 8)
         return float(np.isin(want, s[max(0, start - slack) : start + n + slack]).mean())
 
@@ -138,8 +163,10 @@ class Scanner:
 def scan(docs: DataFrame, templates: dict[str, str] = TEMPLATES, containment: float = CONTAINMENT, id: str = "doc_id", text: str = "text") -> DataFrame:
     """``(id, license, containment, n_windows)``: each template found in each document, with its best containment.
 
-    Null, empty and wordless texts give no rows. A repeated row gives its rows again; ties between windows are
-    counted in ``n_windows``. The templates are a parameter of fixed size; other columns are dropped.
+    Null, empty and wordless texts give no rows, nor does an empty table; texts of any length are searched whole. A
+    repeated row gives its rows again. Windows never cross documents, so rows don't depend on how ``docs`` is
+    partitioned; ``n_windows`` counts the windows in which the template was verified, ties included. The templates are
+    a parameter of fixed size; other columns are dropped.
     """
     scanner = docs.sparkSession.sparkContext.broadcast(Scanner(templates, containment))
     bound_batches(docs.sparkSession)
@@ -147,30 +174,20 @@ def scan(docs: DataFrame, templates: dict[str, str] = TEMPLATES, containment: fl
 
     def run(batches):
         known = scanner.value
-        gap = np.zeros(0, np.uint64)
         for batch in slices(batches, 2 << 20):
             tokens = batch.column(1).fill_null([])
             flat = tokens.flatten().to_numpy(zero_copy_only=False).view(np.uint64)
-            bounds = tokens.offsets.to_numpy() - tokens.offsets[0].as_py()
             out: dict[tuple[int, int], list] = {}
-            if len(flat):
-                # One pass over all texts of the piece; a window that crosses two texts is judged by its own text's part.
-                s = shingles(flat)
-                for t, start in known.candidates(s):
-                    n = next(x for x, members in known.by_length.items() if any(i == t for i, _ in members))
-                    first = np.searchsorted(bounds, start, "right") - 1
-                    last = np.searchsorted(bounds, min(start + n, len(flat) - 1), "right") - 1
-                    for row in range(first, last + 1):
-                        lo, hi = bounds[row], bounds[row + 1]
-                        own = s[lo : max(lo, hi - 1)] if hi - lo > 1 else shingles(flat[lo:hi])
-                        share = known.contained(own, t, max(0, start - lo)) if len(own) else 0.0
-                        if share >= known.containment:
-                            best = out.setdefault((row, t), [0.0, 0])
-                            best[:] = [max(best[0], share), best[1] + 1]
+            s, bounds = shingles(flat, tokens.offsets.to_numpy().astype(np.int64) - tokens.offsets[0].as_py())
+            for row, t, start in known.candidates(s, bounds):
+                share = known.contained(s[bounds[row] : bounds[row + 1]], t, start)
+                if share >= known.containment:
+                    best = out.setdefault((row, t), [0.0, 0])
+                    best[:] = [max(best[0], share), best[1] + 1]
             keys = sorted(out)
             yield pa.RecordBatch.from_arrays(
                 [batch.column(0).take(pa.array([r for r, _ in keys], pa.int64())), pa.array([known.names[t] for _, t in keys], pa.string()), pa.array([out[k][0] for k in keys], pa.float64()), pa.array([out[k][1] for k in keys], pa.int32())],
                 [id, "license", "containment", "n_windows"],
             )
 
-    return docs.select(F.col(id), token_hashes(F.col(text)).alias("tokens")).mapInArrow(run, f"`{id}` {kind}, license string, containment double, n_windows int")
+    return docs.select(F.col(f"`{id}`"), token_hashes(F.col(f"`{text}`")).alias("tokens")).mapInArrow(run, f"`{id}` {kind}, license string, containment double, n_windows int")

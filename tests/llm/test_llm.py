@@ -201,6 +201,31 @@ def test_license_scan_finds_what_brute_force_finds(docs):
                 assert brute_scan(r.text, {name: licenses.TEMPLATES[name]}, 0.6)
 
 
+def test_license_rows_do_not_depend_on_partitions(spark, docs):
+    """Each document is searched alone: texts next to it and the cut into partitions change nothing."""
+    parts = [t for t in licenses.TEMPLATES.values()]
+    made = [(10_000 + i, " ".join([*(["filler"] * (i % 23)), *parts[i % len(parts)].split(), *(["end"] * (i % 7))])) for i in range(120)]
+    both = docs.select("doc_id", "text").unionByName(spark.createDataFrame(made, "doc_id long, text string"))
+    rows = [sorted(tuple(r) for r in licenses.scan(both.repartition(n)).collect()) for n in (1, 7, 40)]
+    assert rows[0] == rows[1] == rows[2]
+    found = {(d, name) for d, name, *_ in rows[0]}
+    assert {(10_000 + i, list(licenses.TEMPLATES)[i % len(parts)]) for i in range(120)} <= found
+
+
+def test_license_windows_equal_brute_force():
+    """Candidates of a text are those that windows of the text alone give."""
+    scanner = licenses.Scanner(licenses.TEMPLATES)
+    rng = np.random.default_rng(2)
+    texts = [np.concatenate([rng.integers(0, 1 << 62, rng.integers(0, 90), np.uint64)] + [np.array([licenses.word_hash(w) for w in licenses.words(list(licenses.TEMPLATES.values())[i % 14])], np.uint64)][: i % 3]) for i in range(40)]
+    s, bounds = licenses.shingles(np.concatenate(texts), np.cumsum([0, *map(len, texts)]))
+    want = []
+    for i, t in enumerate(texts):
+        own, _ = licenses.shingles(t)
+        assert (own == s[bounds[i] : bounds[i + 1]]).all()
+        want += [(i, *x[1:]) for x in scanner.candidates(own, np.array([0, len(own)]))]
+    assert scanner.candidates(s, bounds) == sorted(want) != []
+
+
 def test_license_edges(spark, none, odd):
     assert licenses.scan(none).count() == 0 and licenses.scan(clashing(odd, "tokens", "license")).count() == 0
     mit = licenses.TEMPLATES["MIT-grant"]
