@@ -25,13 +25,15 @@ def op4_wrapper_extraction(spark, sf_dir):
 
 
 def op5_quality_posterior(spark, sf_dir):
-    """The documents that the rules keep, with their posterior."""
+    """The documents that the rules keep, with their posterior to six places."""
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
-    return quality.assess(docs).where(F.col("posterior") >= quality.KEEP_AT).select("doc_id", "posterior")
+    judged = quality.assess(docs, columns=["doc_id"]).where(F.col("posterior") >= quality.KEEP_AT)
+    return judged.withColumn("posterior", F.floor(F.col("posterior") * 1e6 + 0.5) / 1e6)
 
 
 def op6_multiset_fingerprints(spark, sf_dir):
-    return multiset.fingerprints(table(spark, sf_dir, "documents"))
+    """Every document's fingerprint, in base64."""
+    return multiset.fingerprints(table(spark, sf_dir, "documents")).withColumn("fingerprint", F.translate(F.base64("fingerprint"), "\r\n", ""))
 
 
 def op7_near_duplicates(spark, sf_dir):
@@ -57,4 +59,4 @@ def op10_url_filter(spark, sf_dir):
 
 
 QUERIES = {f.__name__: f for f in (op1_bpe, op2_ppm_code_length, op3_license_scan, op4_wrapper_extraction, op5_quality_posterior, op6_multiset_fingerprints, op7_near_duplicates, op8_toxicity_nnpu, op9_source_mix, op10_url_filter)}
-ORACLE_SQL = {"op10_url_filter": urls.oracle()}
+ORACLE_SQL = {"op6_multiset_fingerprints": multiset.oracle(), "op5_quality_posterior": quality.oracle(), "op10_url_filter": urls.oracle()}
