@@ -126,27 +126,29 @@ def piece_array(ranks: dict[bytes, int]) -> pa.Array:
     return pa.array(pieces, pa.binary())
 
 
-def encode(docs: DataFrame, ranks: dict[bytes, int] | None = None, id: str = "doc_id", text: str = "text", limit: int = BROADCAST_LIMIT * 2, part_rows: int = 20_000) -> DataFrame:
-    """``(id, token_ids, n_tokens)`` of every row of ``docs``.
+def encode(docs: DataFrame, ranks: dict[bytes, int] | None = None, id: str = "doc_id", text: str = "text", limit: int = BROADCAST_LIMIT * 2, part_rows: int = 20_000, ids: bool = True) -> DataFrame:
+    """``(id, token_ids, n_tokens)`` of every row of ``docs``; without ``ids`` only the counts.
 
-    A null text gives null ids and count, an empty text an empty list and 0. Every row gives a row, repeated ids and
-    rows too; other columns are dropped, whatever their names. ``limit`` bounds the bytes of the word table that
+    A null text gives null ids and count, an empty text an empty list and 0; a text of any length is encoded whole, an
+    empty table gives none. Every row gives a row, repeated ids and rows too; other columns are dropped, whatever their
+    names. ``limit`` bounds the bytes of the word table that
     every executor gets; beyond it documents and words are joined part by part, ``part_rows`` documents a part.
     """
     ranks = ranks or vocabulary()
     spark = docs.sparkSession
     bound_batches(spark)
-    docs = docs.select(F.col(id).alias("id"), F.col(text).alias("text"))
+    docs = docs.select(F.col(f"`{id}`").alias("id"), F.col(f"`{text}`").alias("text"))
     words, seed = word_table(docs, ranks)
-    n, ids = words.agg(F.count("*"), F.coalesce(F.sum(F.size("ids")), F.lit(0))).first()
-    schema = f"`{id}` {docs.schema['id'].dataType.simpleString()}, token_ids array<int>, n_tokens int"
+    n, pieces = words.agg(F.count("*"), F.coalesce(F.sum(F.size("ids")), F.lit(0))).first()
+    fields = [T.StructField(id, docs.schema["id"].dataType), T.StructField("token_ids", T.ArrayType(T.IntegerType())), T.StructField("n_tokens", T.IntegerType())]
+    schema = T.StructType(fields if ids else fields[::2])
 
     def result(key, lists, index):
         flat, size = index(lists.flatten().to_numpy(zero_copy_only=False)) if len(lists.flatten()) else (np.zeros(0, np.int32), np.zeros(0, np.int64))
         out = _lists(lists, flat, size)
-        return [key, out, out.value_lengths()]
+        return [key, out, out.value_lengths()] if ids else [key, out.value_lengths()]
 
-    if 20 * n + 4 * ids <= limit:
+    if 20 * n + 4 * pieces <= limit:
         def fetched():  # in slices of the hash range, so that the driver never holds the table twice
             for k in range(16):
                 t = words.where(F.shiftrightunsigned("h", 60) == k).select("h", "ids").toArrow()
@@ -156,41 +158,51 @@ def encode(docs: DataFrame, ranks: dict[bytes, int] | None = None, id: str = "do
 
         def join(batches):
             for batch in slices(batches):
-                yield pa.RecordBatch.from_arrays(result(batch.column(0), batch.column(1), held.value), [id, "token_ids", "n_tokens"])
+                yield pa.RecordBatch.from_arrays(result(batch.column(0), batch.column(1), held.value), schema.names)
 
         return docs.select("id", _hashes(F.col("text"), seed).alias("h")).mapInArrow(join, schema)
 
     parts = max(1, -(-docs.count() // part_rows))
-    tagged = docs.select(F.pmod(F.xxhash64("id", "text"), F.lit(parts)).alias("part"), "id", "text")
+    tagged = docs.select(F.pmod(F.xxhash64(F.to_json(F.struct("id")), "text"), F.lit(parts)).alias("part"), "id", "text")
     used = tagged.select("part", F.explode(_hashes(F.col("text"), seed)).alias("h")).distinct().join(words, "h").select(F.col("part").alias("of"), "h", "ids")
     tagged = tagged.select("part", "id", _hashes(F.col("text"), seed).alias("hs"))
 
     def join_part(left: pa.Table, right: pa.Table) -> pa.Table:
         if not left.num_rows:
-            return pa.table({id: pa.array([], left.schema.field("id").type), "token_ids": pa.array([], pa.list_(pa.int32())), "n_tokens": pa.array([], pa.int32())})
+            kinds = [left.schema.field("id").type, pa.list_(pa.int32()), pa.int32()]
+            return pa.table([pa.array([], k) for k in (kinds if ids else kinds[::2])], schema.names)
         index = _Index([(right.column("h"), right.column("ids"))]) if right.num_rows else None
-        return pa.table(dict(zip([id, "token_ids", "n_tokens"], result(left.column("id"), left.column("hs").combine_chunks(), index))))
+        return pa.table(result(left.column("id").combine_chunks(), left.column("hs").combine_chunks(), index), schema.names)
 
     return tagged.groupBy("part").cogroup(used.groupBy("of")).applyInArrow(join_part, schema)
 
 
+def counted(docs: DataFrame, out: str, ranks: dict[bytes, int] | None = None, text: str = "text") -> DataFrame:
+    """``docs`` with the number of tokens of each text in a new column ``out``; null where the text is."""
+    row = F.struct(*(F.col(f"`{c}`").alias(f"c{i}") for i, c in enumerate(docs.columns)))
+    sizes = encode(docs.select(row.alias("row"), F.col(f"`{text}`").alias("text")), ranks, "row", ids=False)
+    return sizes.select(*(F.col("row")[f"c{i}"].alias(c) for i, c in enumerate(docs.columns)), F.col("n_tokens").alias(out))
+
+
 def decode(encoded: DataFrame, ranks: dict[bytes, int] | None = None, ids: str = "token_ids", out: str = "decoded") -> DataFrame:
     """``encoded`` with the text of its ids in column ``out``, by a join of each id with its piece.
 
     The pieces are a table of fixed size, indexed by id, that every task holds. Null ids give a null text, an empty
     list an empty one. A column already named ``out`` is kept: the new one then gets underscores behind its name.
-    Ids outside the vocabulary raise an error; bytes that are not UTF-8 stay as they are.
+    Ids outside the vocabulary raise an error, a null among the ids of a list stands for no piece; bytes that are not
+    UTF-8 stay as they are. Every row stays, of an empty table none.
     """
     pieces = encoded.sparkSession.sparkContext.broadcast(piece_array(ranks or vocabulary()).to_pylist())
     out = free_name(encoded, out)
     at = encoded.columns.index(ids)
-    raw = free_name(encoded, "raw")
 
     def join(batches):
         known = pa.array(pieces.value, pa.binary())
         for batch in slices(batches):
             texts = _decoded(batch.column(at), known)
-            yield pa.RecordBatch.from_arrays([*batch.columns, texts], [*batch.schema.names, raw])
+            yield pa.RecordBatch.from_arrays([*batch.columns, texts], [*batch.schema.names, "raw"])
 
-    schema = T.StructType([*encoded.schema.fields, T.StructField(raw, T.BinaryType())])
-    return encoded.mapInArrow(join, schema).select(*(F.col(f"`{c}`") for c in encoded.columns), F.col(raw).cast("string").alias(out))
+    names = [f"c{i}" for i in range(len(encoded.columns))]  # a name with a dot can't be handed to Python
+    kinds = [T.StructField(n, f.dataType) for n, f in zip(names, encoded.schema.fields)]
+    found = encoded.toDF(*names).mapInArrow(join, T.StructType([*kinds, T.StructField("raw", T.BinaryType())]))
+    return found.select(*(F.col(n).alias(c) for n, c in zip(names, encoded.columns)), F.col("raw").cast("string").alias(out))

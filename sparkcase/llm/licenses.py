@@ -190,4 +190,4 @@ def scan(docs: DataFrame, templates: dict[str, str] = TEMPLATES, containment: fl
                 [id, "license", "containment", "n_windows"],
             )
 
-    return docs.select(F.col(f"`{id}`"), token_hashes(F.col(f"`{text}`")).alias("tokens")).mapInArrow(run, f"`{id}` {kind}, license string, containment double, n_windows int")
+    return docs.select(F.col(f"`{id}`").alias("id"), token_hashes(F.col(f"`{text}`")).alias("tokens")).mapInArrow(run, f"`{id}` {kind}, license string, containment double, n_windows int")

@@ -1,6 +1,6 @@
 """Mixing sources to target weights by subset-sum budget fitting.
 
-Documents are counted by exact token length. Each source gets its share of the token budget: first the same fraction
+Documents are counted by exact length in tokens of operator 1's vocabulary. Each source gets its share of the token budget: first the same fraction
 of every length, then a bounded-knapsack over the remaining documents of each length fills what is left of the share.
 Which documents of a length are taken is decided by a seeded hash.
 """
@@ -9,20 +9,15 @@ from __future__ import annotations
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import fits, stored
+from . import bpe
+from .common import fits, free_name, stored
 
 #: Production mix: weights by source; sources not named share ``OTHER`` by their size.
 WEIGHTS = {"src0": 0.2, "src1": 0.08, "src2": 0.08}
 OTHER, BUDGET, SEED = 0.64, 0.7, 17
-TOKENS = r"\S+"
-
-
-def length(text: Column) -> Column:
-    """Tokens of a text: its runs of characters that are not white space; 0 for null and empty."""
-    return F.coalesce(F.regexp_count(text, F.lit(TOKENS)), F.lit(0)).cast("long")
 
 
 def budgets(totals: dict, weights: dict = WEIGHTS, other: float = OTHER, budget: float = BUDGET) -> dict:
@@ -88,40 +83,52 @@ def choose(lengths: np.ndarray, counts: np.ndarray, budget: int) -> np.ndarray:
 
 
 def _plan(counted: DataFrame, weights: dict, other: float, budget: float) -> DataFrame:
-    totals = {r["source"]: int(r["t"]) for r in counted.groupBy("source").agg(F.sum(F.col("len") * F.col("n")).alias("t")).collect()}
-    shares = budgets(totals, weights, other, budget)
+    """``counted`` with ``take``. The driver sees the named sources' totals and one of all others, which share in
+    proportion to their size; each source is planned by itself, from its table of lengths."""
+    named = F.when(F.col("source").isin(*weights), F.col("source")) if weights else F.lit(None).cast("string")
+    totals = {r["who"]: int(r["t"]) for r in counted.groupBy(named.alias("who")).agg(F.sum(F.col("len") * F.col("n")).alias("t")).collect()}
+    shares, rest = budgets(totals, weights, other, budget), totals.get(None, 0)
 
     def fit(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values("len", ignore_index=True)
         some = pdf.len.to_numpy() > 0
-        take = pdf.n.to_numpy().copy()
-        who = pdf.source.iloc[0]
-        take[some] = choose(pdf.len.to_numpy()[some], pdf.n.to_numpy()[some], shares[None if pd.isna(who) else who])
+        take, lengths, n = pdf.n.to_numpy().copy(), pdf.len.to_numpy()[some], pdf.n.to_numpy()[some]
+        who, own = pdf.source.iloc[0], int((lengths * n).sum())
+        share = shares[who] if not pd.isna(who) and who in weights else shares.get(None, 0) * own // max(rest, 1)
+        take[some] = choose(lengths, n, share)
         return pdf.assign(take=take)
 
     return counted.groupBy("source").applyInPandas(fit, f"source {counted.schema['source'].dataType.simpleString()}, len long, n long, take long")
 
 
-def plan(docs: DataFrame, source: str = "source", text: str = "text", weights: dict = WEIGHTS, other: float = OTHER, budget: float = BUDGET) -> DataFrame:
+def _counted(docs: DataFrame, text: str, ranks: dict | None, name: str) -> DataFrame:
+    rows = bpe.counted(docs, name, ranks, text)
+    return rows.withColumn(name, F.coalesce(F.col(name), F.lit(0)).cast("long"))
+
+
+def plan(docs: DataFrame, source: str = "source", text: str = "text", weights: dict = WEIGHTS, other: float = OTHER, budget: float = BUDGET, ranks: dict | None = None) -> DataFrame:
     """``(source, len, n, take)``: documents of each length in each source and how many of them the mix takes.
 
     Documents without tokens cost nothing and are all kept. A null source is a source of its own, by size.
     """
-    counted = docs.select(F.col(source).alias("source"), length(F.col(text)).alias("len")).groupBy("source", "len").agg(F.count("*").alias("n"))
-    return _plan(stored(counted), weights, other, budget)
+    rows = _counted(docs.select(F.col(f"`{source}`").alias("source"), F.col(f"`{text}`").alias("text")), "text", ranks, "len")
+    return _plan(stored(rows.groupBy("source", "len").agg(F.count("*").alias("n"))), weights, other, budget)
 
 
-def mix(docs: DataFrame, id: str = "doc_id", source: str = "source", text: str = "text", seed: int = SEED, weights: dict = WEIGHTS, other: float = OTHER, budget: float = BUDGET) -> DataFrame:
-    """The chosen rows of ``docs`` with their columns.
+def mix(docs: DataFrame, id: str = "doc_id", source: str = "source", text: str = "text", seed: int = SEED, weights: dict = WEIGHTS, other: float = OTHER, budget: float = BUDGET, ranks: dict | None = None, tokens: str | None = None) -> DataFrame:
+    """The chosen rows of ``docs`` with their columns, and their lengths in a new column ``tokens`` if it is named.
 
     Of each length in each source the documents with the lowest seeded hash of id and text are taken, equal hashes by
-    id; rows that repeat both are told apart by nothing, so as many copies stay as the plan asks for. A null text has
-    no tokens. An empty table stays empty.
+    id; rows that repeat both are told apart by nothing, so as many copies stay as the plan asks for. A null or empty
+    text has no tokens, a text of any length is counted whole. An empty table stays empty.
     """
     columns = docs.columns
-    key, words = F.xxhash64(F.lit(seed), F.col(f"`{id}`"), F.col(f"`{text}`")), length(F.col(f"`{text}`"))
-    keyed = stored(docs.select(F.col(f"`{source}`").alias("source"), words.alias("len"), F.struct(key.alias("h"), F.col(f"`{id}`").alias("id")).alias("o")))
-    planned = stored(_plan(keyed.groupBy("source", "len").agg(F.count("*").alias("n")), weights, other, budget))
+    words, hash = free_name(docs, tokens or "n_tokens"), free_name(docs, "h")
+    key = F.xxhash64(F.lit(seed), F.col(f"`{id}`"), F.col(f"`{text}`"))
+    docs = stored(_counted(docs, text, ranks, words).withColumn(hash, key))
+    order_key = F.struct(F.col(hash).alias("h"), F.col(f"`{id}`").alias("id")).alias("o")
+    keyed = docs.select(F.col(f"`{source}`").alias("source"), F.col(words).alias("len"), order_key)
+    planned = stored(_plan(stored(keyed.groupBy("source", "len").agg(F.count("*").alias("n"))), weights, other, budget))
     # The last order key that still fits each length, instead of a rank for each row: the texts are not shuffled.
     cut = planned.where("take > 0 and take < n").select(F.col("source").alias("of"), F.col("len").alias("of_len"), "take")
     cut = F.broadcast(cut) if fits(cut, 64) else cut
@@ -130,8 +137,8 @@ def mix(docs: DataFrame, id: str = "doc_id", source: str = "source", text: str =
     last = ranked.where("nth = take").select("of", "of_len", F.col("o").alias("last"), F.col("next").eqNullSafe(F.col("o")).alias("split"), (F.col("take") - F.col("first") + 1).alias("copies"))
     whole = planned.where("take = n").select(F.col("source").alias("of"), F.col("len").alias("of_len"), F.lit(None).cast(last.schema["last"].dataType).alias("last"), F.lit(False).alias("split"), F.lit(0).cast("long").alias("copies"))
     limits = stored(last.unionByName(whole))
-    one = F.struct(*(F.col(f"`{c}`") for c in columns)).alias("row")
-    tagged = docs.select(one, F.col(f"`{source}`").alias("source"), words.alias("len"), F.struct(key.alias("h"), F.col(f"`{id}`").alias("id")).alias("o"))
+    one = F.struct(*(F.col(f"`{c}`") for c in columns + [words] * bool(tokens))).alias("row")
+    tagged = docs.select(one, F.col(f"`{source}`").alias("source"), F.col(words).alias("len"), order_key)
     joined = tagged.join(F.broadcast(limits) if fits(limits, 96) else limits, F.col("source").eqNullSafe(F.col("of")) & (F.col("len") == F.col("of_len")))
     out = joined.where("last is null or o < last or (o = last and not split)").select("row.*")
     if limits.where("split").limit(1).count():

@@ -72,7 +72,7 @@ def fingerprints(docs: DataFrame, id: str = "doc_id", text: str = "text") -> Dat
                 digests.append(None if t is None else hashlib.sha256(v).hexdigest())
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(n, pa.int32()), pa.array(vectors, pa.binary()), pa.array(digests, pa.string())], [id, "n_paragraphs", "fingerprint", "digest"])
 
-    return docs.select(F.col(f"`{id}`"), F.col(f"`{text}`")).mapInArrow(run, f"`{id}` {kind}, n_paragraphs int, fingerprint binary, digest string")
+    return docs.select(F.col(f"`{id}`").alias("id"), F.col(f"`{text}`").alias("text")).mapInArrow(run, f"`{id}` {kind}, n_paragraphs int, fingerprint binary, digest string")
 
 
 def edited(stored: DataFrame, inserted: DataFrame | None = None, deleted: DataFrame | None = None, id: str = "doc_id", paragraph: str = "paragraph") -> DataFrame:

@@ -91,7 +91,7 @@ def _shingle_sets(docs: DataFrame, need: DataFrame, id: str, text: str, width: i
     """``(node, s)``: the distinct shingles of the needed ``(id, th, node)``, found by id, null or not, and the text's hash."""
     want = need.select(F.col("id").alias("want_id"), F.col("th").alias("want_th"), F.col("node").alias("want"))
     want = F.broadcast(want) if fits(want, 72) else want
-    rows = docs.select(F.col(id).alias("k"), F.col(text).alias("text"), F.xxhash64(F.col(text)).alias("th"))
+    rows = docs.select(F.col(f"`{id}`").alias("k"), F.col(f"`{text}`").alias("text"), F.xxhash64(F.col(f"`{text}`")).alias("th"))
     found = rows.join(want, F.col("k").eqNullSafe(F.col("want_id")) & (F.col("th") == F.col("want_th"))).select("want", token_hashes(F.col("text")).alias("tokens"))
 
     def run(batches):
@@ -237,7 +237,8 @@ def groups(docs: DataFrame, id: str = "doc_id", text: str = "text", **how) -> Da
     Equal word sequences are one group; others join it if the Jaccard similarity of their shingles with one of its
     members reaches the threshold. Texts without words are duplicates only of equal texts, null texts of none.
     Repeated rows are duplicates of each other, also rows of one id; a null id is grouped but never names a group
-    that has another id. ``how`` passes the parameters of ``nodes``. Other columns are dropped.
+    that has another id. Texts of any length are compared whole; an empty table gives no rows. ``how`` passes the
+    parameters of ``nodes``. Other columns are dropped.
     """
     placed = stored(nodes(docs, id, text, **how))
     of = placed.groupBy("root").agg(F.min("id").alias("group_id"), F.count("*").alias("group_size")).where("group_size > 1")

@@ -332,7 +332,7 @@ def score_adaptive(docs: DataFrame, id: str = "doc_id", text: str = "text", orde
             rate = [x / len(b) if b else None for x, b in zip(bits, raw)]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([None if b is None else len(b) for b in raw], pa.int64()), pa.array(bits, pa.float64()), pa.array(rate, pa.float64())], [id, "n_bytes", "bits", "bits_per_byte"])
 
-    return docs.select(F.col(f"`{id}`"), F.col(f"`{text}`")).mapInArrow(run, f"`{id}` {kind}, n_bytes long, bits double, bits_per_byte double")
+    return docs.select(F.col(f"`{id}`").alias("id"), F.col(f"`{text}`").alias("text")).mapInArrow(run, f"`{id}` {kind}, n_bytes long, bits double, bits_per_byte double")
 
 
 class Adaptive:

@@ -51,7 +51,7 @@ def op8_toxicity_nnpu(spark, sf_dir):
 def op9_source_mix(spark, sf_dir):
     """The documents chosen for the target weights."""
     docs = table(spark, sf_dir, "documents").select("doc_id", "source", "text")
-    return mixing.mix(docs).select("doc_id", "source", mixing.length(F.col("text")).alias("n_tokens"))
+    return mixing.mix(docs, tokens="n_tokens").select("doc_id", "source", "n_tokens")
 
 
 def op10_url_filter(spark, sf_dir):

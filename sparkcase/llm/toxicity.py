@@ -94,7 +94,7 @@ def sample(docs: DataFrame, labels: DataFrame, id: str, text: str, positives: in
     share = labels.where("toxic is not null and doc_id is not null").agg(F.avg("toxic")).first()[0]
     key = docs.schema[id].dataType
     toxic = labels.where("toxic = 1 and doc_id is not null").select(F.col("doc_id").cast(key).alias("k")).distinct()
-    ids = docs.select(F.col(id).alias("k")).where("k is not null").distinct()
+    ids = docs.select(F.col(f"`{id}`").alias("k")).where("k is not null").distinct()
     order = F.xxhash64("k", F.lit(8))
     chosen = ids.join(toxic, "k", "left_semi").orderBy(order, "k").limit(positives).select("k", F.lit(1).alias("y"))
     rest = ids.join(toxic, "k", "left_anti").orderBy(order, "k").limit(unlabelled).select("k", F.lit(0).alias("y"))
@@ -109,12 +109,17 @@ def sample(docs: DataFrame, labels: DataFrame, id: str, text: str, positives: in
 
     # The sample's ids are bounded by the two parameters, so they are broadcast.
     prior = float(np.clip(share if share is not None else 0.1, 0.005, 0.9))
-    texts = docs.select(F.col(id).alias("k"), F.col(text).alias("text")).join(F.broadcast(picked), "k").select("y", "text")
+    texts = docs.select(F.col(f"`{id}`").alias("k"), F.col(f"`{text}`").alias("text")).join(F.broadcast(picked), "k").select("y", "text")
     return stored(texts.mapInArrow(run, "y int, f array<long>")), prior
 
 
 def fit(docs: DataFrame, labels: DataFrame, id: str = "doc_id", text: str = "text", prior: float | None = None, positives: int = POSITIVES, unlabelled: int = UNLABELLED):
-    """The scorer; ``prior`` is the share of toxic documents, by default that of the labelled ones."""
+    """The scorer; ``prior`` is the share of toxic documents, by default that of the labelled ones.
+
+    Null ids, of documents and of labels, and null labels aren't used. Rows that repeat an id are all used, with the
+    label of that id; an id that is labelled toxic and not toxic counts as toxic. Null and empty texts have no
+    features. Without toxic documents, as of empty tables, the scorer calls nothing toxic.
+    """
     bound_batches(docs.sparkSession)
     rows, estimated = sample(docs, labels.select("doc_id", "toxic"), id, text, positives, unlabelled)
     prior = estimated if prior is None else prior
@@ -174,7 +179,8 @@ def score(docs: DataFrame, model, text: str = "text", out: str = "toxicity") ->
     """``docs`` with the probability-like score of each text in column ``out`` (renamed with underscores if taken).
 
     A null or empty text scores by the bias alone, which is below the threshold whenever toxic documents are rare.
-    Equal texts get equal scores, every row stays; without any toxic label nothing is flagged.
+    Equal texts get equal scores, every row stays, repeated ones too, and an empty table stays empty; texts of any
+    length are read whole. Without any toxic label nothing is flagged.
     """
     bound_batches(docs.sparkSession)
     held = docs.sparkSession.sparkContext.broadcast(model)

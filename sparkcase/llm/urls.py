@@ -2,11 +2,15 @@
 
 from __future__ import annotations
 
+import pickle
+import re
+from urllib.parse import unquote
+
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import free_name
+from .common import BROADCAST_LIMIT, free_name
 
 #: Production entries: ``(action, host or host/path)``.
 ENTRIES = (
@@ -17,11 +21,12 @@ ENTRIES = (
 
 
 def parts(url: str) -> tuple[list[str], list[str]]:
-    """Reversed host labels and path segments; scheme, user, port, query and fragment are dropped, hosts lower-cased."""
-    rest = url.strip().split("://", 1)[-1].split("#", 1)[0].split("?", 1)[0]
+    """Reversed host labels and path segments; scheme, user, port, query and fragment are dropped, hosts lower-cased,
+    percent-encoded characters of segments decoded. A URL may lack its scheme, or scheme and slashes."""
+    rest = re.sub(r"^(?:[^/?#]*:)?//", "", url.strip()).split("#", 1)[0].split("?", 1)[0]
     host, _, path = rest.partition("/")
     host = host.rsplit("@", 1)[-1].split(":", 1)[0].lower().strip(".")
-    return [x for x in reversed(host.split(".")) if x], [x for x in path.split("/") if x]
+    return [x for x in reversed(host.split(".")) if x], [unquote(x) for x in path.split("/") if x]
 
 
 def build(entries) -> dict:
@@ -70,10 +75,14 @@ def match(trie: dict, url: str | None) -> tuple[str, str | None]:
 def url_filter(pages: DataFrame, entries=ENTRIES, url: str = "url", action: str = "action", entry: str = "entry") -> DataFrame:
     """``pages`` with the action and the entry that decided it; the trie is the given entries', so its size is fixed.
 
-    A null URL gets action ``none``; an empty one, or one under no entry, ``allow`` with a null entry. Every row
-    stays, repeated ones too. Existing columns of the same names are kept: the new ones get underscores.
+    A null URL gets action ``none``; an empty one, or one under no entry, ``allow`` with a null entry; a URL may be of
+    any length. Every row stays, repeated ones too, and an empty table stays empty. Existing columns of the same names
+    are kept: the new ones get underscores. Entries whose trie is over ``BROADCAST_LIMIT`` bytes are an error.
     """
-    trie = pages.sparkSession.sparkContext.broadcast(build(entries))
+    known = build(entries)
+    if len(pickle.dumps(known)) > BROADCAST_LIMIT:
+        raise ValueError(f"the entries take more than {BROADCAST_LIMIT} bytes: filter by parts of them")
+    trie = pages.sparkSession.sparkContext.broadcast(known)
     action, entry = free_name(pages, action), free_name(pages, entry)
     found = free_name(pages, "found")
 
@@ -91,9 +100,9 @@ def oracle(entries=ENTRIES, columns: str = "page_id, url") -> str:
     rows = ", ".join("('{}', '{}', '{}', '{}', {}, {})".format(a, e, ".".join(parts(e)[0]) + ".", "".join("/" + x for x in parts(e)[1]) + "/", len(parts(e)[0]), len(parts(e)[1])) for a, e in entries)
     return f"""
     WITH e(action, entry, host, path, labels, segments) AS (VALUES {rows}),
-    u AS (SELECT *, row_number() OVER () AS rn, regexp_replace(regexp_replace(trim(url), '^.*?://', ''), '[#?].*$', '') AS rest FROM pages),
+    u AS (SELECT *, row_number() OVER () AS rn, regexp_replace(regexp_replace(trim(url), '^([^/?#]*:)?//', ''), '[#?].*$', '') AS rest FROM pages),
     v AS (SELECT *, list_aggregate(list_reverse(string_split(lower(split_part(split_part(rest, '/', 1), ':', 1)), '.')), 'string_agg', '.') || '.' AS rev,
-        regexp_replace(substr(rest, length(split_part(rest, '/', 1)) + 1) || '/', '/+', '/', 'g') AS path FROM u),
+        url_decode(regexp_replace(substr(rest, length(split_part(rest, '/', 1)) + 1) || '/', '/+', '/', 'g')) AS path FROM u),
     m AS (SELECT v.rn, e.action, e.entry, row_number() OVER (PARTITION BY v.rn ORDER BY labels DESC, segments DESC) AS k
         FROM v JOIN e ON starts_with(v.rev, e.host) AND starts_with(v.path, e.path))
     SELECT {", ".join("v." + c.strip() for c in columns.split(","))}, CASE WHEN v.url IS NULL THEN 'none' ELSE coalesce(m.action, 'allow') END AS action, m.entry AS entry

@@ -260,7 +260,7 @@ def templates(pages: DataFrame, url: str = "url", html: str = "html") -> DataFra
         return pd.DataFrame({"host": [rows.host[0]], "part": [0], "pages": [rows.pages.sum()], "template": [pickle.dumps(total, 5)]})
 
     schema = "host string, part int, pages long, template binary"
-    partial = pages.where(F.col(html).isNotNull()).select(host(F.col(url)).alias("host"), F.col(html)).mapInArrow(part, schema)
+    partial = pages.where(F.col(f"`{html}`").isNotNull()).select(host(F.col(f"`{url}`")).alias("host"), F.col(f"`{html}`").alias("html")).mapInArrow(part, schema)
     for key in (["host", "part"], ["host"]):
         partial = partial.groupBy(key).applyInPandas(join, schema)
     return partial.select("host", "pages", "template")
@@ -271,7 +271,7 @@ def aligned(pages: DataFrame, id: str = "page_id", url: str = "url", html: str =
     template; pages that show the same have the same ``page``."""
     known = stored(templates(pages, url, html))
     total = known.agg(F.sum(F.length("template"))).first()[0] or 0
-    rows = pages.select(F.col(id).alias("id"), host(F.col(url)).alias("host"), F.col(html).alias("html"))
+    rows = pages.select(F.col(f"`{id}`").alias("id"), host(F.col(f"`{url}`")).alias("host"), F.col(f"`{html}`").alias("html"))
     joined = rows.join(F.broadcast(known) if total <= BROADCAST_LIMIT else known, "host", "left").select("id", "host", "html", "template")
 
     def run(batches):
@@ -319,8 +319,8 @@ def extract_pages(pages: DataFrame, id: str = "page_id", url: str = "url", html:
     """``(id, host, content, n_content, n_template)`` of every row of ``pages``.
 
     A null HTML gives null content, an empty one empty content. A host with a single page has no repeated text, so
-    all its text is content; pages without a host form one group. Pages that show the same count once. Other columns
-    are dropped.
+    all its text is content; pages without a host form one group. Pages that show the same count once, repeated rows all
+    give a row, an empty table none; a page of any length is parsed whole. Other columns are dropped.
     """
     bound_batches(pages.sparkSession)
     kind = pages.schema[id].dataType.simpleString()

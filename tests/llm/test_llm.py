@@ -54,6 +54,29 @@ def test_bpe_equals_the_tokenizer_and_round_trips(docs, odd, limit):
     assert all(r.n_tokens == (None if r.token_ids is None else len(r.token_ids)) for r in out)
 
 
+@pytest.mark.parametrize("limit", [1 << 27, 0])
+def test_bpe_counts(odd, limit, monkeypatch):
+    encode = bpe.encode
+    monkeypatch.setattr(bpe, "encode", lambda *a, **k: encode(*a, **k, limit=limit, part_rows=4))
+    got = bpe.counted(clashing(odd, "row", "c0", "n.x"), "n")
+    want = collections.Counter((r.doc_id, r.n_tokens) for r in encode(odd).collect())
+    assert got.columns == [*odd.columns, "row", "c0", "n.x", "n"] and collections.Counter((r.doc_id, r.n) for r in got.collect()) == want
+
+
+def test_id_names_with_dots(docs, spark):
+    """An id column whose name has a dot passes through every operator."""
+    some = docs.limit(12).withColumnRenamed("doc_id", "doc.id")
+    name, key = "doc.id", "`doc.id`"
+    outs = [bpe.decode(bpe.encode(some, id=name)), ppm.score(some, id=name), licenses.scan(some, id=name), quality.keep(some), multiset.fingerprints(some, id=name), neardup.groups(some, id=name), mixing.mix(some, id=name)]
+    outs.append(wrappers.extract_pages(some.select(key, F.lit("http://a.b").alias("url"), F.col("text").alias("html")), id=name))
+    model = toxicity.fit(some, spark.createDataFrame([(1, 1)], "doc_id long, toxic int"), id=name)
+    outs.append(toxicity.score(some, model))
+    outs.append(urls.url_filter(some.withColumn("url", F.lit("x"))))
+    ids = {r[0] for r in some.select(key).collect()}
+    for out in outs:
+        assert {r[0] for r in out.select(key).collect()} <= ids
+
+
 def test_bpe_empty_and_clashes(none, odd):
     assert bpe.decode(bpe.encode(none)).count() == 0
     out = bpe.decode(bpe.encode(clashing(odd, "h", "part", "ids")).withColumn("decoded", F.lit("kept")).withColumn("raw", F.lit(1)))
@@ -507,7 +530,6 @@ def test_near_duplicates_without_id(spark):
 
 def test_toxicity_held_out(spark):
     docs, labels = (spark.read.parquet(f"/root/testdata/sf0.1/{t}.parquet") for t in ("documents", "labels"))
-    labels = labels.join(docs.where("length(text) < 3000").select("doc_id"), "doc_id", "left_semi").where("quality = 1")
     docs = docs.join(labels.select("doc_id"), "doc_id", "left_semi")
     train = F.pmod(F.xxhash64("doc_id", F.lit(99)), F.lit(2)) == 0
     seen = docs.where(train)
@@ -557,15 +579,48 @@ def test_knapsack_fills_the_rest_as_well_as_any_choice():
             assert (lengths * take).sum() == max(sums)
 
 
-def test_mix_meets_budgets_and_selects_by_hash(docs):
-    rows = docs.collect()
-    chosen = mixing.mix(docs).collect()
-    planned = {(r.source, r.len): r for r in mixing.plan(docs).collect()}
-    words = lambda r: len(re.findall(r"\S+", r.text))
-    got = collections.Counter((r.source, words(r)) for r in chosen)
-    assert got == {k: r.take for k, r in planned.items() if r.take}
-    assert collections.Counter((r.source, words(r)) for r in rows) == {k: r.n for k, r in planned.items()}
-    assert {tuple(r) for r in chosen} == {tuple(r) for r in mixing.mix(docs).collect()} != {tuple(r) for r in mixing.mix(docs, seed=5).collect()}
+def brute_mix(rows, seed=mixing.SEED):
+    """Ids that the mix takes, by sorting all documents of a length: ``(id, source, tokens, hash)``."""
+    by = collections.defaultdict(lambda: collections.defaultdict(list))
+    for d, source, n, h in rows:
+        by[source][n].append((h, d))
+    total = {s: sum(n * len(v) for n, v in lengths.items()) for s, lengths in by.items()}
+    rest = sum(t for s, t in total.items() if s not in mixing.WEIGHTS)
+    share = {s: mixing.WEIGHTS.get(s, mixing.OTHER * total[s] / max(rest, 1)) for s in total}
+    left, budget, open_ = int(mixing.BUDGET * sum(total.values())), {}, set(total)
+    while open_:
+        whole = sum(share[s] for s in open_)
+        full = {s for s in open_ if left * share[s] / whole >= total[s] - 1e-9}
+        budget |= {s: total[s] for s in full} if full else {s: int(left * share[s] / whole + 1e-9) for s in open_}
+        left -= sum(total[s] for s in full)
+        open_ = open_ - full if full else set()
+    taken = set()
+    for s, lengths in by.items():
+        taken |= {d for _, d in lengths.pop(0, [])}
+        if lengths:
+            n = np.array(sorted(lengths))
+            for length, k in zip(n, mixing.choose(n, np.array([len(lengths[x]) for x in n]), budget[s])):
+                taken |= {d for _, d in sorted(lengths[length])[:k]}
+    return taken, budget
+
+
+def test_mix_equals_brute_force(docs):
+    encoder = bpe._encoder(bpe.vocabulary())
+    rows = docs.select("*", F.xxhash64(F.lit(mixing.SEED), "doc_id", "text").alias("h")).collect()
+    size = {r.doc_id: len(encoder.encode_ordinary(r.text)) for r in rows}
+    want, budget = brute_mix([(r.doc_id, r.source, size[r.doc_id], r.h) for r in rows])
+    chosen = mixing.mix(docs, tokens="n_tokens").collect()
+    assert len(want) < len(rows) and {r.doc_id for r in chosen} == want and len(chosen) == len(want)
+    assert all(r.n_tokens == size[r.doc_id] for r in chosen)
+    given = collections.Counter()
+    for r in chosen:
+        given[r.source] += r.n_tokens
+    longest = max(size.values())
+    assert all(budget[s] - longest <= given[s] <= budget[s] for s in budget)
+    planned = {(r.source, r.len): (r.n, r.take) for r in mixing.plan(docs).collect()}
+    assert collections.Counter((r.source, size[r.doc_id]) for r in rows) == {k: n for k, (n, _) in planned.items()}
+    assert collections.Counter((r.source, r.n_tokens) for r in chosen) == {k: t for k, (_, t) in planned.items() if t}
+    assert {tuple(r) for r in chosen} == {tuple(r) for r in mixing.mix(docs, tokens="n_tokens").collect()} != {tuple(r) for r in mixing.mix(docs, seed=5, tokens="n_tokens").collect()}
 
 
 def test_budgets():
@@ -578,7 +633,7 @@ def test_budgets():
 def test_mix_edges(spark, none, odd):
     assert mixing.mix(none).count() == 0
     same = spark.createDataFrame([(1, "one two three", None, None, None)] * 10, SCHEMA)
-    out = mixing.mix(clashing(same, "o", "of", "len", "last", "row", "take"), budget=0.5)
+    out = mixing.mix(clashing(same, "o", "of", "len", "last", "n_tokens", "h", "row", "take"), budget=0.5)
     assert out.count() == 5 and out.columns[-1] == "take"
     assert mixing.mix(odd, budget=1.0).count() == odd.count()
 
@@ -599,6 +654,7 @@ def test_url_filter_equals_sql_and_brute_force(spark):
     [
         ("http://bad.com", "block"), ("https://x.BAD.com:8080/a?b#c", "block"), ("http://good.bad.com/", "allow"), ("http://bad.com/ok/page", "allow"), ("http://bad.com/ok/no/page", "block"),
         ("http://notbad.com", "allow"), ("http://bad.com.org", "allow"), ("", "allow"), (None, "none"), ("user@bad.com/okay", "block"), ("http://tie.com", "block"),
+        ("//bad.com/x", "block"), ("bad.com//x", "block"), ("http://bad.com/%6Fk/a", "allow"), ("http://bad.com/ok%2Fno", "block"), ("x://y://bad.com", "allow"),
     ],
 )
 def test_url_rules(url, action):
