@@ -126,13 +126,14 @@ def piece_array(ranks: dict[bytes, int]) -> pa.Array:
     return pa.array(pieces, pa.binary())
 
 
-def encode(docs: DataFrame, ranks: dict[bytes, int] | None = None, id: str = "doc_id", text: str = "text", limit: int = BROADCAST_LIMIT * 2, part_rows: int = 20_000, ids: bool = True) -> DataFrame:
+def encode(docs: DataFrame, ranks: dict[bytes, int] | None = None, id: str = "doc_id", text: str = "text", limit: int = BROADCAST_LIMIT * 2, part_bytes: int = 16 << 20, ids: bool = True) -> DataFrame:
     """``(id, token_ids, n_tokens)`` of every row of ``docs``; without ``ids`` only the counts.
 
     A null text gives null ids and count, an empty text an empty list and 0; a text of any length is encoded whole, an
     empty table gives none. Every row gives a row, repeated ids and rows too; other columns are dropped, whatever their
     names. ``limit`` bounds the bytes of the word table that
-    every executor gets; beyond it documents and words are joined part by part, ``part_rows`` documents a part.
+    every executor gets; beyond it documents and words are joined part by part, ``part_bytes``
+    characters a part.
     """
     ranks = ranks or vocabulary()
     spark = docs.sparkSession
@@ -162,10 +163,11 @@ def encode(docs: DataFrame, ranks: dict[bytes, int] | None = None, id: str = "do
 
         return docs.select("id", _hashes(F.col("text"), seed).alias("h")).mapInArrow(join, schema)
 
-    parts = max(1, -(-docs.count() // part_rows))
-    tagged = docs.select(F.pmod(F.xxhash64(F.to_json(F.struct("id")), "text"), F.lit(parts)).alias("part"), "id", "text")
-    used = tagged.select("part", F.explode(_hashes(F.col("text"), seed)).alias("h")).distinct().join(words, "h").select(F.col("part").alias("of"), "h", "ids")
-    tagged = tagged.select("part", "id", _hashes(F.col("text"), seed).alias("hs"))
+    # Parts of about ``part_bytes`` characters, whatever repeats; stored, as the parts are drawn at random.
+    parts = max(1, (docs.agg(F.sum(F.length("text"))).first()[0] or 0) // part_bytes)
+    drawn = F.pmod(F.xxhash64(F.monotonically_increasing_id()), F.lit(parts)).alias("part")
+    tagged = stored(docs.select(drawn, "id", _hashes(F.col("text"), seed).alias("hs")))
+    used = tagged.select("part", F.explode("hs").alias("h")).distinct().join(words, "h").select(F.col("part").alias("of"), "h", "ids")
 
     def join_part(left: pa.Table, right: pa.Table) -> pa.Table:
         if not left.num_rows:

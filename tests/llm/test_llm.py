@@ -49,7 +49,7 @@ def test_bpe_equals_the_tokenizer_and_round_trips(docs, odd, limit):
     encoder = bpe._encoder(bpe.vocabulary())
     both = docs.select("doc_id", "text").unionByName(odd.select("doc_id", "text"))
     want = collections.Counter((r.doc_id, None if r.text is None else tuple(encoder.encode_ordinary(r.text)), r.text) for r in both.collect())
-    out = bpe.decode(bpe.encode(both, limit=limit, part_rows=60)).collect()
+    out = bpe.decode(bpe.encode(both, limit=limit, part_bytes=100_000)).collect()
     assert collections.Counter((r.doc_id, None if r.token_ids is None else tuple(r.token_ids), r.decoded) for r in out) == want
     assert all(r.n_tokens == (None if r.token_ids is None else len(r.token_ids)) for r in out)
 
@@ -57,7 +57,7 @@ def test_bpe_equals_the_tokenizer_and_round_trips(docs, odd, limit):
 @pytest.mark.parametrize("limit", [1 << 27, 0])
 def test_bpe_counts(odd, limit, monkeypatch):
     encode = bpe.encode
-    monkeypatch.setattr(bpe, "encode", lambda *a, **k: encode(*a, **k, limit=limit, part_rows=4))
+    monkeypatch.setattr(bpe, "encode", lambda *a, **k: encode(*a, **k, limit=limit, part_bytes=1000))
     got = bpe.counted(clashing(odd, "row", "c0", "n.x"), "n")
     want = collections.Counter((r.doc_id, r.n_tokens) for r in encode(odd).collect())
     assert got.columns == [*odd.columns, "row", "c0", "n.x", "n"] and collections.Counter((r.doc_id, r.n) for r in got.collect()) == want
