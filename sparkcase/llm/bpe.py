@@ -131,9 +131,8 @@ def encode(docs: DataFrame, ranks: dict[bytes, int] | None = None, id: str = "do
 
     A null text gives null ids and count, an empty text an empty list and 0; a text of any length is encoded whole, an
     empty table gives none. Every row gives a row, repeated ids and rows too; other columns are dropped, whatever their
-    names. ``limit`` bounds the bytes of the word table that
-    every executor gets; beyond it documents and words are joined part by part, ``part_bytes``
-    characters a part.
+    names. ``limit`` bounds the bytes of the word table that every executor gets; beyond it
+    documents and words are joined part by part, ``part_bytes`` characters a part.
     """
     ranks = ranks or vocabulary()
     spark = docs.sparkSession
@@ -167,6 +166,7 @@ def encode(docs: DataFrame, ranks: dict[bytes, int] | None = None, id: str = "do
     parts = max(1, (docs.agg(F.sum(F.length("text"))).first()[0] or 0) // part_bytes)
     drawn = F.pmod(F.xxhash64(F.monotonically_increasing_id()), F.lit(parts)).alias("part")
     tagged = stored(docs.select(drawn, "id", _hashes(F.col("text"), seed).alias("hs")))
+    schema = T.StructType([T.StructField(id, tagged.schema["id"].dataType), *schema.fields[1:]])  # a written table's nested fields may be null
     used = tagged.select("part", F.explode("hs").alias("h")).distinct().join(words, "h").select(F.col("part").alias("of"), "h", "ids")
 
     def join_part(left: pa.Table, right: pa.Table) -> pa.Table:
