@@ -5,7 +5,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from sparkcase.functions import graphs, kernels, measures as m, pooling, taxonomy
+from sparkcase.functions import graph_search, graphs, kernels, measures as m, pooling, taxonomy
 
 
 def one(spark, measure, x, y, kind):
@@ -130,6 +130,66 @@ def test_graph_search_finds_the_optimum():
             assert graphs.similarity(x, y, method, setting)["value"] <= best + 1e-9
 
 
+@pytest.mark.parametrize("heuristic", list(graph_search.HEURISTICS))
+@pytest.mark.parametrize("selection", list(graph_search.SELECTIONS))
+def test_every_heuristic_and_selection_is_optimal(heuristic, selection):
+    rng = random.Random(heuristic + selection)
+    setting = graphs.Setting(node_sim=lambda a, b: 1.0 if a == b else 0.3, node_matcher=lambda a, b: (a < "C") == (b < "C"))
+    for k in range(12):
+        x, y = (
+            {"nodes": [(f"n{i}", rng.choice("ABC")) for i in range(n)], "edges": [(f"e{i}", f"n{rng.randrange(n)}", f"n{rng.randrange(n)}", None) for i in range(rng.randint(0, 4))]}
+            for n in (rng.randint(1, 4), rng.randint(1, 4))
+        )
+        best = graphs.similarity(x, y, "brute_force", setting)["value"]
+        for start in ("empty", "unique"):
+            found = graphs.similarity(x, y, "astar", setting, heuristic=heuristic, selection=selection, start=start, partial_mapping=True)["value"]
+            assert found == pytest.approx(best) if heuristic != "h4" else found <= best + 1e-9
+        assert graphs.similarity(x, y, "astar", setting, heuristic=heuristic, selection=selection, beam_width=2, pathlength_weight=2)["value"] <= best + 1e-9
+
+
+def test_search_successors_and_starts():
+    x, y = chain("AB"), chain("AB")
+    problem = graphs.Problem(x, y, graphs.Setting(node_matcher=lambda a, b: a == b))
+    empty, unique = graph_search.init_empty(problem), graph_search.init_unique_matches(problem)
+    assert unique.nodes == {"n0": "n0", "n1": "n1"} and unique.edges == {"e0": "e0"}
+    search = graph_search.Search(problem, partial_mapping=True)
+    assert [s.nodes for s in search.expand_node(empty, "n0")] == [{"n0": "n0"}, {}]
+    assert [s.edges for s in search.expand_edge(empty, "e0")] == [{}]
+    both = search.expand_edge_with_nodes(empty, "e0")[0]
+    assert both.nodes == unique.nodes and both.edges == unique.edges and search.finished(both)
+    assert graph_search.init_from(graph_search.lap)(problem) == unique
+    assert graphs.METHODS["dfs"](problem, roots=lambda case, query: ("n1", "n1"))["n1"] == "n1"
+    with pytest.raises(ValueError, match="roots"):
+        graphs.METHODS["dfs"](problem, roots=lambda case, query: ("n0", "n1"))
+
+
+@pytest.mark.parametrize("handling", ["ignore", "worstcase", "greedy", "optimal"])
+def test_lap_weighs_deletions_and_insertions(handling):
+    """The assignment against all partial mappings of the nodes."""
+    rng = random.Random(handling)
+    for _ in range(30):
+        x, y = ({"nodes": [(f"n{i}", rng.random()) for i in range(n)], "edges": [(f"e{i}", f"n{rng.randrange(n)}", f"n{rng.randrange(n)}", None) for i in range(rng.randint(0, 3))]} for n in (rng.randint(1, 3), rng.randint(1, 3)))
+        setting = graphs.Setting(node_sim=lambda a, b: 1 - abs(a - b), node_deletion=0.4, node_insertion=0.3, edge_deletion=0.6, edge_insertion=0.2)
+        problem = graphs.Problem(x, y, setting)
+        table, mine, theirs, _ = graph_search.assignment_costs(problem, graph_search.init_empty(problem), handling)
+        n, m = len(mine), len(theirs)
+
+        def cost(mapping):
+            return sum(table[i][mapping[i]] if i in mapping else table[i][m + i] for i in range(n)) + sum(table[n + j][j] for j in range(m) if j not in mapping.values())
+
+        every = [dict(zip(rows, columns)) for k in range(min(n, m) + 1) for rows in itertools.combinations(range(n), k) for columns in itertools.permutations(range(m), k)]
+        found = graph_search.lap(problem, handling)
+        assert cost({mine.index(a): theirs.index(b) for a, b in found.items()}) == pytest.approx(min(map(cost, every)))
+
+
+def test_limits_and_null_graphs(spark):
+    dense = {"nodes": [(f"n{i}", 0) for i in range(9)], "edges": [(f"e{i}{j}", f"n{i}", f"n{j}", None) for i in range(9) for j in range(9) if i != j]}
+    for method, how in (("astar", {"max_states": 50, "partial_mapping": True}), ("dfs", {"max_states": 50}), ("vf2", {"max_visits": 50}), ("qap", {"timeout": 0.05})):
+        assert 0 <= graphs.similarity(dense, dense, method, **how)["value"] <= 1
+    df = spark.createDataFrame([(([("a", "v")], []), None), (([("a", "v")], []), ([("b", "v")], []))], f"x {graphs.GRAPH}, y {graphs.GRAPH}")
+    assert [r[0] for r in df.select(graphs.graph_measure("astar")(F.col("x"), F.col("y"))["value"]).collect()] == [None, 1.0]
+
+
 def chain(text):
     return {"nodes": [(f"n{i}", c) for i, c in enumerate(text)], "edges": [(f"e{i}", f"n{i}", f"n{i + 1}", None) for i in range(len(text) - 1)]}
 
