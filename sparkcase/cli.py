@@ -1,4 +1,4 @@
-"""Command line: ``python -m sparkcase.cli retrieve|cycle|synthesis`` over files, with operators named ``module:object``."""
+"""Command line: ``python -m sparkcase.cli retrieve|reuse|cycle|synthesis`` over files, with operators named ``module:object``."""
 
 from __future__ import annotations
 
@@ -14,12 +14,15 @@ from .sources import dumpers, loaders
 def _parser() -> argparse.ArgumentParser:
     parser = argparse.ArgumentParser(prog="sparkcase")
     commands = parser.add_subparsers(dest="command", required=True)
-    for name in ("retrieve", "cycle", "synthesis"):
+    for name in ("retrieve", "reuse", "cycle", "synthesis"):
         p = commands.add_parser(name)
         p.add_argument("casebase")
         p.add_argument("queries")
         p.add_argument("--key", default="key", help="key column of both files")
-        p.add_argument("--retriever", action="append", required=True, metavar="MODULE:OBJECT")
+        if name == "reuse":
+            p.add_argument("--reuser", action="append", required=True, metavar="MODULE:OBJECT")
+        else:
+            p.add_argument("--retriever", action="append", required=True, metavar="MODULE:OBJECT")
         p.add_argument("--output", required=True, help="a path that ends in .json, .csv or .parquet")
         if name == "cycle":
             for kind in ("reuser", "reviser", "retainer"):
@@ -35,8 +38,10 @@ def main(arguments: list[str] | None = None) -> None:
     spark = SparkSession.builder.appName("sparkcase").getOrCreate()
     cases = retrieval.cases_of(loaders.path(spark, args.casebase), args.key)
     queries = retrieval.queries_of(loaders.path(spark, args.queries), args.key)
-    retrievers = [loaders.py(n) for n in args.retriever]
-    if args.command == "cycle":
+    retrievers = [loaders.py(n) for n in getattr(args, "retriever", ())]
+    if args.command == "reuse":
+        out = phases.apply_phase(retrieval.pairs(cases, queries), [loaders.py(n) for n in args.reuser]).final
+    elif args.command == "cycle":
         out = phases.cycle(cases, queries, retrievers, *([loaders.py(n) for n in getattr(args, k)] for k in ("reuser", "reviser", "retainer"))).final
     else:
         out = retrieval.apply_queries(cases, queries, retrievers).final

@@ -6,11 +6,13 @@ functions stay inside generated code; those that search for an alignment run as
 
 from __future__ import annotations
 
+import csv
 import fnmatch
 import json
 import math
 import re
 from collections.abc import Callable, Mapping, Sequence
+from pathlib import Path
 
 import pandas as pd
 from pyspark.sql import Column
@@ -226,6 +228,12 @@ def attribute_value(attributes: Mapping[str, Measure], aggregate=None, default:
 
 
 def string_table(entries, symmetric: bool = True, default=0.0, case_sensitive: bool = True) -> Measure:
+    """A table of pairs of strings; ``entries`` may be the path of a CSV file ``a,b,score`` without a header."""
+    if isinstance(entries, str | Path):
+        if Path(entries).suffix != ".csv":
+            raise ValueError("entries are read from a .csv file only")
+        with open(entries, newline="") as f:
+            entries = [(a, b, float(v)) for a, b, v in csv.reader(f)]
     if case_sensitive:
         return static_table(entries, symmetric, default)
     rows = [(k[0], k[1], v) for k, v in entries.items()] if isinstance(entries, Mapping) else entries

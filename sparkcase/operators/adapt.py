@@ -2,12 +2,15 @@
 
 from __future__ import annotations
 
+import re
+import sys
 from collections.abc import Callable, Mapping, Sequence
 
+import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from ..functions.measures import Measure, scalar
+from ..functions.measures import Measure, lazy_udf, scalar
 from ..functions.pooling import aggregator
 
 Adaptation = Callable[[Column, Column], Column]
@@ -59,18 +62,29 @@ def null(target: str = "case") -> Adaptation:
     return lambda case, query: case if target == "case" else query
 
 
-def regex(case_pattern: str, query_pattern: str, replacement: str, count: int = 0) -> Adaptation:
-    """Where the query has its pattern, replaces the case's (all places, or the first one for ``count=1``)."""
+def regex(case_pattern: str, query_pattern: str, replacement: str | Callable[[re.Match, re.Match], str], count: int = 0, pos: int = 0, endpos: int | None = None) -> Adaptation:
+    """Where the query has its pattern between ``pos`` and ``endpos``, replaces the case's, the first ``count`` or all.
 
-    def f(case, query):
-        if count == 1:
-            pattern = f"(?s)^(.*?)(?:{case_pattern})(.*)$"
-            changed = F.when(F.regexp(case, F.lit(case_pattern)), F.concat(F.regexp_extract(case, pattern, 1), F.lit(replacement), F.regexp_extract(case, f"(?s)^.*?(?:{case_pattern})(.*)$", 1))).otherwise(case)
-        else:
-            changed = F.regexp_replace(case, case_pattern, replacement)
-        return F.when(F.regexp(query, F.lit(query_pattern)), changed).otherwise(case)
+    A plain replacement of all places stays in generated code. A replacement made from the match of the case and that
+    of the query, and one of some places, runs as an Arrow-batched function.
+    """
 
-    return f
+    def plain(case, query):
+        part = query if pos == 0 and endpos is None else F.substr(query, F.lit(pos + 1), F.lit(max(0, (endpos if endpos is not None else 1 << 30) - pos)))
+        return F.when(F.regexp(part, F.lit(query_pattern)), F.regexp_replace(case, case_pattern, literal)).otherwise(case)
+
+    if count == 0 and isinstance(replacement, str):
+        literal = re.sub(r"([\\$])", r"\\\1", replacement)
+        return plain
+    of_case, of_query = re.compile(case_pattern), re.compile(query_pattern)
+    end = sys.maxsize if endpos is None else endpos
+
+    def one(case: str | None, query: str | None) -> str | None:
+        hit = None if case is None or query is None else of_query.search(query, pos, end)
+        return case if hit is None else of_case.sub((lambda m: replacement) if isinstance(replacement, str) else (lambda m: replacement(m, hit)), case, count=count)
+
+    run = lazy_udf(lambda case, query: pd.Series([one(a, b) for a, b in zip(case, query)], dtype=object), "string")
+    return lambda case, query: run(case, query)
 
 
 def aggregate(pooling="mean", case_factor: float = 1.0, query_factor: float = 1.0) -> Adaptation:

@@ -10,9 +10,12 @@ from collections.abc import Callable, Sequence
 from itertools import product
 
 import pandas as pd
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..sources.store import stored
+from .retrieval import Result, Step
+
 DEFAULT = ("precision", "recall", "f1", "map", "ndcg")
 
 
@@ -74,11 +77,28 @@ def concordances(qrels: DataFrame, run: DataFrame, k: int = 0) -> DataFrame:
     if k:
         ranked = ranked.where(F.col("rank") <= k)
     scored = qrels.join(ranked.select("query_id", "case_id", "sim"), ["query_id", "case_id"], "left")
-    other = scored.select("query_id", F.col("case_id").alias("c2"), F.col("rel").alias("r2"), F.col("sim").alias("s2"))
-    both = scored.join(other, "query_id").where("case_id < c2 and rel != r2")
-    agrees = (F.col("sim") - F.col("s2")) * (F.col("rel") - F.col("r2")) > 0
-    pairs = both.groupBy("query_id").agg(F.count_if(agrees).alias("concordant"), F.count_if(~agrees).alias("discordant"), F.count("*").alias("total"))
-    return qrels.select("query_id").distinct().join(pairs, "query_id", "left").fillna(0)
+    counted = stored(scored.groupBy("query_id", "rel", "sim").agg(F.count("*").alias("n")))
+    pairs = _dominance(counted.where("sim is not null"))
+    total = counted.groupBy("query_id", "rel").agg(F.sum("n").alias("n")).groupBy("query_id").agg(_unequal("n").alias("total"))
+    out = total.join(pairs, "query_id", "left").fillna(0)
+    return out.select("query_id", "concordant", (F.col("reversed") + F.col("tied")).alias("discordant"), "total")
+
+
+def _unequal(n: str) -> Column:
+    """Pairs of rows from different groups, given the sizes ``n`` of the groups."""
+    return ((F.sum(n) * F.sum(n) - F.sum(F.col(n) * F.col(n))) / 2).cast("bigint")
+
+
+def _dominance(counted: DataFrame) -> DataFrame:
+    """``(query_id, concordant, reversed, tied)``: pairs of unequal relevance by the order of their scores.
+
+    ``counted`` has rows ``(query_id, rel, sim, n)``: pairs are made of distinct values, weighed by how often they occur.
+    """
+    other = counted.select("query_id", F.col("rel").alias("r2"), F.col("sim").alias("s2"), F.col("n").alias("n2"))
+    both = counted.join(other, "query_id").where("rel > r2")
+    weight = F.col("n") * F.col("n2")
+    sums = {"concordant": F.col("sim") > F.col("s2"), "reversed": F.col("sim") < F.col("s2"), "tied": F.col("sim") == F.col("s2")}
+    return both.groupBy("query_id").agg(*(F.sum(F.when(when, weight).otherwise(0)).alias(k) for k, when in sums.items()))
 
 
 def correctness(qrels: DataFrame, run: DataFrame, k: int = 0) -> DataFrame:
@@ -104,11 +124,12 @@ def kendall_tau(qrels: DataFrame, run: DataFrame, k: int = 0, level: int = 1) ->
     ranked = _ranked(run)
     if k:
         ranked = ranked.where(F.col("rank") <= k)
-    scored = ranked.join(qrels.where(F.col("rel") >= level), ["query_id", "case_id"]).select("query_id", "case_id", "sim", "rel")
-    other = scored.select("query_id", F.col("case_id").alias("c2"), F.col("rel").alias("r2"), F.col("sim").alias("s2"))
-    a, b = F.signum(F.col("sim") - F.col("s2")), F.signum(F.col("rel") - F.col("r2"))
-    of = scored.join(other, "query_id").where("case_id < c2").groupBy("query_id").agg(F.sum(a * b).alias("s"), F.count_if(a != 0).alias("na"), F.count_if(b != 0).alias("nb"))
-    return of.select((F.col("s") / F.sqrt(F.when((F.col("na") > 0) & (F.col("nb") > 0), F.col("na") * F.col("nb")))).alias("t")).agg(F.avg("t").alias("kendall_tau"))
+    scored = ranked.join(qrels.where(F.col("rel") >= level), ["query_id", "case_id"])
+    counted = stored(scored.groupBy("query_id", "rel", "sim").agg(F.count("*").alias("n")))
+    sizes = lambda c, name: counted.groupBy("query_id", c).agg(F.sum("n").alias("n")).groupBy("query_id").agg(_unequal("n").alias(name))
+    of = counted.groupBy("query_id").agg(F.sum("n").alias("rows")).where("rows > 1").join(sizes("sim", "na"), "query_id").join(sizes("rel", "nb"), "query_id").join(_dominance(counted), "query_id", "left").fillna(0)
+    s = F.col("concordant") - F.col("reversed")
+    return of.select((s / F.sqrt(F.when((F.col("na") > 0) & (F.col("nb") > 0), F.col("na").cast("double") * F.col("nb")))).alias("t")).agg(F.avg("t").alias("kendall_tau"))
 
 
 def score_metric(qrels: DataFrame, run: DataFrame, function: Callable[[list, list], float], name: str = "score") -> DataFrame:
@@ -144,16 +165,57 @@ def compute(qrels: DataFrame, run: DataFrame, metrics: Sequence[str] = DEFAULT)
     return out
 
 
+def normalized(value: Column, low: Column, high: Column) -> Column:
+    """``value`` from the range ``low`` to ``high`` brought to 0 to 1; 0 where both are equal."""
+    return F.when(high == low, 0.0).otherwise((value - low) / (high - low))
+
+
+def scaled(value: Column, low: float, high: float) -> Column:
+    """``value`` from 0 to 1 brought to ``low`` to ``high``."""
+    return value * (high - low) + low
+
+
+def normalize_and_scale(value: Column, low: Column, high: Column, to_low: float, to_high: float) -> Column:
+    return scaled(normalized(value, low, high), to_low, to_high)
+
+
+def rounded(value: Column, mode: str = "nearest") -> Column:
+    """Whole numbers: the ``floor``, the ``ceil``, or the ``nearest``, upwards on a tie."""
+    if mode not in ("floor", "ceil", "nearest"):
+        raise ValueError(f"unknown mode of rounding: {mode}")
+    return {"nearest": F.floor(value + 0.5), "floor": F.floor(value), "ceil": F.ceil(value)}[mode].cast("int")
+
+
 def similarities_to_qrels(scores: DataFrame, max_qrel: int | None = None, min_qrel: int = 1, auto_scale: bool = True, round_mode: str = "nearest") -> DataFrame:
     """Judgements from scores: without ``max_qrel`` reversed ranks from ``min_qrel``, else scaled over all scores and rounded."""
     if max_qrel is None:
         place = F.row_number().over(Window.partitionBy("query_id").orderBy("sim", F.desc("case_id")))
         return scores.select("query_id", "case_id", (place - 1 + min_qrel).cast("int").alias("rel"))
+    unit = F.col("sim")
     if auto_scale:
-        span = scores.agg(F.min("sim").alias("lo"), F.max("sim").alias("hi"))
-        scaled = scores.crossJoin(F.broadcast(span)).withColumn("u", F.when(F.col("hi") == F.col("lo"), 0.0).otherwise((F.col("sim") - F.col("lo")) / (F.col("hi") - F.col("lo"))))
-    else:
-        scaled = scores.withColumn("u", F.col("sim"))
-    v = F.col("u") * (max_qrel - min_qrel) + min_qrel
-    rounded = {"nearest": F.floor(v + 0.5), "floor": F.floor(v), "ceil": F.ceil(v)}[round_mode]
-    return scaled.select("query_id", "case_id", rounded.cast("int").alias("rel"))
+        scores = scores.crossJoin(F.broadcast(scores.agg(F.min("sim").alias("lo"), F.max("sim").alias("hi"))))
+        unit = normalized(F.col("sim"), F.col("lo"), F.col("hi"))
+    return scores.select("query_id", "case_id", rounded(scaled(unit, min_qrel, max_qrel), round_mode).alias("rel"))
+
+
+def step_to_qrels(step: Step, **how) -> DataFrame:
+    """Judgements from the scores of one step of a retrieval."""
+    return similarities_to_qrels(step.similarities(), **how)
+
+
+def retrieval_to_qrels(result: Result, max_qrel: int | None = 5, **how) -> list[DataFrame]:
+    """Judgements from each step of a retrieval."""
+    return [step_to_qrels(s, max_qrel=max_qrel, **how) for s in result.steps]
+
+
+def step_metrics(qrels: DataFrame, step: Step, metrics: Sequence[str] = DEFAULT) -> DataFrame:
+    return compute(qrels, step.similarities(), metrics)
+
+
+def retrieval_metrics(qrels: DataFrame, result: Result, metrics: Sequence[str] = DEFAULT) -> DataFrame:
+    """``(step, metric, value)`` of each step of a retrieval, steps counted from 0."""
+    out = None
+    for i, step in enumerate(result.steps):
+        part = step_metrics(qrels, step, metrics).select(F.lit(i).alias("step"), "metric", "value")
+        out = part if out is None else out.unionByName(part)
+    return out

@@ -1,59 +1,123 @@
 """A keyed, mutable index over Parquet, and dense, sparse and hybrid search over it.
 
-Every mutation writes a new version folder and then moves the pointer file, so readers see a whole version and a
-failed job changes nothing. Rows are ``(key, value, ...)``.
+Rows lie in buckets by the hash of their key. A mutation reads and writes only the buckets that it touches, then
+publishes a manifest that names the folder of every bucket. Manifests are numbered and never changed, so a reader
+sees a whole version at any time, a failed job changes nothing, and of two writers the second one gets an error.
 """
 
 from __future__ import annotations
 
+import json
+import time
 import uuid
 from collections.abc import Callable
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ..plans.filters import compile_filter
+from ..sources.store import stored
 from .retrieval import broadcast_if_small, normalize, rank, reciprocal_rank_fusion
 
+#: Column of the bucket while rows are written.
+_BUCKET = "bucket__"
+
+
+class IndexConflict(RuntimeError):
+    """Another writer published a version meanwhile; the mutation can be made again."""
+
 
 class ParquetIndex:
-    """``put`` syncs to exactly the given rows, ``upsert``/``delete``/``patch`` change some; ``*_where`` take a filter."""
+    """``put`` syncs to exactly the given rows, ``upsert``/``delete``/``patch`` change some; ``*_where`` take a filter.
+
+    ``buckets`` is fixed when the index is first written; choose it so that a bucket stays near a gigabyte.
+    """
 
-    def __init__(self, spark: SparkSession, path: str, key: str = "key"):
-        self.spark, self.path, self.key = spark, path.rstrip("/"), key
+    def __init__(self, spark: SparkSession, path: str, key: str = "key", buckets: int = 16):
+        self.spark, self.path, self.key, self.buckets = spark, path.rstrip("/"), key, buckets
 
     def _fs(self, name: str):
         jvm = self.spark.sparkContext._jvm
         path = jvm.org.apache.hadoop.fs.Path(name)
         return path.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()), path
 
-    def _version(self) -> str | None:
-        fs, path = self._fs(f"{self.path}/CURRENT")
+    def _versions(self) -> list[int]:
+        fs, path = self._fs(self.path)
         if not fs.exists(path):
-            return None
-        return self.spark.read.text(f"{self.path}/CURRENT").first()[0]
+            return []
+        names = (f.getPath().getName() for f in fs.listStatus(path))
+        return sorted(int(n[len("manifest-") :]) for n in names if n.startswith("manifest-"))
+
+    def _manifest(self, version: int) -> dict:
+        return json.loads(self.spark.read.text(f"{self.path}/manifest-{version:010d}", wholetext=True).first()[0])
+
+    def _latest(self) -> tuple[int, dict]:
+        versions = self._versions()
+        if not versions:
+            raise ValueError("the index is empty: call put first")
+        return versions[-1], self._manifest(versions[-1])
 
     def has_index(self) -> bool:
-        return self._version() is not None
+        return bool(self._versions())
 
     def read(self) -> DataFrame:
-        version = self._version()
-        if version is None:
-            raise ValueError("the index is empty: call put first")
-        return self.spark.read.parquet(f"{self.path}/{version}")
-
-    def _write(self, rows: DataFrame) -> None:
-        version = f"v-{uuid.uuid4().hex}"
-        rows.write.parquet(f"{self.path}/{version}")
-        fs, path = self._fs(f"{self.path}/CURRENT.{version}")
-        out = fs.create(path, True)
-        out.write(bytearray((version + "\n").encode()))
+        return self._rows(self._latest()[1])
+
+    def _rows(self, manifest: dict, only: set[int] | None = None) -> DataFrame:
+        schema = T.StructType.fromJson(manifest["schema"])
+        folders = [f"{self.path}/{f}" for b, f in manifest["folders"].items() if only is None or int(b) in only]
+        return self.spark.read.schema(schema).parquet(*folders) if folders else self.spark.createDataFrame([], schema)
+
+    def _bucket(self, buckets: int) -> Column:
+        return F.pmod(F.xxhash64(F.col(f"`{self.key}`")), F.lit(buckets)).cast("int")
+
+    def _publish(self, rows: DataFrame, touched: set[int] | None = None) -> None:
+        """Writes ``rows`` as all rows of the buckets ``touched`` (of all, if none are named) and moves to that version."""
+        versions = self._versions()
+        old = self._manifest(versions[-1]) if versions else {"buckets": self.buckets, "folders": {}}
+        folder, n = f"data-{uuid.uuid4().hex}", old["buckets"]
+        tagged = rows.withColumn(_BUCKET, self._bucket(n))
+        tagged.repartition(F.col(_BUCKET)).write.partitionBy(_BUCKET).parquet(f"{self.path}/{folder}")
+        kept = {} if touched is None else {b: f for b, f in old["folders"].items() if int(b) not in touched}
+        fs, path = self._fs(f"{self.path}/{folder}")
+        found = [f.getPath().getName() for f in fs.listStatus(path)]
+        kept |= {name.split("=")[1]: f"{folder}/{name}" for name in found if name.startswith(_BUCKET + "=")}
+        self._commit(versions[-1] + 1 if versions else 0, {"buckets": n, "schema": json.loads(rows.schema.json()), "folders": kept})
+
+    def _commit(self, version: int, manifest: dict) -> None:
+        fs, draft = self._fs(f"{self.path}/draft-{uuid.uuid4().hex}")
+        out = fs.create(draft, False)
+        out.write(bytearray(json.dumps(manifest).encode()))
         out.close()
-        _, current = self._fs(f"{self.path}/CURRENT")
-        fs.delete(current, False)
-        if not fs.rename(path, current):
-            raise OSError("the new version could not be made current")
+        sc = self.spark.sparkContext
+        files = sc._jvm.org.apache.hadoop.fs.FileContext.getFileContext(draft.toUri(), sc._jsc.hadoopConfiguration()) if draft.toUri().getScheme() else sc._jvm.org.apache.hadoop.fs.FileContext.getFileContext(sc._jsc.hadoopConfiguration())
+        _, target = self._fs(f"{self.path}/manifest-{version:010d}")
+        none = sc._gateway.new_array(getattr(sc._jvm.org.apache.hadoop.fs, "Options$Rename"), 0)
+        try:
+            files.rename(draft, target, none)  # an error where the target exists
+        except Exception as e:
+            fs.delete(draft, False)
+            if version in self._versions():
+                raise IndexConflict(f"version {version} was published by another writer") from e
+            raise
+
+    def prune(self, keep: int = 2, older_than: float = 24 * 3600.0) -> int:
+        """Removes all but the newest ``keep`` versions, and folders that none of those names; the number of removed.
+
+        Only what is older than ``older_than`` seconds goes, as readers may still use it and writers may just write it.
+        """
+        fs, path = self._fs(self.path)
+        versions, removed, limit = self._versions(), 0, (time.time() - older_than) * 1000
+        kept = versions[-keep:]
+        used = {f.split("/")[0] for v in kept for f in self._manifest(v)["folders"].values()}
+        stale = {f"manifest-{v:010d}" for v in versions[:-keep]}
+        for f in fs.listStatus(path):
+            name = f.getPath().getName()
+            if f.getModificationTime() < limit and (name in stale or name.startswith("draft-") or (name.startswith("data-") and name not in used)):
+                removed += bool(fs.delete(f.getPath(), True))
+        return removed
 
     def diff(self, rows: DataFrame) -> tuple[DataFrame, DataFrame]:
         """Keys that ``rows`` lacks, and the rows that are new or changed."""
@@ -64,11 +128,17 @@ class ParquetIndex:
         return stale, changed
 
     def put(self, rows: DataFrame) -> None:
-        if self.has_index():
-            stale, changed = self.diff(rows)
-            if not stale.limit(1).count() and not changed.limit(1).count():
-                return
-        self._write(rows)
+        """Only buckets with a stale or changed row are written; of another schema all."""
+        if not self.has_index() or set(self.read().dtypes) != set(rows.dtypes):
+            return self._publish(rows)
+        stale, changed = (stored(x) for x in self.diff(rows))
+        if stale.limit(1).count() or changed.limit(1).count():
+            self.patch(changed, stale)
+
+    def _touched(self, *keys: DataFrame) -> set[int]:
+        _, manifest = self._latest()
+        both = reduce(DataFrame.unionByName, (k.select(self.key) for k in keys))
+        return {r[0] for r in both.select(self._bucket(manifest["buckets"])).distinct().collect()}  # as many as buckets at most
 
     def patch(self, upsert: DataFrame | None = None, delete: DataFrame | None = None) -> None:
         """Both at once; a key in both is an error, nothing to do is none."""
@@ -76,14 +146,18 @@ class ParquetIndex:
             return
         if upsert is not None and delete is not None and upsert.join(delete, self.key, "left_semi").limit(1).count():
             raise ValueError("a key is both upserted and deleted")
-        rows = self.read() if self.has_index() else None
-        for change in (upsert, delete):
-            if change is not None and rows is not None:
-                rows = rows.join(change.select(self.key), self.key, "left_anti")
-        if upsert is not None:
-            rows = upsert if rows is None else rows.unionByName(upsert)
-        if rows is not None:
-            self._write(rows)
+        if not self.has_index():
+            if upsert is not None:
+                self._publish(upsert)
+            return
+        changes = [c for c in (upsert, delete) if c is not None]
+        touched = self._touched(*changes)
+        if not touched:
+            return
+        rows = self._rows(self._latest()[1], touched)
+        for change in changes:
+            rows = rows.join(change.select(self.key), self.key, "left_anti")
+        self._publish(rows if upsert is None else rows.unionByName(upsert), touched)
 
     def upsert(self, rows: DataFrame) -> None:
         self.patch(upsert=rows)
@@ -96,11 +170,20 @@ class ParquetIndex:
 
     def delete_where(self, where) -> None:
         """Rows for which the filter is true go; where it is null they stay."""
-        self._write(self.read().where(~F.coalesce(compile_filter(where), F.lit(False))))
+        self._replace(where, None)
 
     def replace_where(self, where, rows: DataFrame) -> None:
-        kept = self.read().where(~F.coalesce(compile_filter(where), F.lit(False)))
-        self._write(kept.join(rows.select(self.key), self.key, "left_anti").unionByName(rows))
+        """Rows for which the filter is true go, ``rows`` come, and replace those of their keys."""
+        self._replace(where, rows)
+
+    def _replace(self, where, rows: DataFrame | None) -> None:
+        touched = self._touched(self.keys_where(where), *([] if rows is None else [rows]))
+        if not touched:
+            return
+        kept = self._rows(self._latest()[1], touched).where(~F.coalesce(compile_filter(where), F.lit(False)))
+        if rows is not None:
+            kept = kept.join(rows.select(self.key), self.key, "left_anti").unionByName(rows)
+        self._publish(kept, touched)
 
     def stream_rows(self, page: int = 1000):
         """Rows in key order on the driver, a partition at a time."""
@@ -121,22 +204,24 @@ def postings(cases: DataFrame, tokenize: Callable[[Column], Column] = tokens) ->
 def bm25(cases: DataFrame, queries: DataFrame, k1: float = 1.5, b: float = 0.75, tokenize: Callable[[Column], Column] = tokens, every: bool = True, normalized: bool = True) -> DataFrame:
     """``(query_id, case_id, ord, sim)`` of text cases and queries; ``every`` gives cases without a common term a 0.
 
-    Terms are joined by equality; a case meets a query only through a term they share. Inverse document frequencies
-    are ``ln(1 + (N - df + 0.5) / (df + 0.5))``.
+    Cases are cut into terms once: the postings of the asked terms are stored with each case's length. A case meets a
+    query only through a term they share. Inverse document frequencies are ``ln(1 + (N - df + 0.5) / (df + 0.5))``.
     """
-    post = postings(cases, tokenize)
-    size = cases.select(F.size(tokenize(F.col("text"))).alias("len")).agg(F.count("*").alias("N"), F.avg("len").alias("avg_len"))
-    asked = queries.select("query_id", F.explode(F.array_distinct(tokenize(F.col("text")))).alias("term"))
-    post = post.join(broadcast_if_small(asked.select("term").distinct()), "term", "left_semi")
+    asked = stored(queries.select("query_id", F.explode(F.array_distinct(tokenize(F.col("text")))).alias("term")))
+    wanted = broadcast_if_small(asked.select("term").distinct())
+    # A null term stands for the case itself, so that one pass also counts the cases and their lengths.
+    cut = cases.select("case_id", "ord", tokenize(F.col("text")).alias("t")).select("case_id", "ord", F.size("t").alias("len"), F.explode(F.concat(F.array(F.lit(None).cast("string")), F.coalesce("t", F.array().cast("array<string>")))).alias("term"))
+    found = cut.join(wanted.withColumn("asked", F.lit(True)), "term", "left").where("asked or term is null")
+    post = stored(found.groupBy("case_id", "ord", "term").agg(F.count("*").alias("tf"), F.first("len").alias("len")))
+    size = post.where("term is null").agg(F.sum("tf").alias("N"), (F.sum(F.col("tf") * F.when(F.col("len") >= 0, F.col("len"))) / F.sum(F.when(F.col("len") >= 0, F.col("tf")))).alias("avg_len"))
+    post = post.where("term is not null")
     df = post.groupBy("term").agg(F.count("*").alias("df"))
-    weighed = post.join(df, "term").crossJoin(F.broadcast(size)).withColumn("idf", F.log(1 + (F.col("N") - F.col("df") + 0.5) / (F.col("df") + 0.5)))
+    weighed = post.join(broadcast_if_small(df), "term").crossJoin(F.broadcast(size)).withColumn("idf", F.log(1 + (F.col("N") - F.col("df") + 0.5) / (F.col("df") + 0.5)))
     part = F.col("idf") * F.col("tf") * (k1 + 1) / (F.col("tf") + k1 * (1 - b + b * F.col("len") / F.col("avg_len")))
-    found = weighed.withColumn("part", part).join(asked, "term").groupBy("query_id", "case_id").agg(F.sum("part").alias("sim"))
-    if not every:
-        out = found.join(cases.select("case_id", "ord"), "case_id")
-    else:
-        out = cases.select("case_id", "ord").crossJoin(broadcast_if_small(queries.select("query_id"))).join(found, ["query_id", "case_id"], "left").fillna(0.0, ["sim"])
-    out = out.select("query_id", "case_id", "ord", "sim")
+    scores = weighed.withColumn("part", part).join(broadcast_if_small(asked), "term").groupBy("query_id", "case_id", "ord").agg(F.sum("part").alias("sim"))
+    if every:
+        scores = cases.select("case_id", "ord").crossJoin(broadcast_if_small(queries.select("query_id"))).join(scores.drop("ord"), ["query_id", "case_id"], "left").fillna(0.0, ["sim"])
+    out = scores.select("query_id", "case_id", "ord", "sim")
     return normalize(out) if normalized else out
 
 
@@ -146,19 +231,24 @@ def term_frequencies(texts: DataFrame, tokenize: Callable[[Column], Column] = to
 
 
 def dense(cases: DataFrame, queries: DataFrame, metric: str = "cosine", limit: int | None = None, where=None) -> DataFrame:
-    """Exact nearest neighbours of ``(case_id, ord, vector)`` for ``(query_id, vector)``: ``1 / (1 + distance)``, or the dot product for ``ip``."""
+    """Exact nearest neighbours of ``(case_id, ord, vector)`` for ``(query_id, vector)``: ``1 / (1 + distance)``, or the dot product for ``ip``.
+
+    Norms are taken once for each vector, so a pair costs a single pass over both.
+    """
     if where is not None:
         cases = cases.where(compile_filter(where))
     a, b = F.col("vector"), F.col("q_vector")
     dot = lambda x, y: F.aggregate(F.zip_with(x, y, lambda p, q: p.cast("double") * q.cast("double")), F.lit(0.0), lambda s, v: s + v)
+    left, right = cases.select("case_id", "ord", "vector"), queries.select("query_id", F.col("vector").alias("q_vector"))
     if metric == "ip":
         sim = dot(a, b)
     elif metric == "cosine":
-        sim = 1 / (1 + (1 - F.coalesce(F.try_divide(dot(a, b), F.sqrt(dot(a, a)) * F.sqrt(dot(b, b))), F.lit(0.0))))
+        left, right = left.withColumn("norm", F.sqrt(dot(a, a))), right.withColumn("q_norm", F.sqrt(dot(b, b)))
+        sim = 1 / (1 + (1 - F.coalesce(F.try_divide(dot(a, b), F.col("norm") * F.col("q_norm")), F.lit(0.0))))
     else:
         power, root = (2, lambda v: F.sqrt(v)) if metric == "l2" else (1, lambda v: v)
         sim = 1 / (1 + root(F.aggregate(F.zip_with(a, b, lambda p, q: F.pow(F.abs(p.cast("double") - q.cast("double")), F.lit(power))), F.lit(0.0), lambda s, v: s + v)))
-    out = cases.select("case_id", "ord", "vector").crossJoin(broadcast_if_small(queries.select("query_id", F.col("vector").alias("q_vector")))).select("query_id", "case_id", "ord", sim.alias("sim"))
+    out = left.crossJoin(broadcast_if_small(right)).select("query_id", "case_id", "ord", sim.alias("sim"))
     return rank(out).where(F.col("rank") <= limit) if limit is not None else out
 
 

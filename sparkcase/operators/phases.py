@@ -10,8 +10,10 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.measures import Measure
+from ..sources.store import stored
 from . import retrieval
 from .adapt import Adaptation
+from .index import ParquetIndex
 from .retrieval import Result, Retriever, Step, build, score
 
 Phase = Callable[[DataFrame], DataFrame]
@@ -49,7 +51,7 @@ def retain(cases: DataFrame, measure: Measure, new: Callable[[DataFrame], DataFr
     def run(scores: DataFrame) -> DataFrame:
         added = (new or numbered(cases))(scores)
         queries = scores.select("query_id", "query").dropDuplicates(["query_id"])
-        old = cases.select("case_id", "ord", "case").crossJoin(queries).withColumn("is_new", F.lit(False))
+        old = cases.select("case_id", "ord", "case").crossJoin(retrieval.broadcast_if_small(queries)).withColumn("is_new", F.lit(False))
         return score(old.unionByName(added.withColumn("is_new", F.lit(True))), measure)
 
     return run
@@ -68,6 +70,33 @@ def numbered(cases: DataFrame) -> Callable[[DataFrame], DataFrame]:
     return run
 
 
+def retain_indexed(index: ParquetIndex, measure: Measure, columns: Sequence[str]) -> Phase:
+    """Stores the pipeline's values in an index under new keys, then scores the index's cases against each query.
+
+    Keys are whole numbers; new ones follow the greatest, in the order of query and rank. A query sees the cases that
+    were there before, its own and those of the queries before it. Rows that a later dropout removes stay in the index.
+    """
+
+    def run(scores: DataFrame) -> DataFrame:
+        old = index.read()
+        kind = old.schema[index.key].dataType
+        last = old.agg(F.coalesce(F.max(index.key), F.lit(-1).cast(kind))).first()[0]
+        # One row a query: how many new cases the queries before it have.
+        before = scores.groupBy("query_id").count().withColumn("before", F.coalesce(F.sum("count").over(Window.orderBy("query_id").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
+        place = F.row_number().over(Window.partitionBy("query_id").orderBy("ord"))
+        added = scores.withColumn("place", place).join(retrieval.broadcast_if_small(before), "query_id")
+        added = stored(added.select((F.lit(last) + F.col("before") + F.col("place")).cast(kind).alias("case_id"), "case", F.col("query_id").alias("by")))
+        queries = stored(scores.select("query_id", "query").dropDuplicates(["query_id"]))
+        known = retrieval.cases_of(stored(old), index.key, columns)
+        index.upsert(added.select(F.col("case_id").alias(index.key), *(F.col("case")[c].alias(c) for c in columns)))
+        few = retrieval.broadcast_if_small(queries)
+        before = known.crossJoin(few).select("case_id", "ord", "case", "query_id", "query", F.lit(False).alias("is_new"))
+        own = added.join(few, F.col("by") <= F.col("query_id")).select("case_id", F.col("case_id").alias("ord"), F.struct(*(F.col("case")[c].alias(c) for c in columns)).alias("case"), "query_id", "query", (F.col("by") == F.col("query_id")).alias("is_new"))
+        return score(before.unionByName(own), measure)
+
+    return run
+
+
 def retain_dropout(phase: Phase, min_similarity: float | None = None, max_similarity: float | None = None) -> Phase:
     """Drops newly added rows outside the bounds; stored ones stay."""
 

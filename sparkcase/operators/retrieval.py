@@ -2,7 +2,7 @@
 
 Cases have the columns ``case_id`` and ``case`` (any type), and ``ord``, their order of insertion, which breaks ties;
 queries ``query_id`` and ``query``. Scores are rows ``(query_id, case_id, ord, sim, case, query)``. Queries are
-broadcast while their measured size allows it, cases never.
+broadcast while their measured size in rows and bytes allows it, cases never.
 """
 
 from __future__ import annotations
@@ -17,8 +17,8 @@ from ..functions.measures import Measure, value_of
 from ..functions.pooling import aggregator
 from ..plans.filters import compile_filter
 
-#: Most queries that are broadcast; more are joined without a hint.
-BROADCAST_QUERIES = 100_000
+#: Most rows, and bytes of them as JSON, that are broadcast; more are joined without a hint.
+BROADCAST_ROWS, BROADCAST_BYTES = 100_000, 64 << 20
 
 Retriever = Callable[[DataFrame], DataFrame]
 
@@ -34,9 +34,10 @@ def queries_of(df: DataFrame, key: str, columns: Sequence[str] | None = None) ->
     return df.select(F.col(key).alias("query_id"), F.struct(*columns).alias("query"))
 
 
-def broadcast_if_small(df: DataFrame, rows: int = BROADCAST_QUERIES) -> DataFrame:
-    """``df`` with a broadcast hint if it has at most ``rows`` rows, counted no further than that."""
-    return F.broadcast(df) if df.limit(rows + 1).count() <= rows else df
+def broadcast_if_small(df: DataFrame, rows: int = BROADCAST_ROWS, bytes: int = BROADCAST_BYTES) -> DataFrame:
+    """``df`` with a broadcast hint if it has at most ``rows`` rows and ``bytes`` bytes, counted no further than that."""
+    n, size = df.limit(rows + 1).select(F.octet_length(F.to_json(F.struct(*df.columns))).alias("b")).agg(F.count("*"), F.sum(F.coalesce("b", F.lit(0)))).first()
+    return F.broadcast(df) if n <= rows and (size or 0) <= bytes else df
 
 
 def pairs(cases: DataFrame, queries: DataFrame, membership: DataFrame | None = None, on: Callable[[Column, Column], Column] | None = None) -> DataFrame:

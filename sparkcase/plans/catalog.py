@@ -2,15 +2,12 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import graphs, measures as m, pooling, taxonomy
 from ..operators import adapt, evaluation, index, phases, retrieval, synthesis
-from ..sources import dumpers, loaders
+from ..sources import dumpers, loaders, store
 from .filters import And, Eq, In, Like, Not, Or, Raw, compile_filter
 
 QUERIES: dict = {}
@@ -44,13 +41,6 @@ def sql_r6(x: str) -> str:
     return f"floor(({x}) * 1e6 + 0.5) / 1e6"
 
 
-def shared_folder(spark) -> str:
-    where = spark.conf.get("spark.checkpoint.dir", None)
-    if where is None and not spark.sparkContext.master.startswith("local"):
-        raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
-    return f"{where or tempfile.mkdtemp()}/{uuid.uuid4().hex}"
-
-
 # Attribute-value retrieval: parts for the mean part of every brand.
 
 BRANDS = "SELECT p_brand AS query_id, avg(p_retailprice) AS price, avg(p_size) AS size, p_brand AS brand FROM part GROUP BY p_brand"
@@ -402,12 +392,12 @@ def search_hybrid(spark, sf_dir):
 def index_mutations(spark, sf_dir):
     part = table(spark, sf_dir, "part")
     rows = part.select(F.col("p_partkey").alias("key"), F.col("p_name").alias("value"), F.col("p_size").alias("size"), "p_brand", "p_type")
-    store = index.ParquetIndex(spark, shared_folder(spark))
-    store.put(rows)
-    store.delete(rows.where("p_brand = 'Brand#2'"))
-    store.upsert(rows.where("p_brand = 'Brand#1'").withColumn("size", F.lit(1)))
-    store.delete_where(And(Eq("p_type", "SMALL"), Not(Eq("p_brand", "Brand#1"))))
-    return store.read().select("key", "value", "size")
+    kept = index.ParquetIndex(spark, store.new_folder(spark))
+    kept.put(rows)
+    kept.delete(rows.where("p_brand = 'Brand#2'"))
+    kept.upsert(rows.where("p_brand = 'Brand#1'").withColumn("size", F.lit(1)))
+    kept.delete_where(And(Eq("p_type", "SMALL"), Not(Eq("p_brand", "Brand#1"))))
+    return kept.read().select("key", "value", "size")
 
 
 # Reuse, revise, retain.
@@ -472,7 +462,7 @@ def sim_graphs(spark, sf_dir):
 
 @query("SELECT n_nationkey, n_name, n_regionkey, 'csv' AS format FROM nation UNION ALL SELECT n_nationkey, n_name, n_regionkey, 'json' FROM nation UNION ALL SELECT n_nationkey, n_name, n_regionkey, 'parquet' FROM nation")
 def sources_round_trip(spark, sf_dir):
-    nation, folder = table(spark, sf_dir, "nation"), shared_folder(spark)
+    nation, folder = table(spark, sf_dir, "nation"), store.new_folder(spark)
     dumpers.csv(nation, f"{folder}/csv")
     dumpers.json(nation, f"{folder}/json")
     dumpers.parquet(nation, f"{folder}/parquet")

@@ -73,9 +73,26 @@ def toml(df: DataFrame, path: str, key: str = "key") -> None:
     Path(path).write_text("\n".join(lines))
 
 
+WRITERS = {".json": json, ".csv": csv, ".yaml": yaml, ".yml": yaml, ".toml": toml, ".parquet": parquet}
+
+
 def file(df: DataFrame, path: str) -> None:
-    writers = {".json": json, ".csv": csv, ".yaml": yaml, ".toml": toml, ".parquet": parquet}
     suffix = Path(path).suffix
-    if suffix not in writers:
+    if suffix not in WRITERS:
         raise ValueError(f"files with the suffix {suffix!r} can't be written")
-    writers[suffix](df, path)
+    WRITERS[suffix](df, path)
+
+
+def directory(df: DataFrame, path: str, key: str = "key", value: str = "value") -> None:
+    """One file a row, named by ``key``, with the text ``value``; written row by row by the driver, so for small tables."""
+    Path(path).mkdir(parents=True, exist_ok=True)
+    for row in df.select(F.col(f"`{key}`").cast("string"), F.col(f"`{value}`").cast("string")).toLocalIterator():
+        (Path(path) / row[0]).write_text(row[1] or "")
+
+
+def path(df: DataFrame, where: str, **how) -> None:
+    """A file if the path has a known suffix, else a directory of files."""
+    if Path(where).suffix in WRITERS:
+        file(df, where)
+    else:
+        directory(df, where, **how)

@@ -2,14 +2,19 @@
 
 from __future__ import annotations
 
+import csv as csv_module
 import importlib
+import io
 import json
 import sqlite3
 import tomllib
 from collections.abc import Mapping
 from pathlib import Path
 from typing import Any
+from xml.etree import ElementTree
 
+import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -27,6 +32,12 @@ def from_pandas(spark: SparkSession, pdf) -> DataFrame:
     return spark.createDataFrame(pdf.reset_index(drop=True).assign(key=range(len(pdf))))
 
 
+def from_polars(spark: SparkSession, frame) -> DataFrame:
+    """A polars frame with ``key`` 0..n-1, handed over as Arrow."""
+    rows = frame.to_arrow()
+    return spark.createDataFrame(rows.append_column("key", pa.array(range(rows.num_rows), pa.int64())))
+
+
 def from_records(spark: SparkSession, records) -> DataFrame:
     """Records of a list, or of a mapping by key, as JSON-typed rows."""
     items = records.items() if isinstance(records, Mapping) else enumerate(records)
@@ -43,36 +54,68 @@ def csv(spark: SparkSession, path: str, infer: bool = True) -> DataFrame:
 
 
 def json_(spark: SparkSession, path: str) -> DataFrame:
-    """A list of records gets keys 0..n-1, an object of records its own keys; anything else is an error."""
-    head = json.loads(Path(path).read_text())
-    if isinstance(head, list):
+    """A list of records gets keys 0..n-1, an object of records its own keys; anything else is an error.
+
+    Only the first line is looked at to tell them apart; a list is parsed by Spark.
+    """
+    start = spark.read.text(path).where(F.trim("value") != "").first()
+    first = start[0].lstrip()[:1] if start else ""
+    if first == "[":
         return numbered(spark.read.json(path, multiLine=True))
-    if isinstance(head, dict):
-        return from_records(spark, head)
+    if first == "{":
+        return from_records(spark, json.loads(_text(spark, path)))
     raise TypeError("a list or an object of records is needed")
 
 
+def _text(spark: SparkSession, path: str) -> str:
+    return spark.read.text(path, wholetext=True).first()[0]
+
+
 def toml(spark: SparkSession, path: str) -> DataFrame:
-    return from_records(spark, tomllib.loads(Path(path).read_text()))
+    return from_records(spark, tomllib.loads(_text(spark, path)))
 
 
-def yaml(spark: SparkSession, path: str) -> DataFrame:
-    """Lists of several documents get running keys, objects are merged."""
+def _yaml_rows(text: str) -> dict:
     import yaml as y
 
     rows: dict[Any, Any] = {}
-    for doc in y.safe_load_all(Path(path).read_text()):
+    for doc in y.safe_load_all(text):
         if isinstance(doc, list):
             rows.update({len(rows) + i: v for i, v in enumerate(doc)})
         elif isinstance(doc, dict):
             rows.update(doc)
         else:
             raise TypeError("lists or objects of records are needed")
-    return from_records(spark, rows)
+    return rows
+
+
+def yaml(spark: SparkSession, path: str) -> DataFrame:
+    """Lists of several documents get running keys, objects are merged."""
+    return from_records(spark, _yaml_rows(_text(spark, path)))
+
+
+def xml_value(node: ElementTree.Element):
+    """An element as text, or as an object of its attributes (``@name``), children and text (``#text``); a repeated
+    child is a list, an empty element null."""
+    out: dict[str, Any] = {"@" + k: v for k, v in node.attrib.items()}
+    for child in node:
+        value = xml_value(child)
+        if child.tag in out:
+            out[child.tag] = [*(out[child.tag] if isinstance(out[child.tag], list) else [out[child.tag]]), value]
+        else:
+            out[child.tag] = value
+    text = (node.text or "").strip()
+    if not out:
+        return text or None
+    return {**out, "#text": text} if text else out
 
 
-def xml(spark: SparkSession, path: str, row_tag: str) -> DataFrame:
-    return numbered(spark.read.format("xml").option("rowTag", row_tag).load(path))
+def xml(spark: SparkSession, path: str, row_tag: str | None = None) -> DataFrame:
+    """With ``row_tag`` one row for each such element, read by Spark; without it the parts of the single root by name."""
+    if row_tag is not None:
+        return numbered(spark.read.format("xml").option("rowTag", row_tag).load(path))
+    parts = xml_value(ElementTree.fromstring(_text(spark, path)))
+    return from_records(spark, parts if isinstance(parts, dict) else {"#text": parts})
 
 
 def txt(spark: SparkSession, path: str) -> DataFrame:
@@ -91,10 +134,36 @@ def file(spark: SparkSession, path: str, **how) -> DataFrame:
     return _SUFFIXES[suffix](spark, path, **how)
 
 
+def _as_json(suffix: str, text: str) -> str:
+    """The content of a file as JSON; plain text as it is."""
+    if suffix == "txt":
+        return text
+    if suffix == "json":
+        value = json.loads(text)
+    elif suffix == "toml":
+        value = tomllib.loads(text)
+    elif suffix in ("yaml", "yml"):
+        value = _yaml_rows(text)
+    elif suffix == "xml":
+        value = xml_value(ElementTree.fromstring(text))
+    else:
+        value = dict(enumerate(csv_module.DictReader(io.StringIO(text))))
+    return json.dumps(value, default=str, ensure_ascii=False)
+
+
+#: Suffixes of files that ``directory`` reads.
+READABLE = ("txt", "json", "toml", "yaml", "yml", "xml", "csv")
+
+
 def directory(spark: SparkSession, path: str, pattern: str = "*") -> DataFrame:
-    """Whole files as ``(key, value)``; the key is the file name without suffix."""
+    """Files as ``(key, value)``: the file name without suffix, and what the file holds, parsed by its suffix and given
+    as JSON; plain text stays text. Other files are passed over. A task holds one file at a time."""
     name = F.element_at(F.split(F.input_file_name(), "/"), -1)
-    return spark.read.text(f"{path}/{pattern}", wholetext=True).select(F.regexp_replace(name, r"\.[^.]*$", "").alias("key"), "value")
+    files = spark.read.text(f"{path}/{pattern}", wholetext=True).select(name.alias("name"), "value")
+    suffix = F.lower(F.regexp_extract("name", r"\.([^.]*)$", 1))
+    parse = F.pandas_udf(lambda kinds, texts: pd.Series([_as_json(k, t) for k, t in zip(kinds, texts)], dtype=object), "string")
+    known = files.select(F.regexp_replace("name", r"\.[^.]*$", "").alias("key"), suffix.alias("suffix"), "value").where(F.col("suffix").isin(*READABLE))
+    return known.select("key", parse("suffix", "value").alias("value"))
 
 
 def path(spark: SparkSession, where: str, **how) -> DataFrame:

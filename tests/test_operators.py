@@ -2,7 +2,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from sparkcase.functions import measures as m, pooling
-from sparkcase.operators import adapt, evaluation, index, phases, retrieval, synthesis
+from sparkcase.operators import adapt, evaluation, index, phases, retrieval, stored, synthesis
 from sparkcase.plans.filters import And, Eq, In, Like, Not, Or, compile_filter
 from sparkcase.sources import dumpers, loaders
 from sparkcase.streaming import retention
@@ -88,6 +88,15 @@ def test_adapt(spark):
     assert df.select(gated(x, y)).first()[0] == 11
 
 
+def test_adapt_regex_options(spark):
+    df = spark.createDataFrame([("a1b22c", "xx7"), ("none", "xx7"), (None, "xx7"), ("a1b22c", "xx")], "a string, b string")
+    run = lambda *how, **more: [r[0] for r in df.select(adapt.regex(r"\d+", r"\d", *how, **more)(F.col("a"), F.col("b"))).collect()]
+    assert run("$1\\") == ["a$1\\b$1\\c", "none", None, "a1b22c"]
+    assert run("N", count=1) == ["aNb22c", "none", None, "a1b22c"]
+    assert run(lambda c, q: f"<{c[0]}{q[0]}>") == ["a<17>b<227>c", "none", None, "a1b22c"]
+    assert run("N", pos=3)[0] == "a1b22c" and run("N", endpos=2)[0] == "a1b22c" and run("N", pos=2, endpos=3)[0] == "aNbNc"
+
+
 def test_cycle_and_retain(cars):
     cases, queries = cars
     keep = phases.retain_dropout(phases.retain(cases, CARS), min_similarity=0.98)
@@ -128,6 +137,108 @@ def test_index(spark, tmp_path):
     assert vectors.count() == 4
 
 
+def test_index_buckets_versions_and_conflicts(spark, tmp_path):
+    store = index.ParquetIndex(spark, str(tmp_path / "index"), buckets=4)
+    rows = spark.range(40).select(F.col("id").alias("key"), F.lit("a").alias("value"))
+    store.put(rows)
+    before, (_, old) = store.read(), store._latest()
+    store.upsert(rows.where("key = 7").withColumn("value", F.lit("b")))
+    _, new = store._latest()
+    assert sum(old["folders"][b] != new["folders"][b] for b in old["folders"]) == 1
+    assert before.where("value = 'b'").count() == 0 and store.read().where("value = 'b'").count() == 1
+    store.put(rows)
+    assert store.read().where("value = 'b'").count() == 0 and store._versions() == [0, 1, 2]
+    store.put(rows)
+    assert store._versions() == [0, 1, 2]
+    with pytest.raises(index.IndexConflict):
+        store._commit(2, new)
+    assert store._latest()[1] != new
+    store.replace_where(In("key", (1, 2)), spark.createDataFrame([(2, "new"), (99, "new")], "key long, value string"))
+    assert {r.key for r in store.read().where("value = 'new'").collect()} == {2, 99} and store.read().count() == 40
+    store.patch()
+    store.delete(rows.where("key = 1000"))
+    assert store.prune(keep=1) == 0 and store.prune(keep=1, older_than=-1.0) > 0
+    assert len(store._versions()) == 1 and store.read().count() == 40
+    store.delete_where(In("key", tuple(range(100))))
+    assert store.has_index() and store.read().count() == 0
+
+
+def test_index_stays_readable_while_it_is_written(spark, tmp_path):
+    import threading
+
+    store = index.ParquetIndex(spark, str(tmp_path / "index"), buckets=2)
+    rows = spark.range(50).select(F.col("id").alias("key"), F.lit(0).alias("version"))
+    store.put(rows)
+    wrong, done = [], threading.Event()
+
+    def read():
+        while not done.is_set():
+            seen = store.read().groupBy("version").count().collect()
+            if len(seen) != 1 or seen[0][1] != 50:
+                wrong.append(seen)
+
+    reader = threading.Thread(target=read)
+    reader.start()
+    for v in range(1, 5):
+        store.upsert(rows.withColumn("version", F.lit(v)))
+    done.set()
+    reader.join()
+    assert not wrong
+
+
+def test_stored_retrieval(spark, cars, tmp_path):
+    store = index.ParquetIndex(spark, str(tmp_path / "cars"), key="k", buckets=2)
+    kept = stored.Persisted(retrieval.build(CARS), store)
+    with pytest.raises(ValueError, match="put first"):
+        kept.apply_queries(cars[1])
+    store.put(cars[0].select(F.col("case_id").alias("k"), "case.*"))
+    assert [r.case_id for r in kept.apply_queries(cars[1]).final.orderBy("rank").collect()] == [2, 1, 0]
+    assert [r.case_id for r in kept.apply_queries(cars[1], cars[0].where("case_id = 1")).final.collect()] == [1]
+    assert [r.case_id for r in kept.apply_queries(cars[1], cars[0].where("false"), where=In("case_id", (0,))).final.collect()] == [0]
+    keep = phases.retain_indexed(store, CARS, ["price", "year"])
+    queries = cars[1].unionByName(cars[1].withColumn("query_id", F.col("query_id") + 1))
+    found = retrieval.apply_queries(cars[0], queries, retrieval.dropout(retrieval.build(CARS), limit=1)).steps[-1].scores
+    rows = {(r.query_id, r.case_id): r.is_new for r in keep(found).collect()}
+    assert rows == {**{(q, c): False for q in (7, 8) for c in (0, 1, 2)}, (7, 3): True, (8, 3): False, (8, 4): True}
+    assert {r.k for r in store.read().collect()} == {0, 1, 2, 3, 4}
+
+
+def test_storage_retriever(spark, tmp_path):
+    texts = spark.createDataFrame([("a", "red sedan car"), ("b", "blue sky"), ("c", "red apple fruit")], "key string, value string")
+    queries = spark.createDataFrame([(0, "red car"), (1, "sky")], "query_id int, text string")
+    embed = m.keyword_embedder(["red", "blue", "green", "car", "sky", "fruit"])
+    store = index.ParquetIndex(spark, str(tmp_path / "texts"), buckets=2)
+    near = stored.StorageRetriever(store, "dense", embed, limit=1)
+    with pytest.raises(ValueError, match="put first"):
+        near.apply_queries(queries)
+    near.put(texts)
+    best = lambda r, **how: {x.query_id: x.case_id for x in r.apply_queries(queries, **how).where("rank = 1").collect()}
+    assert best(near) == {0: "a", 1: "b"} and best(near, cases=texts.where("key != 'a'"))[0] == "c"
+    near.upsert(texts.where("key = 'b'").withColumn("value", F.lit("red car")))
+    near.delete(texts.where("key = 'a'"))
+    assert best(near)[0] == "b"
+    near.upsert(texts)
+    sparse = stored.StorageRetriever(store, "sparse", limit=2)
+    assert best(sparse) == {0: "a", 1: "b"}
+    assert best(stored.StorageRetriever(store, "hybrid", embed, limit=2, where=Not(Eq("key", "a")))) == {0: "c", 1: "b"}
+    with pytest.raises(ValueError, match="needs an index"):
+        sparse.apply_queries(queries, cases=texts)
+    for wrong in (("dense",), ("hybrid", embed), ("other", embed)):
+        with pytest.raises(ValueError):
+            stored.StorageRetriever(store, *wrong)
+
+
+def test_bm25_counts_cases_without_terms(spark):
+    cases = spark.createDataFrame([("a", 0, "red red car"), ("b", 1, ""), ("c", 2, None), ("d", 3, "!?"), ("e", 4, "car")], "case_id string, ord int, text string")
+    queries = spark.createDataFrame([(0, "red car")], "query_id int, text string")
+    import math
+
+    idf = lambda n: math.log(1 + (5 - n + 0.5) / (n + 0.5))
+    part = lambda tf, size: tf * 2.5 / (tf + 1.5 * (0.25 + 0.75 * size / 1.0))  # noqa: E731  the null text has no length
+    got = {r.case_id: r.sim for r in index.bm25(cases, queries, every=False, normalized=False).collect()}
+    assert got == pytest.approx({"a": idf(1) * part(2, 3) + idf(2) * part(1, 3), "e": idf(2) * part(1, 1)})
+
+
 def test_search(spark):
     cases = spark.createDataFrame([("a", 0, "red sedan car"), ("b", 1, "blue sky"), ("c", 2, "red apple fruit")], "case_id string, ord int, text string")
     queries = spark.createDataFrame([(0, "red")], "query_id int, text string")
@@ -171,6 +282,79 @@ def test_sources(spark, tmp_path):
         loaders.validate(df, {"small": "v.b < 5"}).collect()
 
 
+def test_directories_and_xml(spark, tmp_path):
+    import json
+
+    (tmp_path / "in").mkdir()
+    for name, text in {"a.txt": "plain", "b.json": '{"x": 1}', "c.toml": "x = 1", "d.yaml": "x: 1", "e.csv": "x,y\n1,2\n", "f.xml": "<r><x n='1'>t</x><y>1</y><y>2</y></r>", "g.bin": "no"}.items():
+        (tmp_path / "in" / name).write_text(text)
+    got = {r.key: r.value for r in loaders.path(spark, str(tmp_path / "in")).collect()}
+    assert got.pop("a") == "plain"
+    assert {k: json.loads(v) for k, v in got.items()} == {"b": {"x": 1}, "c": {"x": 1}, "d": {"x": 1}, "e": {"0": {"x": "1", "y": "2"}}, "f": {"x": {"@n": "1", "#text": "t"}, "y": ["1", "2"]}}
+    (tmp_path / "rows.xml").write_text("<r><one><n>1</n></one><two><n>2</n></two></r>")
+    assert {r.key: r.n for r in loaders.file(spark, str(tmp_path / "rows.xml")).collect()} == {"one": "1", "two": "2"}
+    dumpers.path(spark.createDataFrame([("x.txt", "one"), ("y.txt", "two")], "key string, value string"), str(tmp_path / "out"))
+    assert {p.name: p.read_text() for p in (tmp_path / "out").iterdir()} == {"x.txt": "one", "y.txt": "two"}
+    (tmp_path / "t.csv").write_text("a,b,0.5\n")
+    df = spark.createDataFrame([("B", "a")], "x string, y string")
+    assert df.select(m.string_table(str(tmp_path / "t.csv"), case_sensitive=False)(F.col("x"), F.col("y"))).first()[0] == 0.5
+
+    class Frame:
+        def to_arrow(self):
+            import pyarrow as pa
+
+            return pa.table({"v": ["x", "y"]})
+
+    assert {(r.key, r.v) for r in loaders.from_polars(spark, Frame()).collect()} == {(0, "x"), (1, "y")}
+
+
+REUSER = phases.reuse(None, CARS)
+
+
+def test_command_line_reuse(spark, tmp_path):
+    from sparkcase import cli
+
+    for name in ("cases", "queries"):
+        (tmp_path / f"{name}.json").write_text('[{"price": 1000, "year": 2000}, {"price": 2000, "year": 2001}]')
+    cli.main(["reuse", str(tmp_path / "cases.json"), str(tmp_path / "queries.json"), "--reuser", "tests.test_operators:REUSER", "--output", str(tmp_path / "out.parquet")])
+    assert {(r.query_id, r.case_id): r.rank for r in spark.read.parquet(str(tmp_path / "out.parquet")).collect()} == {(0, 0): 1, (0, 1): 2, (1, 1): 1, (1, 0): 2}
+
+
+def test_eval_of_steps_and_scaling(spark, cars):
+    found = retrieval.apply_queries(*cars, [retrieval.build(CARS), retrieval.dropout(retrieval.build(CARS), limit=2)])
+    qrels = evaluation.retrieval_to_qrels(found)
+    assert [{r.case_id: r.rel for r in q.collect()} for q in qrels] == [{2: 5, 1: 2, 0: 1}, {2: 5, 1: 1}]
+    got = {(r.step, r.metric): r.value for r in evaluation.retrieval_metrics(qrels[0], found, ["recall", "precision"]).collect()}
+    assert got == pytest.approx({(0, "recall"): 1, (0, "precision"): 1, (1, "recall"): 2 / 3, (1, "precision"): 1})
+    row = spark.range(1).select(evaluation.normalize_and_scale(F.lit(3.0), F.lit(1.0), F.lit(5.0), 10, 20), evaluation.normalized(F.lit(3.0), F.lit(1.0), F.lit(1.0)), *(evaluation.rounded(F.lit(2.5), k) for k in ("nearest", "floor", "ceil"))).first()
+    assert row[:] == (15.0, 0.0, 3, 2, 3)
+    with pytest.raises(ValueError):
+        evaluation.rounded(F.lit(1.0), "up")
+
+
+def test_rank_measures_against_all_pairs(spark):
+    import itertools
+    import random
+
+    rng = random.Random(3)
+    qrels = [(q, c, rng.randrange(3)) for q in range(4) for c in range(12)]
+    run = [(q, c, rng.randrange(5) / 4) for q in range(4) for c in range(12) if rng.random() < 0.7]
+    sims = {(q, c): s for q, c, s in run}
+    got = {r.query_id: r[1:] for r in evaluation.concordances(spark.createDataFrame(qrels, "query_id int, case_id int, rel int"), spark.createDataFrame(run, "query_id int, case_id int, sim double")).collect()}
+    taus = []
+    for q in range(4):
+        pairs = [(sims.get((q, a)), sims.get((q, b)), r, s) for (_, a, r), (_, b, s) in itertools.combinations([x for x in qrels if x[0] == q], 2)]
+        judged = [(x, y, r, s) for x, y, r, s in pairs if r != s]
+        both = [p for p in judged if p[0] is not None and p[1] is not None]
+        agree = sum((x - y) * (r - s) > 0 for x, y, r, s in both)
+        assert got[q] == (agree, len(both) - agree, len(judged))
+        seen = [(x, y, r, s) for x, y, r, s in pairs if x is not None and y is not None and min(r, s) >= 1]
+        na, nb = sum(x != y for x, y, _, _ in seen), sum(r != s for _, _, r, s in seen)
+        if na and nb:
+            taus.append(sum(((x > y) - (x < y)) * ((r > s) - (r < s)) for x, y, r, s in seen) / (na * nb) ** 0.5)
+    assert evaluation.kendall_tau(spark.createDataFrame(qrels, "query_id int, case_id int, rel int"), spark.createDataFrame(run, "query_id int, case_id int, sim double")).first()[0] == pytest.approx(sum(taus) / len(taus))
+
+
 def test_stream_retains(spark, tmp_path):
     rows = spark.createDataFrame([("a", "one", 0), ("a", "two", 1), ("b", "x", 0)], "key string, value string, ord int")
     rows.write.parquet(str(tmp_path / "in"))
