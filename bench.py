@@ -9,7 +9,7 @@ import time
 
 from pyspark.sql import SparkSession
 
-from sparkcase.plans import catalog
+from sparkcase.plans import queries as catalog
 
 HEADLINE = ("retrieve_attribute_value", "retrieve_combine_union", "sim_strings", "sim_vectors", "search_dense", "search_bm25", "eval_metrics", "pairs_banded")
 

@@ -1,4 +1,7 @@
-"""Registered queries over the driver's tables, each over whole tables, and the SQL that gives the same rows."""
+"""Registered queries over the driver's tables, each over whole tables, and the SQL that gives the same rows.
+
+The modules ``catalog_cases`` and ``catalog_measures`` add more; ``queries`` has them all.
+"""
 
 from __future__ import annotations
 
@@ -247,11 +250,6 @@ def sim_strings(spark, sf_dir):
     )
 
 
-@query()
-def sim_levenshtein(spark, sf_dir):
-    return name_pairs(spark, sf_dir).select("x", "y", r6(m.levenshtein()(F.col("x"), F.col("y"))).alias("levenshtein"))
-
-
 # Sequences: the events of each user against those of the user with the id one higher.
 
 
@@ -270,16 +268,6 @@ def sim_collections(spark, sf_dir):
     return pairs.select("user_id", F.col("next.user_id").alias("other"), r6(m.jaccard()(x, y)).alias("jaccard"), r6(m.isolated_mapping(m.equality())(x, y)).alias("isolated_mapping"))
 
 
-@query()
-def sim_sequences(spark, sf_dir):
-    pairs = user_series(spark, sf_dir)
-    x, y, u, v = F.col("kinds"), F.col("next.kinds"), F.col("values"), F.col("next.values")
-    return pairs.select(
-        "user_id", r6(m.mapping()(x, y)).alias("mapping"), r6(m.sequence_correctness(0.5)(x, y)).alias("correctness"), r6(m.sequence_mapping(m.equality())(x, y)["value"]).alias("sequence_mapping"),
-        r6(m.dtw()(u, v)["value"]).alias("dtw"), r6(m.twed()(u, v)["value"]).alias("twed"), r6(m.smith_waterman()(x, y)["value"]).alias("smith_waterman"),
-    )
-
-
 # Vectors: every embedding against the mean vector of every label.
 
 CENTROIDS = "SELECT label AS query_id, list(v ORDER BY i) AS q FROM (SELECT label, i, avg(v::DOUBLE) AS v FROM (SELECT label, unnest(embedding) AS v, generate_subscripts(embedding, 1) AS i FROM embeddings) GROUP BY label, i) GROUP BY label"
@@ -378,16 +366,6 @@ def search_bm25(spark, sf_dir):
     return plain(retrieval.rank(scores).where("rank <= 10"))
 
 
-@query()
-def search_hybrid(spark, sf_dir):
-    documents, passages = table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark")
-    embedder = m.hashing_embedder(64)
-    cases = documents.select(F.col("doc_id").alias("case_id"), F.col("doc_id").alias("ord"), "text")
-    queries = passages.select(F.col("item_id").alias("query_id"), "text")
-    near = index.dense(cases.withColumn("vector", embedder(F.col("text"))), queries.withColumn("vector", embedder(F.col("text"))))
-    return index.hybrid(near, index.bm25(cases, queries, every=False, normalized=False), 10).select("query_id", "case_id", r6(F.col("sim")).alias("sim"))
-
-
 @query("SELECT p_partkey AS key, p_name AS value, CASE WHEN p_brand = 'Brand#1' THEN 1 ELSE p_size END AS size FROM part WHERE p_brand <> 'Brand#2' AND NOT (p_type = 'SMALL' AND p_brand <> 'Brand#1')")
 def index_mutations(spark, sf_dir):
     part = table(spark, sf_dir, "part")

@@ -5,7 +5,7 @@ import numpy as np
 import pandas as pd
 import pytest
 
-from sparkcase.plans import catalog
+from sparkcase.plans import queries as catalog
 
 SF = "/root/testdata/sf0.001"
 TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations"
