@@ -1,7 +1,8 @@
 """Toxicity by non-negative positive-unlabelled learning over word and word-beginning features.
 
-Training sees a bounded, hash-ordered sample: confirmed toxic documents and documents without a toxic label, which
-count as unlabelled. Scoring sees every word of every document.
+The optimiser sees a bounded, hash-ordered sample: confirmed toxic documents and documents without a toxic label, which
+count as unlabelled. How frequent a feature is among unlabelled text is counted over all documents, and scoring sees
+every word of every document.
 """
 
 from __future__ import annotations
@@ -21,8 +22,8 @@ from .common import bound_batches, free_name, slices, stored
 
 #: Bounds of the training sample, in documents.
 POSITIVES, UNLABELLED = 4000, 12000
-#: Features kept at most, and confirmed documents that each must occur in.
-TOP, LEAST = 1024, 4
+#: Standard errors by which a feature must be more frequent among confirmed documents, as it must be by ``RATIO``.
+ERRORS, RATIO = 4.0, 2.0
 THRESHOLD = 0.5
 _WORD = re.compile(r"[^\W\d_]+")
 
@@ -45,19 +46,17 @@ def document_features(text: str | None) -> list[int]:
     return sorted(recurring(Counter(f for w in words_of(text or "") for f in features(w))))
 
 
-def select_features(feature: np.ndarray, in_p: np.ndarray, in_u: np.ndarray, n_p: int, n_u: int, prior: float, top: int = TOP, least: int = LEAST, z: float = 4.0) -> np.ndarray:
-    """Features far more frequent among the positives than among the unlabelled less the share that ``prior`` explains.
+def select_features(feature: np.ndarray, in_p: np.ndarray, in_all: np.ndarray, n_p: int, n_all: int, prior: float) -> np.ndarray:
+    """Features far more frequent among the positives than among all documents less the share that ``prior`` explains.
 
-    ``in_p`` and ``in_u`` count the documents of either kind that have a feature. It must occur in ``least`` positives
-    and deviate by ``z`` standard errors and more than twofold; the ``top`` strongest are kept, sorted.
+    ``in_p`` and ``in_all`` count the documents of either kind that have a feature. It must deviate by ``ERRORS``
+    standard errors and more than ``RATIO``-fold; all such features are kept, sorted.
     """
-    n_p, n_u = max(1, n_p), max(1, n_u)
+    n_p, n_all = max(1, n_p), max(1, n_all)
     rate_p = in_p / n_p
-    rate_n = np.maximum((in_u / n_u - prior * rate_p) / (1 - prior), 0.5 / n_u)
-    error = np.sqrt(rate_p / n_p + rate_n / n_u)
-    good = np.flatnonzero((in_p >= least) & (rate_p - rate_n > z * error) & (rate_p > 2 * rate_n))
-    strength = np.log(rate_p / rate_n)[good] * np.sqrt(in_p[good])
-    return np.sort(feature[good[np.lexsort((feature[good], -strength))][:top]])
+    rate_n = np.maximum((in_all / n_all - prior * rate_p) / (1 - prior), 0.5 / n_all)
+    error = np.sqrt(rate_p / n_p + rate_n / n_all)
+    return np.sort(feature[(rate_p - rate_n > ERRORS * error) & (rate_p > RATIO * rate_n)])
 
 
 def train(known: np.ndarray, rows: list, positive: np.ndarray, prior: float, steps: int = 400, rate: float = 0.05, l2: float = 1e-4) -> tuple[np.ndarray, np.ndarray, float]:
@@ -67,21 +66,26 @@ def train(known: np.ndarray, rows: list, positive: np.ndarray, prior: float, ste
     negative the step goes up along it instead, as published for the non-negative estimator. ``rows`` are the places
     in ``known`` of the features of each document.
     """
-    x = np.zeros((len(rows), len(known)), np.float32)
-    for i, r in enumerate(rows):
-        x[i, np.asarray(r, np.int64)] = 1
+    is_p = np.asarray(positive) == 1
+    n_p, n_u = int(is_p.sum()), int((~is_p).sum())
+    if not n_p or not len(known):
+        return known, np.zeros(len(known)), -20.0
+    row = np.repeat(np.arange(len(rows)), [len(r) for r in rows])
+    column = np.concatenate([np.asarray(r, np.int64) for r in rows])
     w, b = np.full(len(known), 0.2), -1.0
     m, v = np.zeros(len(known) + 1), np.zeros(len(known) + 1)
-    p, u = x[positive == 1], x[positive == 0]
-    if not len(p) or not len(known):
-        return known, np.zeros(len(known)), -20.0
+
+    def mean_slope(of, n, slope):
+        d = np.where(of, slope, 0.0)
+        return np.append(np.bincount(column, d[row], len(known)), d.sum()) / max(1, n)
+
     for step in range(1, steps + 1):
-        s_p, s_u = 1 / (1 + np.exp(-np.clip(p @ w + b, -30, 30))), 1 / (1 + np.exp(-np.clip(u @ w + b, -30, 30)))
-        d_p, d_u = s_p * (1 - s_p), s_u * (1 - s_u)  # slopes of the sigmoid loss
-        grad = lambda x, d: np.append(d @ x, d.sum()) / max(1, len(x))
-        negative = s_u.mean() - prior * s_p.mean() if len(u) else 0.0
-        minus = (grad(u, d_u) if len(u) else 0) - prior * grad(p, d_p)
-        g = -prior * grad(p, d_p) + minus if negative >= 0 else -minus
+        s = 1 / (1 + np.exp(-np.clip(np.bincount(row, w[column], len(rows)) + b, -30, 30)))
+        slope = s * (1 - s)  # of the sigmoid loss
+        up, down = mean_slope(is_p, n_p, slope), mean_slope(~is_p, n_u, slope)
+        minus = down - prior * up
+        negative = s[~is_p].mean() - prior * s[is_p].mean() if n_u else 0.0
+        g = -prior * up + minus if negative >= 0 else -minus
         g = g + np.append(l2 * w, 0)
         m, v = 0.9 * m + 0.1 * g, 0.999 * v + 0.001 * g * g
         move = rate * (m / (1 - 0.9**step)) / (np.sqrt(v / (1 - 0.999**step)) + 1e-8)
@@ -123,20 +127,21 @@ def fit(docs: DataFrame, labels: DataFrame, id: str = "doc_id", text: str = "tex
     bound_batches(docs.sparkSession)
     rows, estimated = sample(docs, labels.select("doc_id", "toxic"), id, text, positives, unlabelled)
     prior = estimated if prior is None else prior
-    sizes = dict(rows.groupBy("y").count().toPandas().itertuples(index=False))
+    n_p = rows.where("y = 1").count()
 
     def tally(batches):
-        f, n = np.zeros(0, np.int64), np.zeros((0, 2), np.int64)
+        f, n = np.zeros(0, np.int64), np.zeros(0, np.int64)
         for batch in batches:
-            flat, size = batch.column(1).flatten().to_numpy(), batch.column(1).value_lengths().to_numpy()
-            y = np.repeat(batch.column(0).to_numpy(), size)
-            f, at = np.unique(np.concatenate([f, flat]), return_inverse=True)
-            weight = np.concatenate([n, np.stack([y, 1 - y], 1)])
-            n = np.stack([np.bincount(at, weight[:, k], len(f)) for k in (0, 1)], 1).astype(np.int64)
-        yield pa.RecordBatch.from_arrays([pa.array(f), pa.array(n[:, 0]), pa.array(n[:, 1])], ["f", "p", "u"])
+            f, at = np.unique(np.concatenate([f, batch.column(0).flatten().to_numpy()]), return_inverse=True)
+            n = np.bincount(at, np.concatenate([n, np.ones(len(at) - len(n), np.int64)]), len(f)).astype(np.int64)
+        yield pa.RecordBatch.from_arrays([pa.array(f), pa.array(n)], ["f", "n"])
 
-    counts = rows.mapInArrow(tally, "f long, p long, u long").groupBy("f").agg(F.sum("p").alias("p"), F.sum("u").alias("u")).where(F.col("p") >= LEAST).toPandas()
-    known = select_features(counts.f.to_numpy(np.int64), counts.p.to_numpy(np.float64), counts.u.to_numpy(np.float64), sizes.get(1, 0), sizes.get(0, 0), prior)
+    # A feature of no more positives can't deviate by so many errors, whatever its share of all documents.
+    of_p = rows.where("y = 1").select("f").mapInArrow(tally, "f long, n long").groupBy("f").agg(F.sum("n").alias("n")).where(F.col("n") > ERRORS**2).toPandas().sort_values("f")
+    known, in_p = of_p.f.to_numpy(np.int64), of_p.n.to_numpy(np.float64)
+    if len(known):
+        in_all, n_all = document_frequencies(docs, known, text)
+        known = select_features(known, in_p, in_all, n_p, n_all, prior)
 
     def places(batches):
         for batch in batches:
@@ -151,15 +156,13 @@ def fit(docs: DataFrame, labels: DataFrame, id: str = "doc_id", text: str = "tex
     return train(known, list(found.f), found.y.to_numpy(), prior)
 
 
-class Scorer:
-    """Scores texts; words met before are remembered, up to a bound."""
+class Features:
+    """Features of texts among some known ones; words met before are remembered, up to a bound."""
 
-    def __init__(self, model, remember: int = 300_000):
-        self.weight = dict(zip(map(int, model[0]), map(float, model[1])))
-        self.known = {f & 0xFFFFFFFF for f in self.weight}
-        self.bias, self.remember, self.words = model[2], remember, {}
+    def __init__(self, known, remember: int = 300_000):
+        self.known, self.remember, self.words = {int(f) & 0xFFFFFFFF for f in known}, remember, {}
 
-    def __call__(self, text: str | None) -> float:
+    def __call__(self, text: str | None) -> set[int]:
         hit: list[int] = []
         words = self.words
         for w in words_of(text or ""):
@@ -171,10 +174,47 @@ class Scorer:
                 words[w] = known
             if known:
                 hit.extend(known)
-        z = self.bias + sum(self.weight.get(f, 0.0) for f in sorted(recurring(Counter(hit))))
+        return recurring(Counter(hit)) if hit else set()
+
+
+class Scorer:
+    """Scores texts."""
+
+    def __init__(self, model):
+        self.weight = dict(zip(map(int, model[0]), map(float, model[1])))
+        self.bias, self.features = model[2], Features(self.weight)
+
+    def __call__(self, text: str | None) -> float:
+        z = self.bias + sum(self.weight.get(f, 0.0) for f in sorted(self.features(text)))
         return float(1 / (1 + np.exp(-np.clip(z, -30, 30))))
 
 
+def document_frequencies(docs: DataFrame, known: np.ndarray, text: str = "text") -> tuple[np.ndarray, int]:
+    """How many of all documents have each of the sorted features ``known``, and how many documents there are.
+
+    The features are those of the positive sample, so they are few; each task counts them in one array.
+    """
+    held = docs.sparkSession.sparkContext.broadcast(known)
+
+    def run(batches):
+        known = held.value
+        place, features = {int(f): i for i, f in enumerate(known)}, Features(known)
+        counts, rows = np.zeros(len(known), np.int64), 0
+        for batch in slices(batches):
+            found: list[int] = []
+            for t in batch.column(0):
+                found.extend(i for i in map(place.get, features(t.as_py())) if i is not None)
+            counts += np.bincount(np.asarray(found, np.int64), minlength=len(known))
+            rows += len(batch)
+        some = np.flatnonzero(counts)
+        yield pa.RecordBatch.from_arrays([pa.array(np.append(some, -1)), pa.array(np.append(counts[some], rows))], ["i", "n"])
+
+    seen = docs.select(F.col(f"`{text}`").alias("text")).mapInArrow(run, "i long, n long").groupBy("i").agg(F.sum("n").alias("n")).toPandas()
+    out, at = np.zeros(len(known)), seen.i.to_numpy(np.int64)
+    out[at[at >= 0]] = seen.n.to_numpy(np.float64)[at >= 0]
+    return out, int(seen.n.to_numpy()[at < 0].sum())
+
+
 def score(docs: DataFrame, model, text: str = "text", out: str = "toxicity") -> DataFrame:
     """``docs`` with the probability-like score of each text in column ``out`` (renamed with underscores if taken).
 

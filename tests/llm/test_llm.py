@@ -5,6 +5,7 @@ import hashlib
 import itertools
 import math
 import re
+import zlib
 
 import duckdb
 import numpy as np
@@ -549,6 +550,50 @@ def test_toxicity_trains_by_the_corrected_risk():
     assert score(0) > 0.5 > score(1)
 
 
+def test_toxicity_fit_equals_brute_force(spark):
+    """Features by plain counts over all documents; weights by a dense version of the corrected risk."""
+    docs, labels = (spark.read.parquet(f"/root/testdata/sf0.01/{t}.parquet") for t in ("documents", "labels"))
+    known, w, b = toxicity.fit(docs, labels, unlabelled=300)
+    texts = {r.doc_id: r.text for r in docs.collect()}
+    toxic = {r.doc_id: r.toxic for r in labels.where("toxic is not null").collect()}
+    prior = float(np.clip(np.mean(list(toxic.values())), 0.005, 0.9))
+
+    def of(text):
+        seen = collections.Counter()
+        for word in set(re.findall(r"[^\W\d_]+", text.lower())):
+            seen.update([zlib.crc32(("=" + word).encode())] + [zlib.crc32(word[:k].encode()) for k in (4, 5, 6, 7) if k <= len(word)])
+        return {f + (mark << 32) for f, n in seen.items() for mark in (0, 1, 2)[:n]}
+
+    sets = {d: of(t or "") for d, t in texts.items()}
+    p = [d for d in texts if toxic.get(d) == 1]
+    in_p, in_all = (collections.Counter(f for d in ids for f in sets[d]) for ids in (p, texts))
+    want = []
+    for f, n in in_p.items():
+        rate_p = n / len(p)
+        rate_n = max((in_all[f] / len(texts) - prior * rate_p) / (1 - prior), 0.5 / len(texts))
+        if rate_p > 2 * rate_n and rate_p - rate_n > 4 * math.sqrt(rate_p / len(p) + rate_n / len(texts)):
+            want.append(f)
+    assert list(known) == sorted(want) and len(want) >= 10
+
+    order = {r.doc_id: i for i, r in enumerate(docs.orderBy(F.xxhash64(F.col("doc_id").alias("k"), F.lit(8)), "doc_id").select("doc_id").collect())}
+    u = sorted((d for d in texts if d not in set(p)), key=order.get)[:300]
+    x = np.array([[f in sets[d] for f in known] for d in p + u], float)
+    y, n = np.array([1] * len(p) + [0] * len(u)), len(p)
+    theta, first, second = np.append(np.full(len(known), 0.2), -1.0), 0.0, 0.0
+    x = np.hstack([x, np.ones((len(x), 1))])
+    for step in range(1, 401):
+        s = 1 / (1 + np.exp(-np.clip(x @ theta, -30, 30)))
+        grads = [(s * (1 - s))[:n] @ x[:n] / n, (s * (1 - s))[n:] @ x[n:] / len(u)]
+        inner = s[n:].mean() - prior * s[:n].mean()
+        g = grads[1] - 2 * prior * grads[0] if inner >= 0 else prior * grads[0] - grads[1]
+        g = g + np.append(1e-4 * theta[:-1], 0)
+        first, second = 0.9 * first + 0.1 * g, 0.999 * second + 0.001 * g * g
+        theta = theta - 0.05 * first / (1 - 0.9**step) / (np.sqrt(second / (1 - 0.999**step)) + 1e-8)
+    assert np.append(w, b) == pytest.approx(theta, abs=1e-4) and y.sum() == n
+    got = {r.doc_id: r.toxicity for r in toxicity.score(docs, (known, w, b)).collect()}
+    assert got == pytest.approx({d: 1 / (1 + math.exp(-(b + sum(v for f, v in zip(known, w) if f in s)))) for d, s in sets.items()})
+
+
 def test_toxicity_edges(spark, none, odd):
     labels = spark.createDataFrame([(None, 1, None), (7, None, 1), (None, None, 1), (6, 1, 0)], "doc_id long, quality int, toxic int")
     model = toxicity.fit(odd, labels)
