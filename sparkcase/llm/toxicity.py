@@ -157,36 +157,56 @@ def fit(docs: DataFrame, labels: DataFrame, id: str = "doc_id", text: str = "tex
 
 
 class Features:
-    """Features of texts among some known ones; words met before are remembered, up to a bound."""
+    """Which of some known features texts have; words met before are remembered, up to a bound.
+
+    A feature is a hash with a mark. ``hashes`` are the hashes known with any mark, in order.
+    """
 
     def __init__(self, known, remember: int = 300_000):
-        self.known, self.remember, self.words = {int(f) & 0xFFFFFFFF for f in known}, remember, {}
-
-    def __call__(self, text: str | None) -> set[int]:
-        hit: list[int] = []
-        words = self.words
-        for w in words_of(text or ""):
-            known = words.get(w)
-            if known is None:
-                known = [f for f in features(w) if f in self.known]
-                if len(words) >= self.remember:
-                    words.clear()
-                words[w] = known
-            if known:
-                hit.extend(known)
-        return recurring(Counter(hit)) if hit else set()
+        self.hashes = np.unique(np.asarray(known, np.int64) & 0xFFFFFFFF)
+        self.place = {int(h): i for i, h in enumerate(self.hashes)}
+        self.remember, self.words = remember, {}
+
+    def places(self, known) -> np.ndarray:
+        """For each hash and each mark the place of that feature in the sorted features ``known``, -1 where it isn't."""
+        known = np.asarray(known, np.int64)
+        want = self.hashes[:, None] + np.array([0, 1 << 32, 1 << 33])
+        at = np.minimum(np.searchsorted(known, want), max(0, len(known) - 1))
+        return np.where(known[at] == want, at, -1) if len(known) else np.full(want.shape, -1)
+
+    def __call__(self, texts) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """``(text, hash, times)`` as places, for each known hash that a text meets in 1, 2, or 3 and more words."""
+        words, hits, sizes = self.words, [], []
+        for text in texts:
+            before = len(hits)
+            for w in words_of(text or ""):
+                found = words.get(w)
+                if found is None:
+                    found = [i for i in map(self.place.get, features(w)) if i is not None]
+                    if len(words) >= self.remember:
+                        words.clear()
+                    words[w] = found
+                if found:
+                    hits += found
+            sizes.append(len(hits) - before)
+        code = np.repeat(np.arange(len(sizes)), sizes) * max(1, len(self.hashes)) + np.asarray(hits, np.int64)
+        code, times = np.unique(code, return_counts=True)
+        return code // max(1, len(self.hashes)), code % max(1, len(self.hashes)), np.minimum(times, 3)
 
 
 class Scorer:
     """Scores texts."""
 
     def __init__(self, model):
-        self.weight = dict(zip(map(int, model[0]), map(float, model[1])))
-        self.bias, self.features = model[2], Features(self.weight)
+        known, weight = np.asarray(model[0], np.int64), np.asarray(model[1], np.float64)
+        self.bias, self.features = model[2], Features(known)
+        at = self.features.places(known)
+        self.weight = np.cumsum(np.where(at >= 0, weight[at] if len(weight) else 0.0, 0.0), axis=1)
 
-    def __call__(self, text: str | None) -> float:
-        z = self.bias + sum(self.weight.get(f, 0.0) for f in sorted(self.features(text)))
-        return float(1 / (1 + np.exp(-np.clip(z, -30, 30))))
+    def __call__(self, texts) -> np.ndarray:
+        row, hash, times = self.features(texts)
+        z = self.bias + np.bincount(row, self.weight[hash, times - 1], len(texts))
+        return 1 / (1 + np.exp(-np.clip(z, -30, 30)))
 
 
 def document_frequencies(docs: DataFrame, known: np.ndarray, text: str = "text") -> tuple[np.ndarray, int]:
@@ -198,14 +218,15 @@ def document_frequencies(docs: DataFrame, known: np.ndarray, text: str = "text")
 
     def run(batches):
         known = held.value
-        place, features = {int(f): i for i, f in enumerate(known)}, Features(known)
-        counts, rows = np.zeros(len(known), np.int64), 0
+        features = Features(known)
+        at = features.places(known)
+        counts, rows = np.zeros(len(known) + 1, np.int64), 0
         for batch in slices(batches):
-            found: list[int] = []
-            for t in batch.column(0):
-                found.extend(i for i in map(place.get, features(t.as_py())) if i is not None)
-            counts += np.bincount(np.asarray(found, np.int64), minlength=len(known))
+            _, hash, times = features(batch.column(0).to_pylist())
+            for k in range(3):
+                counts += np.bincount(at[hash[times > k], k] + 1, minlength=len(counts))
             rows += len(batch)
+        counts = counts[1:]
         some = np.flatnonzero(counts)
         yield pa.RecordBatch.from_arrays([pa.array(np.append(some, -1)), pa.array(np.append(counts[some], rows))], ["i", "n"])
 
@@ -229,6 +250,6 @@ def score(docs: DataFrame, model, text: str = "text", out: str = "toxicity") ->
     def run(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         scorer = Scorer(held.value)
         for texts in batches:
-            yield pa.array([scorer(t.as_py()) for t in texts], pa.float64())
+            yield pa.array(scorer(texts.to_pylist()), pa.float64())
 
     return docs.withColumn(free_name(docs, out), run(F.col(f"`{text}`")))
