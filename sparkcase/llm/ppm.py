@@ -20,7 +20,7 @@ from pyspark.sql import functions as F
 from .common import bound_batches, slices, stored
 
 #: Longest context in bytes; texts of a part, and of one step of the coder, in bytes.
-ORDER, PART, STEP = 5, 32 << 20, 1 << 19
+ORDER, PART, STEP = 5, 32 << 20, 1 << 18
 #: Contexts of at most this many bytes go to every executor.
 SHARED = 1
 
@@ -51,7 +51,7 @@ def _summed(code: np.ndarray, n: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return code[first], np.add.reduceat(n, first) if len(first) else n
 
 
-def grams(texts: pa.Array, order: int, apart: bool = False, piece: int = 4 << 20) -> tuple[np.ndarray, np.ndarray]:
+def grams(texts: pa.Array, order: int, apart: bool = False, piece: int = 1 << 20) -> tuple[np.ndarray, np.ndarray]:
     """Distinct codes of (context, symbol) and their counts; the symbol is the lowest byte of a code.
 
     With ``apart`` the place of the text stands above the ``order + 1`` bytes of the pair. Texts are passed over in
@@ -78,7 +78,7 @@ def grams(texts: pa.Array, order: int, apart: bool = False, piece: int = 4 << 20
         codes.append(code)
         counts.append(n.astype(np.int64))
         held += len(code)
-        if held > 4_000_000:
+        if held > 3_000_000:
             code, n = _summed(np.concatenate(codes), np.concatenate(counts))
             codes, counts, held = [code], [n], 0
     if not codes:
@@ -251,7 +251,7 @@ def counts(parts: DataFrame, order: int) -> DataFrame:
                     yield from rows(other)
                 kept = held.setdefault(int(part), [])
                 kept.append(grams(batch.column(1).filter(pa.array(of == part)), order))
-                if sum(len(x) for x, _ in kept) > 4_000_000:
+                if sum(len(x) for x, _ in kept) > 3_000_000:
                     held[int(part)] = [_summed(*(np.concatenate(x) for x in zip(*kept)))]
         for part in list(held):
             yield from rows(part)
@@ -309,6 +309,7 @@ def score(docs: DataFrame, id: str = "doc_id", text: str = "text", order: int =
             end = max(begin + 1, min(begin + 60_000, int(np.searchsorted(ends, (ends[begin - 1] if begin else 0) + STEP, "right"))))
             bits[begin:end] = trie.bits(filled.slice(begin, end - begin))
             begin = end
+        pa.default_memory_pool().release_unused()
         gone = texts.is_null().to_numpy(zero_copy_only=False)
         rate = np.divide(bits, size, out=np.zeros(len(bits)), where=size > 0)
         return pa.table({id: left.column("id"), "n_bytes": pa.array(size, mask=gone), "bits": pa.array(bits, mask=gone), "bits_per_byte": pa.array(rate, mask=gone | (size == 0))})
