@@ -67,7 +67,7 @@ def word_table(docs: DataFrame, ranks: dict[bytes, int], text: str = "text", see
 
 
 class _Index:
-    """Maps word hashes to ids by bucketed probing; holds about 20 bytes a word and 2 or 4 an id."""
+    """Maps word hashes to ids by bucketed probing; holds about 18 bytes a word and 2 or 4 an id."""
 
     def __init__(self, chunks):
         """``chunks``: pairs of Arrow columns (hashes, lists of ids), each chunk above the last in unsigned order."""
@@ -83,7 +83,8 @@ class _Index:
         h, ids = (c.combine_chunks() if isinstance(c, pa.ChunkedArray) else c for c in (h, ids))
         words = h.to_numpy().view(np.uint64)
         order = np.argsort(words)
-        size = ids.value_lengths().to_numpy(zero_copy_only=False).astype(np.uint32)
+        size = ids.value_lengths().to_numpy(zero_copy_only=False)
+        size = size.astype(np.uint16 if not len(size) or size.max() < 1 << 16 else np.uint32)
         ids = ids.take(pa.array(order)).flatten().to_numpy(zero_copy_only=False)
         return words[order], size[order], ids.astype(np.uint16) if not len(ids) or ids.max() < 1 << 16 else ids
 

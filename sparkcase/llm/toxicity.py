@@ -162,7 +162,7 @@ class Features:
     A feature is a hash with a mark. ``hashes`` are the hashes known with any mark, in order.
     """
 
-    def __init__(self, known, remember: int = 300_000):
+    def __init__(self, known, remember: int = 100_000):
         self.hashes = np.unique(np.asarray(known, np.int64) & 0xFFFFFFFF)
         self.place = {int(h): i for i, h in enumerate(self.hashes)}
         self.remember, self.words = remember, {}
