@@ -361,3 +361,28 @@ def test_stream_retains(spark, tmp_path):
     store = index.ParquetIndex(spark, str(tmp_path / "index"))
     retention.retain_stream(spark.readStream.schema(rows.schema).parquet(str(tmp_path / "in")), store, str(tmp_path / "check")).awaitTermination()
     assert {r.key: r.value for r in store.read().collect()} == {"a": "two", "b": "x"}
+
+
+def test_pairs_are_dealt_to_tasks(spark):
+    cases = retrieval.cases_of(spark.range(0, 60_000, 1, 1).select("id", (F.col("id") % 7).cast("double").alias("v")), "id")
+    queries = retrieval.queries_of(spark.range(25).select("id", F.col("id").cast("double").alias("v")), "id")
+    paired = retrieval.pairs(cases, queries)
+    sizes = [r["count"] for r in paired.groupBy(F.spark_partition_id()).count().collect()]
+    assert sum(sizes) == 1_500_000 and max(sizes) < 1.2 * retrieval.TASK_PAIRS
+    top = retrieval.dropout(retrieval.build(m.transpose(m.linear(100), lambda c: c["v"])), limit=2)(paired).where("query_id = 3")
+    assert [(r.case_id, r.rank) for r in top.orderBy("rank").collect()] == [(3, 1), (10, 2)]
+
+
+def test_rerank_makes_its_candidates_once(spark):
+    cases = retrieval.cases_of(spark.range(6).select("id", F.col("id").cast("string").alias("v")), "id")
+    queries = retrieval.queries_of(spark.range(2).select("id", F.lit("q").alias("v")), "id")
+    made = spark.sparkContext.accumulator(0)
+
+    @F.pandas_udf("double")
+    def counted(v):
+        made.add(len(v))
+        return v.astype(float)
+
+    again = retrieval.rerank(retrieval.dropout(lambda p: p.withColumn("sim", counted(F.col("case")["v"])), limit=3), lambda q, texts: [1.0] * len(texts), lambda c: c["v"])
+    assert retrieval.apply_queries(cases, queries, again).steps[-1].scores.count() == 6
+    assert made.value in (6, 12)  # of the cases, or of the pairs
