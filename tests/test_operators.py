@@ -386,3 +386,19 @@ def test_rerank_makes_its_candidates_once(spark):
     again = retrieval.rerank(retrieval.dropout(lambda p: p.withColumn("sim", counted(F.col("case")["v"])), limit=3), lambda q, texts: [1.0] * len(texts), lambda c: c["v"])
     assert retrieval.apply_queries(cases, queries, again).steps[-1].scores.count() == 6
     assert made.value in (6, 12)  # of the cases, or of the pairs
+
+
+def test_ideal_ranking_counts_equal_judgements(spark):
+    import math
+
+    rels = [3] * 4 + [2] * 3 + [1] * 5 + [0] * 8
+    qrels = spark.createDataFrame([("a", i, r) for i, r in enumerate(rels)] + [("none", 0, 0)], "query_id string, case_id int, rel int")
+    run = spark.createDataFrame([("a", i, float(i)) for i in range(20)] + [("none", 0, 1.0)], "query_id string, case_id int, sim double")
+    for k in (0, 5, 9, 50):
+        for level in (1, 2):
+            n = k or len(rels)
+            gain = lambda order: sum(r / math.log2(i + 2) for i, r in enumerate(order[:n]) if r >= level)
+            got = {r.query_id: (r.ndcg, r.recall) for r in evaluation.per_query(qrels, run, k, level).collect()}
+            assert got["a"][0] == pytest.approx(gain(rels[::-1]) / gain(rels)) and got["none"] == (0.0, 0.0)
+    plan = evaluation.per_query(qrels, run, 5)._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("row_number") <= 2  # the run alone is ranked
