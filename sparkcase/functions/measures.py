@@ -11,9 +11,11 @@ import fnmatch
 import json
 import math
 import re
+from collections import Counter
 from collections.abc import Callable, Mapping, Sequence
 from pathlib import Path
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -340,24 +342,40 @@ def isolated_mapping(element: Measure) -> Measure:
     return f
 
 
-def mapping(item_similarity: Callable = lambda a, b: float(a == b)) -> Measure:
-    """Best one-to-one assignment of items ``(case, query)`` by a Python function, divided by the query's size."""
+def equal(a, b) -> float:
+    return float(a == b)
+
+
+def difference(a, b):
+    return abs(a - b)
+
+
+def mapping(item_similarity: Callable = equal) -> Measure:
+    """Best one-to-one assignment of items ``(case, query)`` by a Python function, divided by the query's size.
+
+    By equality of strings it pairs each item as often as both sides have it, so these are counted.
+    """
 
     def value(a, b):
-        return kernels.assignment_value([[float(item_similarity(p, q)) for q in b] for p in a]) / len(b) if len(a) and len(b) else 0.0
+        if not len(a) or not len(b):
+            return 0.0
+        if item_similarity is equal and _strings(a) and _strings(b):
+            return float((Counter(a) & Counter(b)).total()) / len(b)
+        return kernels.assignment_value([[float(item_similarity(p, q)) for q in b] for p in a]) / len(b)
 
     return _kernel(value)
 
 
 def sequence_correctness(worst_case_sim: float = 0.0) -> Measure:
     """Concordant less discordant pairs of the case's items by their first places in the query."""
+    count = lazy_udf(lambda at: pd.Series([None if a is None else kernels.rising(np.asarray(a, float)) for a in at], dtype=float), "double")
 
     def f(x, y):
-        at = F.transform(x, lambda v: F.array_position(y, v))
         n = F.size(x)
-        index = F.sequence(F.lit(1), F.greatest(n, F.lit(1)))
-        diff = F.aggregate(index, F.lit(0), lambda s, i: s + F.aggregate(index, F.lit(0), lambda t, j: t + F.when(j <= i, 0).when(F.get(at, i - 1) < F.get(at, j - 1), 1).otherwise(-1)))
-        v = diff / (n * (n - 1) / 2)
+        # Places of sequences of unequal length are not needed.
+        rising = count(F.when(n == F.size(y), F.transform(x, lambda v: F.array_position(y, v))))
+        pairs = n * (n - 1) / 2
+        v = (2 * rising - pairs) / pairs
         return F.when(n != F.size(y), 0.0).when(n < 2, 0.0).when(v >= 0, v).otherwise(F.abs(v) * float(worst_case_sim))
 
     return f
@@ -410,29 +428,53 @@ def sequence_mapping(element: Measure, exact: bool = False, weights: Sequence[tu
 _ALIGNED = "struct<value double, pairs array<struct<query int, case int>>>"
 
 
-def _aligned(run) -> Measure:
+def _strings(items) -> bool:
+    return all(isinstance(v, str) for v in items)
+
+
+def _numbers(items) -> bool:
+    return isinstance(items, np.ndarray) and items.dtype == np.float64 and bool(np.isfinite(items).all())
+
+
+def _aligned(run, pairs: bool = True, many: Callable | None = None, fits: Callable = _numbers) -> Measure:
+    """``many`` gives the values of lists of items that all ``fits`` at once; it is used where ``pairs`` are not asked for."""
+
     def kernel(x: pd.Series, y: pd.Series) -> pd.DataFrame:
         rows = [(None, None) if a is None or b is None else run(list(a), list(b)) for a, b in zip(x, y)]
         return pd.DataFrame({"value": [r[0] for r in rows], "pairs": [None if r[1] is None else [{"query": q, "case": c} for q, c in r[1]] for r in rows]})
 
-    return structured(lazy_udf(kernel, _ALIGNED))
+    def values(x: pd.Series, y: pd.Series) -> pd.Series:
+        out, fast = [None] * len(x), []
+        for k, (a, b) in enumerate(zip(x, y)):
+            if a is not None and b is not None:
+                if many and fits(a) and fits(b):
+                    fast.append(k)
+                else:
+                    out[k] = run(list(a), list(b))[0]
+        for k, v in zip(fast, many([x.iloc[k] for k in fast], [y.iloc[k] for k in fast]) if fast else ()):
+            out[k] = float(v)
+        return pd.Series(out, dtype=float)
+
+    return structured(lazy_udf(kernel, _ALIGNED)) if pairs else lazy_udf(values, "double")
 
 
-def dtw(item_distance: Callable = lambda a, b: abs(a - b)) -> Measure:
-    """Struct of ``1 / (1 + D)`` for the dynamic time warping distance ``D`` and the aligned positions."""
-    return _aligned(lambda a, b: kernels.dtw(a, b, item_distance))
+def dtw(item_distance: Callable = difference, pairs: bool = True) -> Measure:
+    """Struct of ``1 / (1 + D)`` for the dynamic time warping distance ``D`` and the aligned positions; without ``pairs`` the score alone."""
+    return _aligned(lambda a, b: kernels.dtw(a, b, item_distance), pairs, kernels.dtw_values if item_distance is difference else None)
 
 
-def twed(item_distance: Callable = lambda a, b: abs(a - b), timestamp: Callable | None = None, stiffness: float = 0.001, penalty: float = 1.0, origin=0.0) -> Measure:
+def twed(item_distance: Callable = difference, timestamp: Callable | None = None, stiffness: float = 0.001, penalty: float = 1.0, origin=0.0, pairs: bool = True) -> Measure:
     """Struct of ``1 / (1 + D)`` for the time warp edit distance ``D``; a virtual sample stands before each series."""
     if stiffness < 0 or penalty < 0:
         raise ValueError("stiffness and penalty must not be negative")
-    return _aligned(lambda a, b: kernels.twed(a, b, item_distance, timestamp, stiffness, penalty, origin))
+    many = (lambda xs, ys: kernels.twed_values(xs, ys, stiffness, penalty, origin)) if item_distance is difference and timestamp is None else None
+    return _aligned(lambda a, b: kernels.twed(a, b, item_distance, timestamp, stiffness, penalty, origin), pairs, many)
 
 
-def smith_waterman(item_similarity: Callable = lambda a, b: float(a == b), deletion: float = -1.0, insertion: float = -1.0) -> Measure:
+def smith_waterman(item_similarity: Callable = equal, deletion: float = -1.0, insertion: float = -1.0, pairs: bool = True) -> Measure:
     """Local alignment that ends at the query's last item, as a share of the query's length."""
-    return _aligned(lambda a, b: kernels.smith_waterman(a, b, item_similarity, deletion, insertion))
+    many = (lambda xs, ys: kernels.smith_waterman_values(xs, ys, deletion, insertion)) if item_similarity is equal else None
+    return _aligned(lambda a, b: kernels.smith_waterman(a, b, item_similarity, deletion, insertion), pairs, many, _strings)
 
 
 # Vectors

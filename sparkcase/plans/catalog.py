@@ -253,11 +253,15 @@ def sim_strings(spark, sf_dir):
 # Sequences: the events of each user against those of the user with the id one higher.
 
 
+USERS_A_TASK = 200
+
+
 def user_series(spark, sf_dir):
     events = table(spark, sf_dir, "events").groupBy("user_id").agg(F.array_sort(F.collect_list(F.struct("ts", "event_id", "event_type", "value"))).alias("e"))
     mine = events.select("user_id", F.col("e.event_type").alias("kinds"), F.col("e.value").alias("values"))
     after = mine.select((F.col("user_id") - 1).alias("user_id"), F.struct("user_id", "kinds", "values").alias("next"))
-    return mine.join(after, "user_id")
+    # Pairs are few bytes and much work, so they are dealt to tasks by their number.
+    return mine.join(after, "user_id").repartition(max(1, table(spark, sf_dir, "events").select("user_id").distinct().count() // USERS_A_TASK), "user_id")
 
 
 @query("""WITH u AS (SELECT user_id, list(event_type ORDER BY ts, event_id) AS k FROM events GROUP BY user_id), p AS (SELECT a.user_id, a.k, b.user_id AS other, b.k AS l FROM u a JOIN u b ON b.user_id = a.user_id + 1)

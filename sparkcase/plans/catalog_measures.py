@@ -157,7 +157,7 @@ def sim_sequences(spark, sf_dir):
     x, y, u, v = F.col("kinds"), F.col("next.kinds"), F.col("values"), F.col("next.values")
     return pairs.select(
         "user_id", r6(m.mapping()(x, y)).alias("mapping"), r6(m.sequence_correctness(0.5)(x, y)).alias("correctness"), r6(m.sequence_mapping(m.equality())(x, y)["value"]).alias("sequence_mapping"),
-        r6(m.dtw()(u, v)["value"]).alias("dtw"), r6(m.twed()(u, v)["value"]).alias("twed"), r6(m.smith_waterman()(x, y)["value"]).alias("smith_waterman"),
+        r6(m.dtw(pairs=False)(u, v)).alias("dtw"), r6(m.twed(pairs=False)(u, v)).alias("twed"), r6(m.smith_waterman(pairs=False)(x, y)).alias("smith_waterman"),
     )
 
 

@@ -209,3 +209,29 @@ def test_graph_baseline():
     x = {"nodes": [("n1", ("Person", "Alice")), ("n2", ("Company", "Other"))], "edges": [("e", "n1", "n2", "works")]}
     assert graphs.similarity(x, y, "astar", setting)["value"] == pytest.approx(0.6)
     assert graphs.similarity({"nodes": x["nodes"][:1], "edges": []}, y, "astar", setting)["value"] == pytest.approx(1 / 3)
+
+
+def test_alignments_of_many_pairs_equal_those_of_one():
+    import numpy as np
+
+    from sparkcase.functions import kernels
+
+    r = np.random.default_rng(5)
+    sizes = [(0, 0), (0, 3), (3, 0), (1, 1), *zip(r.integers(1, 40, 30), r.integers(1, 40, 30))]
+    x, y = [r.random(n) * 9 for n, _ in sizes], [r.random(n) * 9 for _, n in sizes]
+    a, b = [list(r.choice(list("abcd"), len(v))) for v in x], [list(r.choice(list("abce"), len(v))) for v in y]
+    apart = lambda p, q: abs(p - q)
+    assert list(kernels.dtw_values(x, y)) == [kernels.dtw(*p, apart)[0] for p in zip(x, y)]
+    assert list(kernels.twed_values(x, y)) == [kernels.twed(*p, apart)[0] for p in zip(x, y)]
+    assert list(kernels.smith_waterman_values(a, b)) == [kernels.smith_waterman(*p, lambda p, q: float(p == q))[0] for p in zip(a, b)]
+    for v in [np.array([]), np.array([1.0]), np.array([np.nan, 2, 1, np.nan, 2, 3])]:
+        assert kernels.rising(v) == sum(v[i] < v[j] for i in range(len(v)) for j in range(i + 1, len(v)))
+
+
+def test_alignments_without_pairs(spark):
+    nan = float("nan")
+    rows = spark.createDataFrame([([1.0, 2.0, 5.0], [1.0, 4.0], ["a", "b", "a"], ["a", "a"]), (None, [1.0], None, ["a"]), ([nan], [1.0], ["a"], [None]), ([], [1.0], [], ["a"])], "x array<double>, y array<double>, k array<string>, l array<string>")
+    x, y, k, el = F.col("x"), F.col("y"), F.col("k"), F.col("l")
+    for measure, a, b in ((m.dtw, x, y), (m.twed, x, y), (m.smith_waterman, k, el)):
+        got = rows.select(measure()(a, b)["value"].cast("string").alias("p"), measure(pairs=False)(a, b).cast("string").alias("q")).collect()
+        assert all(r.p == r.q or {r.p, r.q} == {None, "NaN"} for r in got)
