@@ -366,7 +366,7 @@ BM25 = """WITH d AS (SELECT doc_id, list_filter(regexp_split_to_array(lower(text
 def search_bm25(spark, sf_dir):
     cases = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("case_id"), F.col("doc_id").alias("ord"), "text")
     queries = table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("query_id"), "text")
-    scores = index.bm25(cases, queries, every=False, normalized=False).withColumn("sim", F.floor(F.col("sim") * 1e4 + 0.5) / 1e4)
+    scores = index.bm25(cases, queries, every=False, normalized=False, limit=10, slack=1e-3).withColumn("sim", F.floor(F.col("sim") * 1e4 + 0.5) / 1e4)
     return plain(retrieval.rank(scores).where("rank <= 10"))
 
 

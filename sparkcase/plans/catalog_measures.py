@@ -118,8 +118,8 @@ def search_hybrid(spark, sf_dir):
     embedder = m.keyword_embedder(LETTERS)
     cases = documents.select(F.col("doc_id").alias("case_id"), F.col("doc_id").alias("ord"), "text")
     queries = passages.select(F.col("item_id").alias("query_id"), "text")
-    near = index.dense(cases.withColumn("vector", embedder(F.col("text"))), queries.withColumn("vector", embedder(F.col("text"))))
-    terms = index.bm25(cases, queries, every=False, normalized=False).withColumn("sim", F.floor(F.col("sim") * 1e4 + 0.5) / 1e4)
+    near = index.dense(cases.withColumn("vector", embedder(F.col("text"))), queries.withColumn("vector", embedder(F.col("text"))), limit=40)
+    terms = index.bm25(cases, queries, every=False, normalized=False, limit=40, slack=1e-3).withColumn("sim", F.floor(F.col("sim") * 1e4 + 0.5) / 1e4)
     return index.hybrid(near, terms, 10).select("query_id", "case_id", r6(F.col("sim")).alias("sim"))
 
 

@@ -402,3 +402,39 @@ def test_ideal_ranking_counts_equal_judgements(spark):
             assert got["a"][0] == pytest.approx(gain(rels[::-1]) / gain(rels)) and got["none"] == (0.0, 0.0)
     plan = evaluation.per_query(qrels, run, 5)._jdf.queryExecution().optimizedPlan().toString()
     assert plan.count("row_number") <= 2  # the run alone is ranked
+
+
+def test_bm25_within_rows_equals_joins(spark, monkeypatch):
+    texts = [(0, "a b c a d"), (1, None), (2, ""), (3, "b b e"), (4, "a b c a d"), (5, "x y z"), *((i, "d " * (i % 7) + "c a") for i in range(6, 40))]
+    cases = spark.createDataFrame(texts, "case_id long, text string").withColumn("ord", F.col("case_id"))
+    queries = spark.createDataFrame([("p", "A b"), ("q", "c c d"), ("r", "none"), ("s", None)], "query_id string, text string")
+    key = lambda rows: {(r.query_id, r.case_id): r.sim for r in rows}
+    for every in (False, True):
+        with monkeypatch.context() as c:
+            c.setattr(index, "ASKED_CELLS", -1)
+            joined = key(index.bm25(cases, queries, every=every, normalized=False).collect())
+        got = key(index.bm25(cases, queries, every=every, normalized=False).collect())
+        assert got.keys() == joined.keys() and all(got[k] == pytest.approx(joined[k]) for k in got)
+    got = key(index.bm25(cases, queries, every=False, normalized=False).collect())
+    assert got["p", 0] == got["p", 4]
+    some = key(index.bm25(cases, queries, every=False, normalized=False, limit=3, slack=1e-3).collect())
+    best = lambda scores, q: sorted((-round(v, 4), k) for (p, k), v in scores.items() if p == q)[:3]
+    assert all(best(some, q) == best(got, q) for q in "pqr")
+
+
+def test_bm25_shuffles_no_terms(spark):
+    cases = spark.createDataFrame([(i, "a b c") for i in range(50)], "case_id long, text string").withColumn("ord", F.col("case_id"))
+    queries = spark.createDataFrame([("p", "a b")], "query_id string, text string")
+    plan = index.bm25(cases, queries, every=False, normalized=False)._jdf.queryExecution().optimizedPlan().toString()
+    assert "Aggregate" not in plan
+
+
+def test_dense_limit_keeps_the_first_of_equal_vectors(spark, monkeypatch):
+    cases = spark.range(60).select(F.col("id").alias("case_id"), (100 - F.col("id")).alias("ord"), F.when(F.col("id") % 4 < 3, F.array(F.lit(1.0), (F.col("id") % 4).cast("double"))).alias("vector"))
+    queries = spark.createDataFrame([(0, [1.0, 0.0]), (1, [0.5, 2.0])], "query_id int, vector array<double>")
+    whole = retrieval.rank(index.dense(cases, queries)).where("rank <= 20")
+    key = lambda rows: sorted((r.query_id, r.rank, r.case_id, r.sim) for r in rows.collect())
+    assert key(index.dense(cases, queries, limit=20)) == key(whole) and whole.count() == 40
+    met, crossed = [], index.crossed
+    monkeypatch.setattr(index, "crossed", lambda c, q: met.append(c.count()) or crossed(c, q))
+    assert key(index.dense(cases, queries, limit=5)) == key(whole.where("rank <= 5")) and met == [20]
