@@ -438,3 +438,15 @@ def test_dense_limit_keeps_the_first_of_equal_vectors(spark, monkeypatch):
     met, crossed = [], index.crossed
     monkeypatch.setattr(index, "crossed", lambda c, q: met.append(c.count()) or crossed(c, q))
     assert key(index.dense(cases, queries, limit=5)) == key(whole.where("rank <= 5")) and met == [20]
+
+
+def test_banded_pairs_by_cells(spark, monkeypatch):
+    cases = retrieval.cases_of(spark.createDataFrame([(i, v) for i, v in enumerate([0.0, 99.99, 100.0, -50.0, 1e6, None, float("nan"), 0.1, 0.3, 250.0])], "k long, v double"), "k")
+    queries = retrieval.queries_of(spark.createDataFrame([(i, v) for i, v in enumerate([0.0, 0.0, 200.0, -150.0, 349.9, None, float("nan"), 0.2, 0.4])], "k long, v double"), "k")
+    monkeypatch.setattr(retrieval, "MEMBERS", 1)
+    for reach in (100.0, 0.1, 1e9):
+        got = retrieval.banded_pairs(cases, queries, "v", reach)
+        want = cases.crossJoin(queries).where(F.abs(F.col("case.v") - F.col("query.v")) <= reach)
+        pick = lambda df: sorted(map(tuple, df.select("case_id", "query_id").collect()))
+        assert pick(got) == pick(want) and got.columns == ["case_id", "ord", "case", "query_id", "query"]
+    assert retrieval.banded_pairs(cases, queries.where("false"), "v", 1.0).count() == 0
