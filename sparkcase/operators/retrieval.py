@@ -22,6 +22,8 @@ from ..sources.store import stored
 BROADCAST_ROWS, BROADCAST_BYTES = 100_000, 64 << 20
 #: About so many pairs are made, and sorted for a ranking, by one task, with at most so many tasks.
 TASK_PAIRS, TASKS = 500_000, 20_000
+#: A shuffle to at most so many tasks (Spark's default) writes rows as they come; to more, a writer first holds what it reads.
+UNSORTED = 200
 
 Retriever = Callable[[DataFrame], DataFrame]
 
@@ -53,11 +55,20 @@ def crossed(cases: DataFrame, queries: DataFrame) -> DataFrame:
     that what a task sorts does not grow with the input; a table of few files would else be one task."""
     other, n = _counted(queries)
     if n:
-        tasks = min(-(-cases.count() * n // TASK_PAIRS), TASKS)
-        cases = cases.repartition(tasks, "case_id") if tasks > 1 else cases
+        rows = cases.count()
+        cases = dealt(cases, rows, min(-(-rows * n // TASK_PAIRS), TASKS))
     return cases.crossJoin(other)
 
 
+def dealt(cases: DataFrame, rows: int, tasks: int) -> DataFrame:
+    """``cases`` dealt by key to so many tasks. To many they go in two steps, so that no writer holds all of a large file."""
+    if tasks <= UNSORTED:
+        return cases.repartition(tasks, "case_id") if tasks > 1 else cases
+    parts = min(-(-rows // TASK_PAIRS), UNSORTED)
+    # Hashed otherwise than in the first step; the column between them also keeps the optimizer from making them one.
+    return cases.repartition(parts, "case_id").withColumn("deal__", F.xxhash64("case_id")).repartition(tasks, "deal__").drop("deal__")
+
+
 def pairs(cases: DataFrame, queries: DataFrame, membership: DataFrame | None = None, on: Callable[[Column, Column], Column] | None = None) -> DataFrame:
     """Every case with every query; with ``membership`` only its ``(query_id, case_id)``; with ``on`` only where it holds.
 

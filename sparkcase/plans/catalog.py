@@ -56,8 +56,8 @@ def part_cases(spark, sf_dir):
 
 def brand_queries(spark, sf_dir):
     part = table(spark, sf_dir, "part")
-    mean = part.groupBy(F.col("p_brand").alias("query_id")).agg(F.avg("p_retailprice").alias("price"), F.avg("p_size").alias("size"), F.first("p_brand").alias("brand"))
-    return retrieval.queries_of(mean, "query_id")
+    mean = part.groupBy(F.col("p_brand").alias("query_id")).agg(F.avg("p_retailprice").alias("price"), F.avg("p_size").alias("size"))
+    return retrieval.queries_of(mean.withColumn("brand", F.col("query_id")), "query_id")  # an aggregated string would sort all rows
 
 
 def part_measure(aggregate=None):

@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 from sparkcase.functions import measures as m, pooling
 from sparkcase.operators import adapt, evaluation, index, phases, retrieval, stored, synthesis
 from sparkcase.plans import queries as catalog
+from sparkcase.plans.catalog import brand_queries
 from sparkcase.plans.filters import And, Eq, In, Like, Not, Or, compile_filter
 from sparkcase.sources import dumpers, loaders
 from sparkcase.streaming import retention
@@ -376,6 +377,33 @@ def test_pairs_are_dealt_to_tasks(spark):
     assert [(r.case_id, r.rank) for r in top.orderBy("rank").collect()] == [(3, 1), (10, 2)]
 
 
+def test_dealing_holds_no_whole_file(spark, monkeypatch):
+    monkeypatch.setattr(retrieval, "TASK_PAIRS", 8000)
+    cases = retrieval.cases_of(spark.range(0, 1_000_000, 1, 1).select("id", (F.col("id") % 7).cast("double").alias("v")), "id")
+    queries = retrieval.queries_of(spark.range(2).select("id", F.col("id").cast("double").alias("v")), "id")
+    sc, paired = spark.sparkContext, retrieval.pairs(cases, queries)
+    sc.setJobGroup("dealing", "")
+    try:
+        paired.write.format("noop").mode("overwrite").save()
+    finally:
+        sc.setLocalProperty("spark.jobGroup.id", None)
+    sc._jsc.sc().listenerBus().waitUntilEmpty(30_000)
+    store, jobs = sc._jsc.sc().statusStore(), sc.statusTracker().getJobIdsForGroup("dealing")
+    of_stages = [store.taskList(s, 0, 10_000) for s in {s for j in jobs for s in sc.statusTracker().getJobInfo(j).stageIds}]
+    tasks = [x.taskMetrics().get() for found in of_stages for x in (found.apply(i) for i in range(found.size())) if x.taskMetrics().isDefined()]
+    read = [x.shuffleReadMetrics().recordsRead() for x in tasks]
+    assert sum(r > 0 for r in read) >= 250 and max(read) < 1.2 * retrieval.TASK_PAIRS
+    assert max(x.peakExecutionMemory() for x in tasks) < 60 << 20  # a page has 32
+
+
+def test_brand_queries_are_not_sorted(spark):
+    sf = "/root/testdata/sf0.001"
+    queries = brand_queries(spark, sf)
+    got = queries.select("query_id", "query.brand").collect()
+    assert "SortAggregate" not in queries._jdf.queryExecution().executedPlan().toString()
+    assert all(r.query_id == r.brand for r in got) and len(got) == spark.read.parquet(f"{sf}/part.parquet").select("p_brand").distinct().count()
+
+
 def test_rerank_makes_its_candidates_once(spark):
     cases = retrieval.cases_of(spark.range(6).select("id", F.col("id").cast("string").alias("v")), "id")
     queries = retrieval.queries_of(spark.range(2).select("id", F.lit("q").alias("v")), "id")
