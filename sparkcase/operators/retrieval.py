@@ -24,6 +24,8 @@ BROADCAST_ROWS, BROADCAST_BYTES = 100_000, 64 << 20
 TASK_PAIRS, TASKS = 500_000, 20_000
 #: A shuffle to at most so many tasks (Spark's default) writes rows as they come; to more, a writer first holds what it reads.
 UNSORTED = 200
+#: So many groups of tasks are ranked before all of a query.
+GROUPS = 32
 
 Retriever = Callable[[DataFrame], DataFrame]
 
@@ -103,6 +105,14 @@ def rank(scores: DataFrame) -> DataFrame:
     return scores.withColumn("rank", F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("sim"), "ord")))
 
 
+def first(scores: DataFrame, limit: int) -> DataFrame:
+    """The first ``limit`` of each query with their ``rank``. Groups of tasks are ranked first, so that the last task has
+    ``limit`` rows of each group instead of each task, however many tasks there are."""
+    of = Window.partitionBy("query_id", "group__").orderBy(F.desc("sim"), "ord")
+    grouped = scores.withColumn("group__", F.pmod(F.spark_partition_id(), F.lit(GROUPS)))
+    return rank(grouped.withColumn("rank", F.row_number().over(of)).where(F.col("rank") <= limit).drop("group__")).where(F.col("rank") <= limit)
+
+
 def dropout(retriever: Retriever, limit: int | None = None, min_similarity: float | None = None, max_similarity: float | None = None) -> Retriever:
     """Keeps scores within both bounds, bounds included, and the first ``limit`` of each query; the rank becomes the order."""
 
@@ -112,9 +122,7 @@ def dropout(retriever: Retriever, limit: int | None = None, min_similarity: floa
             out = out.where(F.col("sim") >= min_similarity)
         if max_similarity is not None:
             out = out.where(F.col("sim") <= max_similarity)
-        out = rank(out)
-        if limit is not None:
-            out = out.where(F.col("rank") <= limit)
+        out = rank(out) if limit is None else first(out, limit)
         return out.withColumn("ord", F.col("rank").cast("long"))
 
     return run

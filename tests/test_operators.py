@@ -396,6 +396,25 @@ def test_dealing_holds_no_whole_file(spark, monkeypatch):
     assert max(x.peakExecutionMemory() for x in tasks) < 60 << 20  # a page has 32
 
 
+def test_last_task_ranks_groups_not_tasks(spark):
+    scores = spark.range(0, 60_000, 1, 300).select((F.col("id") % 2).alias("query_id"), F.col("id").alias("case_id"), F.col("id").alias("ord"), F.lit(0).alias("case"), F.lit(0).alias("query"), (F.col("id") * 7919 % 50).cast("double").alias("v"))
+    top = retrieval.dropout(lambda p: p.withColumn("sim", F.col("v")), limit=50)(scores)
+    sc = spark.sparkContext
+    sc.setJobGroup("ranking", "")
+    try:
+        got = top.select("case_id", "rank").collect()
+    finally:
+        sc.setLocalProperty("spark.jobGroup.id", None)
+    for q in (0, 1):
+        want = sorted(range(q, 60_000, 2), key=lambda i: (-(i * 7919 % 50), i))[:50]
+        assert [r.case_id for r in sorted(got, key=lambda r: r["rank"]) if r.case_id % 2 == q] == want
+    sc._jsc.sc().listenerBus().waitUntilEmpty(30_000)
+    store, jobs = sc._jsc.sc().statusStore(), sc.statusTracker().getJobIdsForGroup("ranking")
+    last = store.taskList(max(s for j in jobs for s in sc.statusTracker().getJobInfo(j).stageIds), 0, 1000)
+    read = [last.apply(i).taskMetrics().get().shuffleReadMetrics().recordsRead() for i in range(last.size())]
+    assert 0 < sum(read) <= 2 * 50 * retrieval.GROUPS  # of each of 300 tasks before
+
+
 def test_brand_queries_are_not_sorted(spark):
     sf = "/root/testdata/sf0.001"
     queries = brand_queries(spark, sf)
