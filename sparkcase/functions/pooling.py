@@ -1,4 +1,7 @@
-"""Pooling of one row's scores: array columns in, a double out; nothing is shuffled."""
+"""Pooling of one row's scores: array columns in, a double out; nothing is shuffled.
+
+Functions over arrays are interpreted for each row, so means and sums of known columns are made without an array.
+"""
 
 from __future__ import annotations
 
@@ -78,6 +81,20 @@ POOLINGS: dict[str, Pooling] = {
 }
 
 
+#: Of at most so many columns a mean or sum is one expression; of more it would be too deep.
+ADDED = 64
+
+
+def _pooled(pool: Pooling, columns: Sequence[Column]) -> Column:
+    """``pool`` of the columns' values; the mean and the sum of given columns stay in generated code, added in the same order."""
+    if pool not in (mean, _sum) or not 0 < len(columns) <= ADDED:
+        return pool(F.array(*columns))
+    total = F.lit(0.0)
+    for c in columns:
+        total = total + c
+    return total / F.lit(len(columns)) if pool is mean else total
+
+
 def aggregator(pooling: str | Pooling = "mean", weights: Mapping | Sequence | None = None, default_weight: float = 1.0):
     """Turns named or positional score columns (or an array column) into one score.
 
@@ -97,12 +114,12 @@ def aggregator(pooling: str | Pooling = "mean", weights: Mapping | Sequence | No
             raise TypeError("weights and scores must both be named or both be positional")
         columns = list(scores.values()) if named else list(scores)
         if weights is None:
-            return pool(F.array(*columns))
+            return _pooled(pool, columns)
         w = [float(weights.get(k, default_weight)) for k in scores] if named else [float(v) for v in weights]
         if len(w) != len(columns):
             raise ValueError("as many weights as scores are needed")
         if sum(w) == 0:
             raise ZeroDivisionError("the weights sum to zero")
-        return pool(F.array(*(c * v for c, v in zip(columns, w)))) * (len(columns) / sum(w))
+        return _pooled(pool, [c * v for c, v in zip(columns, w)]) * (len(columns) / sum(w))
 
     return apply

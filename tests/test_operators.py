@@ -423,6 +423,18 @@ def test_brand_queries_are_not_sorted(spark):
     assert all(r.query_id == r.brand for r in got) and len(got) == spark.read.parquet(f"{sf}/part.parquet").select("p_brand").distinct().count()
 
 
+@pytest.mark.parametrize("weights", [None, (2, 1, 1)])
+@pytest.mark.parametrize("kind", ["mean", "sum"])
+def test_scores_are_pooled_in_generated_code(spark, kind, weights, monkeypatch):
+    rows = spark.createDataFrame([(0.1, 0.2, 0.3), (-0.0, -0.0, -0.0), (1e300, 0.7, None), (float("nan"), 1.0, 2.0)], "a double, b double, c double").repartition(1)
+    pool = lambda: rows.select(pooling.aggregator(kind, weights)([F.col(c) for c in "abc"]).alias("v"))
+    made = pool()
+    assert "lambda" not in made._jdf.queryExecution().optimizedPlan().toString()
+    got = made.collect()
+    monkeypatch.setattr(pooling, "ADDED", 0)  # by arrays
+    assert repr(got) == repr(pool().collect())
+
+
 def test_rerank_makes_its_candidates_once(spark):
     cases = retrieval.cases_of(spark.range(6).select("id", F.col("id").cast("string").alias("v")), "id")
     queries = retrieval.queries_of(spark.range(2).select("id", F.lit("q").alias("v")), "id")
